@@ -7,19 +7,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe
+from tessera.llm import byte_bpe, license_scan, matroska, url_filter
 from tessera.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the ranks and decoded again."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), ["page_id"])
+
+
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an audio track and read back."""
+    return matroska.stored_features(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_url_filter": op3_url_filter,
+    "op4_matroska": op4_matroska,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.SQL,
+}
