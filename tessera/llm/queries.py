@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, license_scan, matroska, url_filter
+from tessera.llm import byte_bpe, language_id, license_scan, matroska, token_files, toxicity, url_filter
 from tessera.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +35,34 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; labels of one fold in four are never learned."""
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; one fold in five is never learned from."""
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold("doc_id", 5) == 0
+    model = language_id.train(docs, ~held_out)
+    return language_id.predict(docs, model, ["doc_id"]).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written to files and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), WORDS, 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_matroska": op4_matroska,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
