@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, language_id, license_scan, matroska, token_files, toxicity, url_filter
+from tessera.llm import byte_bpe, jaccard_join, language_id, license_scan, matroska, token_files, toxicity, url_filter
 from tessera.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, ["doc_id"]).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document among those that share 80 % of their shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids, written to files and read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), WORDS, 2)
@@ -62,9 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_matroska": op4_matroska,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
 }
