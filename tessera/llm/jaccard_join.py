@@ -6,13 +6,15 @@ class from the start. Two classes at 80 % or more have a shingle in common among
 comes from a table of fixed size with the logarithm of shingles' counts, and any such table
 gives the same result, only the number of candidates differs.
 
-Classes with a prefix shingle in common are connected by stars, first within a task and then
-over all tasks, so that a shingle that very many have gives one row a task and not all pairs.
-The components of these stars hold every link. Each component's sets go to a trie: ordered by
-how many of them have a shingle, common ones first, similar sets share most of their path. A
-set is joined with all others by one traversal that computes overlaps along shared paths once
-and leaves subtrees whose remaining lengths cannot reach the similarity any more. Components
-too large for a task are cut in chunks, and every pair of chunks is one task's work.
+Classes that have a prefix shingle in common are candidates: as pairs where few have it, as a
+star where many do, so that no shingle makes more rows than there are classes that have it
+times a constant. Pairs must also pass a bound from parity sketches: sets of so many unequal
+bits differ in at least as many shingles. The components of the candidates hold every link.
+Each component's sets go to a trie: ordered by how many of them have a shingle, common ones
+first, similar sets share most of their path. A set is joined with all others by one
+traversal that computes overlaps along shared paths once and leaves subtrees whose remaining
+lengths cannot reach the similarity any more. Components too large for a task are cut in
+chunks, and every pair of chunks is one task's work.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ PART, WHOLE = 4, 5
 COUNT_SLOTS = 1 << 20
 FILTER_BITS = 1 << 22
 BITMAP = 1 << 15
-#: A shingle that so many have stands behind all rarer ones.
-COMMON = 8
+#: A shingle that so many are known to have stands behind all rarer ones.
+COMMON = 4
+#: A prefix shingle of so many classes gives all pairs of them; of more, a star.
+MOST_PAIRED = 32
 #: Shingles held at once by a task that looks for repeated ones, and in a chunk of sets.
 HELD = 4_000_000
 CHUNK = 2_000_000
@@ -88,6 +92,23 @@ def prefix_length(n: int) -> int:
     return n - (PART * n + WHOLE - 1) // WHOLE + 1
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """For each slot the parity of the shingles in it, with about a slot for each."""
+    slots = max(64, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).tobytes()
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether sizes and sketches leave it open that two sets are linked: at most a share of
+    (WHOLE - PART) / (WHOLE + PART) of their shingles is in one of them only."""
+    if WHOLE * n < PART * m or WHOLE * m < PART * n:
+        return False
+    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
+    while len(y) > len(x):  # as if made with half the slots
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (WHOLE + PART) * int(np.bitwise_count(x ^ y).sum()) <= (WHOLE - PART) * (n + m)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -96,26 +117,28 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """kind 0: key, class and size of each document (class null without shingles). kind 1:
-    shingles that a task met more than once, with how often, sets counted once."""
+    """kind 0: key, class, size and sketch of each document (class and sketch null without
+    shingles). kind 1: shingles that a task met more than once, with how often, sets counted
+    once."""
 
-    def rows(kind: int, a, b, c) -> pa.RecordBatch:
+    def rows(kind: int, a, b, c, d) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), a, b, c], names=["kind", "a", "b", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), a, b, c, d], names=["kind", "a", "b", "c", "sketch"])
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
         some = n > 1
-        return rows(1, signed(found[some]), pa.array(n[some], pa.int64()), pa.array(n[some], pa.int64()))
+        return rows(1, signed(found[some]), pa.array(n[some], pa.int64()), pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, met = [], 0, set()
         for batch in batches:
-            classes, sizes = [], []
+            classes, sizes, sketches = [], [], []
             for raw in batch.column(1):
                 found = shingles(raw.as_py(), words)
                 classes.append(class_of(found) if len(found) else None)
                 sizes.append(len(found))
+                sketches.append(sketch(found) if len(found) else None)
                 if len(found) and classes[-1] not in met:
                     met.add(classes[-1])
                     held.append(found)
@@ -123,11 +146,11 @@ def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 if size >= HELD:
                     yield repeated(held)
                     held, size, met = [], 0, set()
-            yield rows(0, batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()))
+            yield rows(0, batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()))
         if held:
             yield repeated(held)
 
-    return text_bytes(docs, F.col(key).cast("long").alias("_key"), text=text).mapInArrow(run, "kind int, a long, b long, c long")
+    return text_bytes(docs, F.col(key).cast("long").alias("_key"), text=text).mapInArrow(run, "kind int, a long, b long, c long, sketch binary")
 
 
 def count_table(repeated: DataFrame) -> np.ndarray:
@@ -140,22 +163,28 @@ def count_table(repeated: DataFrame) -> np.ndarray:
     return out
 
 
-def stars(docs: DataFrame, table: np.ndarray, key: str, text: str, words: int) -> DataFrame:
-    """Edges (a, b) between classes that have a prefix shingle in common."""
+def candidates(docs: DataFrame, table: np.ndarray, key: str, text: str, words: int) -> DataFrame:
+    """Edges (a, b, star) between classes that have a prefix shingle in common. Those of a
+    star stand for all pairs of the classes that they connect."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     mask = np.uint64(COUNT_SLOTS - 1)
 
     def rows(edge: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), signed(a), signed(b)], names=["edge", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), pa.array(a), pa.array(b)], names=["edge", "a", "b"])
 
-    def star(tokens: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def dealt(tokens: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each shingle and class; of shingles with many classes, a star of them
+        and a row for its center."""
         by = np.lexsort((classes, tokens))
         tokens, classes = tokens[by], classes[by]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        yield rows(False, tokens[first], classes[first])
-        center = np.repeat(classes[first], np.diff(np.append(first, len(tokens))))
-        pairs = np.unique(np.stack([classes, center], 1)[classes != center], axis=0)
-        yield rows(True, pairs[:, 0], pairs[:, 1])
+        first, size = runs(tokens)
+        many = np.repeat(size > MOST_PAIRED, size)
+        center = np.repeat(classes[first], size)
+        yield rows(False, tokens[~many], classes[~many])
+        yield rows(False, tokens[first][size > MOST_PAIRED], classes[first][size > MOST_PAIRED])
+        if many.any():
+            pairs = np.unique(np.stack([classes, center], 1)[many & (classes != center)], axis=0)
+            yield rows(True, pairs[:, 0], pairs[:, 1])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, met, held, owners, size = shared.value, set(), [], [], 0
@@ -172,30 +201,82 @@ def stars(docs: DataFrame, table: np.ndarray, key: str, text: str, words: int) -
                 owners.append(np.full(len(held[-1]), c, np.int64))
                 size += len(held[-1])
                 if size >= HELD:
-                    yield from star(np.concatenate(held).view(np.int64), np.concatenate(owners))
+                    yield from dealt(np.concatenate(held).view(np.int64), np.concatenate(owners))
                     met, held, owners, size = set(), [], [], 0
         if held:
-            yield from star(np.concatenate(held).view(np.int64), np.concatenate(owners))
+            yield from dealt(np.concatenate(held).view(np.int64), np.concatenate(owners))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, center = None, None  # of the row before
+        """The rows of a shingle follow each other. Those of the last one wait for more, as
+        long as they are few enough to be paired; then their first is its star's center."""
+        token, waiting, center = None, np.zeros(0, np.int64), None
         for batch in batches:
             edge, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if edge.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[edge]), pa.array(b[edge])], names=["a", "b"])
-                a, b = a[~edge], b[~edge]
+            yield edges(a[edge], b[edge], True)
+            a, b = a[~edge], b[~edge]
             if not len(a):
                 continue
-            new = np.concatenate([[a[0] != token], a[1:] != a[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-            centers = np.where(first < 0, np.int64(center or 0), b[first])
-            token, center = a[-1], centers[-1]
-            some = b != centers
-            yield pa.RecordBatch.from_arrays([pa.array(b[some]), pa.array(centers[some])], names=["a", "b"])
+            if token is not None and len(waiting):
+                a, b = np.concatenate([np.full(len(waiting), token), a]), np.concatenate([waiting, b])
+            elif center is not None:
+                go_on = a == token
+                more = np.unique(b[go_on])
+                yield edges(more[more != center], np.full(int((more != center).sum()), center), True)
+                a, b = a[~go_on], b[~go_on]
+                if not len(a):
+                    continue
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])  # the same class from two tasks
+            a, b = a[new], b[new]
+            first, size = runs(a)
+            token, center, waiting = a[-1], None, b[:0]
+            if size[-1] <= MOST_PAIRED:
+                waiting, end = b[first[-1] :], len(first) - 1
+            else:
+                center, end = b[first[-1]], len(first)
+            yield from joined(b, first[:end], size[:end])
+        if len(waiting) > 1:
+            yield from joined(waiting, np.array([0]), np.array([len(waiting)]))
 
     rowed = text_bytes(docs, text=text).mapInArrow(local, "edge boolean, a long, b long")
-    dealt = rowed.repartition("a").sortWithinPartitions("edge", "a", "b")
-    return dealt.mapInArrow(across, "a long, b long")
+    return rowed.repartition("a").sortWithinPartitions("edge", "a", "b").mapInArrow(across, "a long, b long, star boolean")
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the stretches of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def edges(a: np.ndarray, b: np.ndarray, star: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), star))], names=["a", "b", "star"])
+
+
+def joined(b: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges of runs of classes: pairs of the short ones, stars of the others."""
+    pairs = []
+    for n in np.unique(size):
+        at = first[size == n]
+        if 1 < n <= MOST_PAIRED:
+            i, j = np.triu_indices(n, 1)
+            pairs.append(np.stack([b[at[:, None] + i].ravel(), b[at[:, None] + j].ravel()], 1))
+        elif n > MOST_PAIRED:
+            rest = at[:, None] + np.arange(1, n)
+            yield edges(b[rest].ravel(), np.repeat(b[at], n - 1), True)
+    if pairs:
+        found = np.unique(np.concatenate(pairs), axis=0)
+        yield edges(found[:, 0], found[:, 1], False)
+
+
+def passing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("sketch").alias(f"_s{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_na", "_sa", "_nb", "_sb").mapInArrow(run, "a long, b long")
 
 
 def candidate_filter(groups: DataFrame) -> np.ndarray:
@@ -370,11 +451,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     other columns are not read."""
     first = stored(counted(docs, key, text, words), "sets")
     rows = first.where("kind = 0").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
+    classes = first.where("kind = 0 and b is not null").select(F.col("b").alias("node"), F.col("c").alias("n"), "sketch").dropDuplicates(["node"])
     table = count_table(first.where("kind = 1"))
-    edges = stored(stars(docs, table, key, text, words).distinct(), "stars")
+    found = stored(candidates(docs, table, key, text, words).distinct(), "candidates")
+    near_pairs = passing(found.where(~F.col("star")).select("a", "b"), classes)
+    edges = stored(near_pairs.unionByName(found.where("star").select("a", "b")), "edges")
     near = components(edges)
     groups = stored(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    sets = stored(candidate_sets(docs, candidate_filter(groups), text, words).join(groups, "node"), "candidates")
+    sets = stored(candidate_sets(docs, candidate_filter(groups), text, words).join(groups, "node"), "candidate-sets")
     totals = sets.groupBy("root").agg(F.sum("n").alias("_n")).select("root", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_k")).where("_k > 1")
     chunk = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
     cut = sets.join(totals, "root", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_c", chunk)

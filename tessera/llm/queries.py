@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, jaccard_join, language_id, license_scan, matroska, token_files, toxicity, url_filter
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, matroska, token_files, toxicity, url_filter
 from tessera.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,11 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, re-parameterised ones included."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document; labels of one fold in four are never learned."""
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold("doc_id", 4) == 2
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_matroska": op4_matroska,
+    "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
@@ -73,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.SQL,
+    "op5_decontaminate": decontaminate.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
 }
