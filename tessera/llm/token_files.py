@@ -8,11 +8,13 @@ and of each document, so that any document is read without decoding the others.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from itertools import chain
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ BLOCK = 4_096
 PERCENTILE = 98
 HEAD = struct.Struct("<IIBI")  # ids, minimum, width, exceptions
 FOOT = struct.Struct("<QQQQ8s")  # blocks, documents, ids, start of the index, magic
-#: Words whose ids a task remembers; beyond it the memory starts afresh.
-CACHED_WORDS = 500_000
+#: Stretches whose ids a task remembers; beyond it, only those that are met again stay.
+CACHED_WORDS = 600_000
 
 
 def pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -120,27 +122,63 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def of(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+    def learn(self, stretches: set[str]) -> None:
+        """Makes the ids of the stretches known. Words of letters go to the tokenizer
+        together, as each of them ends with its only token that ends a word."""
+        if len(self) + len(stretches) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-        if word[-1] in ",." and normalize("NFC", word[:-1]).lower().isalpha():  # a mark after letters is apart
-            found = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and not word.islower() and word.isalpha():  # the vocabulary is lower case
-            found = self[word.lower()]
-        else:
-            found = self.of(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+        older, plain = self.older, []
+        for s in stretches.difference(self):
+            found = older.get(s)
+            if found is not None:
+                self[s] = found
+            elif s.isalpha() and (s.isascii() or normalize("NFC", s).lower().isalpha()):
+                plain.append(s)
+            else:
+                self[s] = self.of(s)
+        for at in range(0, len(plain), 2_000):
+            part = plain[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()]
+            if len(cuts) == len(part) + 1 and cuts[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                self.update((s, self.of(s)) for s in part)
 
 
 #: White space to str.split() that the tokenizer's expression doesn't count as such.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: A mark after a letter, where a token always begins; an apostrophe may be part of a word.
+MARK = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)")
+
+
+def stretches_of(text: str) -> list[str] | None:
+    """Stretches whose ids make up the text's; None if it has to be encoded at once. The
+    tokenizer composes characters and then lowers case letter by letter, as is done here
+    unless a sigma's place would count or lower case could be composed further."""
+    low = text.lower() if text.isascii() else normalize("NFC", text).lower()
+    if any(c in text for c in SEPARATORS) or not text.isascii() and ("Σ" in text or not is_normalized("NFC", low)):
+        return None
+    return MARK.sub(r" \g<0>", low).split()
+
+
+def encode(texts: list[str], known: Words) -> Iterator[bytes]:
+    """The ids of each text. The texts together should be few enough to know all their
+    stretches at once."""
+    apart = [stretches_of(t) for t in texts]
+    known.learn(set(chain.from_iterable(filter(None, apart))))
+    for text, stretches in zip(texts, apart, strict=True):
+        yield known.of(text) if stretches is None else b"".join(map(known.__getitem__, stretches))
 
 
 @lru_cache(maxsize=2)
@@ -152,10 +190,17 @@ def words(tokenizer_path: str) -> Words:
     return Words(tokenizer)
 
 
-def encode(text: str, known: Words) -> bytes:
-    if any(c in text for c in SEPARATORS):
-        return known.of(text)
-    return b"".join(map(known.__getitem__, text.split()))
+def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch, about ``size`` characters at a time, and where they begin."""
+    held, begin, total = [], 0, 0
+    for i, raw in enumerate(batch.column(column)):
+        held.append(decoded(raw.as_py()))
+        total += len(held[-1])
+        if total >= size:
+            yield begin, held
+            held, begin, total = [], i + 1, 0
+    if held:
+        yield begin, held
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
@@ -176,11 +221,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
         files.create_dir(at, recursive=True)
         writer = None
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None:
-                    stream = files.open_output_stream(f"{at}/attempt-{attempt}")
-                    writer = Writer(stream)
-                writer.add(k, encode(decoded(raw.as_py()), known) + end)
+            if writer is None and len(batch):
+                stream = files.open_output_stream(f"{at}/attempt-{attempt}")
+                writer = Writer(stream)
+            keys = batch.column(0).to_pylist()
+            for begin, texts in portions(batch, 1):
+                for k, ids in zip(keys[begin:], encode(texts, known), strict=False):
+                    writer.add(k, ids + end)
         if writer is not None:
             writer.close()
             stream.close()
