@@ -164,10 +164,12 @@ MARK = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)")
 
 def stretches_of(text: str) -> list[str] | None:
     """Stretches whose ids make up the text's; None if it has to be encoded at once. The
-    tokenizer composes characters and then lowers case letter by letter, as is done here
-    unless a sigma's place would count or lower case could be composed further."""
-    low = text.lower() if text.isascii() else normalize("NFC", text).lower()
-    if any(c in text for c in SEPARATORS) or not text.isascii() and ("Σ" in text or not is_normalized("NFC", low)):
+    tokenizer composes characters and then lowers case letter by letter; lowering first does
+    the same unless there is something to compose, or a sigma, whose place would count."""
+    low = text.lower()
+    if any(c in text for c in SEPARATORS):
+        return None
+    if not text.isascii() and ("Σ" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low))):
         return None
     return MARK.sub(r" \g<0>", low).split()
 
