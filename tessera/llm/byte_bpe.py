@@ -125,15 +125,23 @@ def encoder(v: Vocabulary, leaf_chars: int = LEAF_CHARS) -> Callable[[str], list
 def encode_column(
     docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text", leaf_chars: int = LEAF_CHARS
 ) -> DataFrame:
-    """``keep`` and ``ids``, an array of token ids for each row's whole text, in one pass
-    without a shuffle. A null or empty text has no ids; special tokens' strings are ordinary
-    text; rows that repeat stay; other columns are not read."""
+    """``keep``, ``ids`` (an array of token ids for each row's whole text), n_tokens and
+    lossless (whether the ids decode to the text's bytes, as they do unless those are
+    malformed), in one pass without a shuffle. A null or empty text has no ids; special
+    tokens' strings are ordinary text; rows that repeat stay; other columns are not read."""
+    fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int64()), pa.field("lossless", pa.bool_())]
 
     def start():
-        encode = encoder(vocabulary(ranks_path, pattern), leaf_chars)
-        return lambda raw: (encode(decoded(raw)),)
+        v = vocabulary(ranks_path, pattern)
+        encode = encoder(v, leaf_chars)
+
+        def of(raw: bytes) -> tuple:
+            ids = encode(decoded(raw))
+            return ids, len(ids), decode(ids, v.tokens) == raw
 
-    return map_texts(docs, keep, [pa.field("ids", pa.list_(pa.int32()))], start, text)
+        return of
+
+    return map_texts(docs, keep, fields, start, text)
 
 
 def decode_column(rows: DataFrame, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, matroska, token_files, toxicity, url_filter
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, matroska, token_files, toxicity, url_filter
 from tessera.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of every document are repeats of earlier ones."""
+    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+    dropped = F.array_join(F.transform("_dropped", lambda i: i.cast("string")), ",")
+    return found.select(F.col("_key").alias("doc_id"), "n_lines", "n_equal", "n_near", dropped.alias("dropped_lines"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document; labels of one fold in four are never learned."""
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold("doc_id", 4) == 2
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_matroska": op4_matroska,
     "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
