@@ -26,13 +26,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.tables import decoded, map_texts
+from tessera.llm.tables import decoded, lean, map_texts
 
 #: Characters beyond the end of a match that the splitting pattern may read: an apostrophe
 #: alone was first tried as a contraction of three characters.
 LOOKAHEAD = 2
 #: Pieces whose tokens a task remembers; beyond it the memory starts afresh.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 LEAF_CHARS = 16_384
 LEAF_TOKENS = 8_192
 
@@ -159,7 +159,7 @@ def decode_column(rows: DataFrame, ranks_path: str, pattern: str, keep: list[str
             out = [decode(ids or [], tokens) for ids in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())], schema=schema)
 
-    return rows.select(*keep, "ids").mapInArrow(run, from_arrow_schema(schema))
+    return rows.select(*keep, "ids").mapInArrow(lean(run), from_arrow_schema(schema))
 
 
 def round_trip(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.tables import stored, text_bytes
+from tessera.llm.tables import lean, stored, text_bytes
 
 WORDS = 5
 #: Similarity as a fraction: 80 / 100.
@@ -41,7 +41,7 @@ COMMON = 4
 #: A prefix shingle of so many classes gives all pairs of them; of more, a star.
 MOST_PAIRED = 32
 #: Shingles held at once by a task that looks for repeated ones, and in a chunk of sets.
-HELD = 4_000_000
+HELD = 1_500_000
 CHUNK = 2_000_000
 
 # Shingles
@@ -150,7 +150,7 @@ def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         if held:
             yield repeated(held)
 
-    return text_bytes(docs, F.col(key).cast("long").alias("_key"), text=text).mapInArrow(run, "kind int, a long, b long, c long, sketch binary")
+    return text_bytes(docs, F.col(key).cast("long").alias("_key"), text=text).mapInArrow(lean(run), "kind int, a long, b long, c long, sketch binary")
 
 
 def count_table(repeated: DataFrame) -> np.ndarray:
@@ -237,8 +237,8 @@ def candidates(docs: DataFrame, table: np.ndarray, key: str, text: str, words: i
         if len(waiting) > 1:
             yield from joined(waiting, np.array([0]), np.array([len(waiting)]))
 
-    rowed = text_bytes(docs, text=text).mapInArrow(local, "edge boolean, a long, b long")
-    return rowed.repartition("a").sortWithinPartitions("edge", "a", "b").mapInArrow(across, "a long, b long, star boolean")
+    rowed = text_bytes(docs, text=text).mapInArrow(lean(local), "edge boolean, a long, b long")
+    return rowed.repartition("a").sortWithinPartitions("edge", "a", "b").mapInArrow(lean(across), "a long, b long, star boolean")
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,7 @@ def passing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (classes.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("sketch").alias(f"_s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_na", "_sa", "_nb", "_sb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_na", "_sa", "_nb", "_sb").mapInArrow(lean(run), "a long, b long")
 
 
 def candidate_filter(groups: DataFrame) -> np.ndarray:
@@ -309,7 +309,7 @@ def candidate_sets(docs: DataFrame, bits: np.ndarray, text: str, words: int) ->
                 c, n, s = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], names=["node", "n", "shingles"])
 
-    return text_bytes(docs, text=text).mapInArrow(run, "node long, n long, shingles binary")
+    return text_bytes(docs, text=text).mapInArrow(lean(run), "node long, n long, shingles binary")
 
 
 # The trie
@@ -463,7 +463,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     chunk = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
     cut = sets.join(totals, "root", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_c", chunk)
     dealt = cut.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("root", F.least("_c", "_j").alias("i"), F.greatest("_c", "_j").alias("j"), "node", "shingles")
-    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(block_links, "a long, b long")
+    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(lean(block_links), "a long, b long")
     roots = stored(components(links), "links")
     placed = stored(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = stored(placed.where("root is not null").groupBy("root").agg(F.min(key).alias("_least")), "smallest")

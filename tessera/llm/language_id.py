@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashed_ngrams import buckets, folded
-from tessera.llm.tables import decoded, map_texts
+from tessera.llm.tables import decoded, lean, map_texts
 
 ORDERS = range(1, 4)
 BITS = 13
@@ -118,7 +118,7 @@ def train(docs: DataFrame, usable: Column, key: str = "doc_id", lang: str = "lan
         found = sorted({(r[0], r[2], r[1]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([r[1] for r in found], [r[2] for r in found]))]})
 
-    out = sample.select(key, lang, "_text").repartition(1).mapInArrow(run, "model binary").collect()
+    out = sample.select(key, lang, "_text").repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(out[0].model) if out else fit([], [])
 
 

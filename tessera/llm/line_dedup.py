@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.jaccard_join import FILTER_BITS, INVERSE, MULTIPLIER, candidate_filter, mixed, powers, runs
-from tessera.llm.tables import decoded, stored
+from tessera.llm.tables import decoded, lean, stored
 
 EDITS = 2
 #: Shorter lines, in characters, are only compared as a whole.
@@ -118,7 +118,7 @@ def keys(texts: DataFrame) -> DataFrame:
         if ids:
             yield from key_rows(ids, lines)
 
-    return texts.select("_text").mapInArrow(run, "key long, id long, signature long, probe boolean")
+    return texts.select("_text").mapInArrow(lean(run), "key long, id long, signature long, probe boolean")
 
 
 # Meeting
@@ -194,7 +194,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of line ids that a segment and the signatures bring together."""
-    met = stored(keys(texts).repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, ROW), "line-pairs")
+    met = stored(keys(texts).repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), ROW), "line-pairs")
     hot = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), "signature", "probe").distinct()
     one = hot.where(~F.col("probe")).select("key", F.col("id").alias("a"), F.col("signature").alias("_x"))
     two = hot.where("probe").select("key", F.col("id").alias("b"), F.col("signature").alias("_y"))
@@ -270,10 +270,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = [within(decoded(x), decoded(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = texts.select("_text").mapInArrow(wanted, "node long, line binary").join(nodes, "node", "left_semi")
+    found = texts.select("_text").mapInArrow(lean(wanted), "node long, line binary").join(nodes, "node", "left_semi")
     lines = stored(found.dropDuplicates(["node"]), "lines")
     one, two = (lines.select(F.col("node").alias(x), F.col("line").alias(f"_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(check, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(lean(check), "a long, b long")
 
 
 # Dedup
@@ -294,7 +294,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(ids, pa.int64())], names=["_key", "_hash", "_line", "id"])
 
-    return texts.select("_key", "_hash", "_text").mapInArrow(run, "_key long, _hash long, _line int, id long")
+    return texts.select("_key", "_hash", "_text").mapInArrow(lean(run), "_key long, _hash long, _line int, id long")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import decoded, shared_dir
+from tessera.llm.tables import decoded, lean, shared_dir
 
 MAGIC = b"PFORTOK1"
 BLOCK = 4_096
@@ -236,7 +236,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
             files.move(f"{at}/attempt-{attempt}", f"{at}/part-{number:06d}.pfor")
             yield pa.RecordBatch.from_pydict({"number": [number], "path": [f"{folder}/part-{number:06d}.pfor"], "docs": [len(writer.keys)], "ids": [writer.ids]})
 
-    return sorted(map(tuple, parted.mapInArrow(run, "number long, path string, docs long, ids long").collect()))
+    return sorted(map(tuple, parted.mapInArrow(lean(run), "number long, path string, docs long, ids long").collect()))
 
 
 def documents(spark: SparkSession, files: list[tuple[int, str, int, int]], key: str = "doc_id") -> DataFrame:
@@ -260,7 +260,7 @@ def documents(spark: SparkSession, files: list[tuple[int, str, int, int]], key:
                 out = [(k, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, start, ids in read(data)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return listed.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return listed.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashed_ngrams import buckets, folded, sigmoid
-from tessera.llm.tables import map_texts
+from tessera.llm.tables import lean, map_texts
 
 ORDERS = range(3, 6)
 BITS = 20
@@ -74,13 +74,14 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         have[y, row] += 1
     ratio = np.log((have[1] + SMOOTHING) / (toxic.sum() + 2 * SMOOTHING)) - np.log((have[0] + SMOOTHING) / (n - toxic.sum() + 2 * SMOOTHING))
     ratio[have.sum(0) < 2] = 0
-    kept = [row[np.abs(ratio[row]) > 0.5] for row in rows]
+    for i, row in enumerate(rows):
+        rows[i] = row[np.abs(ratio[row]) > 0.5]
     weights, bias, squares = np.zeros(size, np.float32), 0.0, np.full(size, 1e-2, np.float32)
     random = np.random.default_rng(SEED)
     for epoch in range(EPOCHS):
         for batch in np.array_split(random.permutation(n), max(1, n // 64)):
-            at = np.concatenate([kept[i] for i in batch])
-            of = np.repeat(np.arange(len(batch)), [len(kept[i]) for i in batch])
+            at = np.concatenate([rows[i] for i in batch])
+            of = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
             z = np.bincount(of, weights[at] * ratio[at], len(batch)) + bias
             error = sigmoid(z) - toxic[batch]
             where, inverse = np.unique(at, return_inverse=True)
@@ -105,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
         model = fit([r[2] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64))
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(found[0].model) if found else fit([], np.zeros(0))
 
 
