@@ -18,8 +18,9 @@ def spark(tmp_path_factory):
 
     at = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.ui.enabled": "false",
+        "spark.default.parallelism": "2",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "4g",
