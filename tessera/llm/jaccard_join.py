@@ -14,7 +14,7 @@ Each component's sets go to a trie: ordered by how many of them have a shingle,
 first, similar sets share most of their path. A set is joined with all others by one
 traversal that computes overlaps along shared paths once and leaves subtrees whose remaining
 lengths cannot reach the similarity any more. Components too large for a task are cut in
-chunks, and every pair of chunks is one task's work.
+chunks that share one set; only what is not connected with that set meets all chunks.
 """
 
 from __future__ import annotations
@@ -387,9 +387,9 @@ def probe(root: Node, paths: list[np.ndarray], sizes: list[int], x: int, marks:
     marks[mine] = False
 
 
-def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of positions that connect the sets as all links do, and are links. A set needs
-    no traversal once all others that could still be met are in its component."""
+def trie_links(sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of positions that connect the sets as all links do, and are links. Sets with
+    the same label are known to be connected. Once all are, no more traversal is needed."""
     sizes = [len(s) for s in sets]
     ids, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(ids), np.int64)
@@ -399,7 +399,9 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     cuts = np.cumsum([0, *sizes])
     paths = [np.sort(r[r < shared]) for r in (ranks[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
     root, marks = build(paths, sizes), np.zeros(shared + 1, bool)
-    parent, left, out = list(range(len(sets))), len(sets), []
+    first: dict[int, int] = {}
+    parent = [first.setdefault(label, i) for i, label in enumerate(labels or range(len(sets)))]
+    left, out = len(first), []
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -419,27 +421,68 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+BLOCK = ["root", "i", "j", "node", "label", "shingles"]
+
+
 def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each block of rows (block, i, j, node, shingles) that follow each other."""
-    block, nodes, sets = None, [], []
+    """Links of each block of rows (BLOCK) that follow each other."""
+    block, nodes, labels, sets = None, [], [], []
 
     def links() -> pa.RecordBatch:
-        pairs = trie_links(sets) if len(sets) > 1 else []
+        pairs = trie_links(sets, labels) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([nodes[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for group, i, j, node, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if (group, i, j) != block:
+        for root, i, j, node, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, i, j) != block:
                 if sets:
                     yield links()
-                block, nodes, sets = (group, i, j), [], []
+                block, nodes, labels, sets = (root, i, j), [], [], []
             if not nodes or nodes[-1] != node:
                 nodes.append(node)
+                labels.append(label)
                 sets.append(np.frombuffer(raw, np.uint64))
     if sets:
         yield links()
 
 
+def linked_blocks(rows: DataFrame) -> DataFrame:
+    dealt = rows.select(*BLOCK).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    return dealt.mapInArrow(lean(block_links), "a long, b long")
+
+
+def chunks(sets: DataFrame, name: str) -> DataFrame:
+    """For each component, the number of chunks that its sets need."""
+    return sets.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias(name))
+
+
+def all_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the sets (node, n, shingles, root: the smallest node of its
+    component of candidates) as all links do.
+
+    A component of several chunks is first linked chunk by chunk, its smallest set being in
+    all of them. Only sets that are not connected with that one then meet all chunks. So a
+    family of near copies costs in proportion to its size, unless few resemble one of them.
+    """
+    counts = chunks(sets, "_k")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut = sets.join(counts, "root").withColumn("label", F.col("node"))
+    own = cut.withColumn("i", part("_k"))
+    smallest = cut.where("_k > 1 and node = root").withColumn("i", each("_k"))
+    first = own.select("root", "i", F.col("i").alias("j"), "node", "label", "shingles").unionByName(smallest.select("root", "i", F.col("i").alias("j"), "node", "label", "shingles"))
+    links = stored(linked_blocks(first), "links")
+    if not counts.where("_k > 1").limit(1).count():
+        return links
+    labels = components(links).select("node", F.col("root").alias("label"))
+    large = stored(sets.join(counts.where("_k > 1"), "root").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large-components")
+    rest = large.where("label <> root")
+    few = chunks(rest, "_u")
+    them = rest.join(few, "root").withColumn("i", part("_u")).withColumn("j", each("_k"))
+    every = large.join(few, "root").withColumn("j", part("_k")).withColumn("i", each("_u"))
+    return links.unionByName(stored(linked_blocks(them.select(*BLOCK).unionByName(every.select(*BLOCK))), "more-links"))
+
+
 # The join
 
 
@@ -459,12 +502,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     near = components(edges)
     groups = stored(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "groups")
     sets = stored(candidate_sets(docs, candidate_filter(groups), text, words).join(groups, "node"), "candidate-sets")
-    totals = sets.groupBy("root").agg(F.sum("n").alias("_n")).select("root", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_k")).where("_k > 1")
-    chunk = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
-    cut = sets.join(totals, "root", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_c", chunk)
-    dealt = cut.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("root", F.least("_c", "_j").alias("i"), F.greatest("_c", "_j").alias("j"), "node", "shingles")
-    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(lean(block_links), "a long, b long")
-    roots = stored(components(links), "links")
+    roots = stored(components(all_links(sets)), "roots")
     placed = stored(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = stored(placed.where("root is not null").groupBy("root").agg(F.min(key).alias("_least")), "smallest")
     out = placed.join(least, "root", "left")
