@@ -78,3 +78,8 @@ def area_between(area: Column, least: float | None, most: float | None) -> Colum
 def edge_ratio_over(w: Column, h: Column, ratio: float) -> Column:
     """Whether both quotients of the edges exceed a ratio; an edge of length 0 fails."""
     return F.coalesce((F.try_divide(w, h) > ratio) & (F.try_divide(h, w) > ratio), F.lit(False))
+
+
+def rescaled(c: Column, to: float, size: float) -> Column:
+    """A prompt's coordinate on an image of another size; negative ones, which pad, are -1."""
+    return F.when(c >= 0, c * F.lit(to) / F.lit(float(size))).otherwise(-1.0)

@@ -75,14 +75,22 @@ def polygon_hits_box(g: Column, box: Corners) -> Column:
     return line_hits_box(g, box) | in_ring(box.x0, box.y0, g)
 
 
+def segment_distance_squared(x: Column, y: Column, e: Column) -> Column:
+    """From a point to the nearest point of an edge: an end, or the foot of the
+    perpendicular where that lies between them."""
+    return between_squared(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
+
+
+def between_squared(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    dx, dy, px, py = bx - ax, by - ay, x - ax, y - ay
+    along, whole = px * dx + py * dy, dx * dx + dy * dy
+    across = px * dy - py * dx
+    return F.when(along <= 0, px * px + py * py).when(along >= whole, (x - bx) * (x - bx) + (y - by) * (y - by)).otherwise(across * across / whole)
+
+
 def distance_squared(x: Column, y: Column, g: Column) -> Column:
     """From a point to the nearest point of a line."""
-    def to(e: Column) -> Column:
-        ax, ay, dx, dy = e["a"]["x"], e["a"]["y"], e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - ax) * dx + (y - ay) * dy, dx * dx + dy * dy), F.lit(0.0))))
-        return (x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy)
-
-    return F.array_min(F.transform(edges(g), to))
+    return F.array_min(F.transform(edges(g), lambda e: segment_distance_squared(x, y, e)))
 
 
 def point_at(g: Column, d: Column) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.boxes import Corners
-from tessera.functions.geometry import distance_squared, envelope
-from tessera.operators.spatial_join import overlap_join
+from tessera.functions.geometry import between_squared
+from tessera.operators.spatial_join import EDGE, edge_rows, near_lines
 
 #: Later channels win where masks overlap.
 PRIORITY = ("road", "tree", "building")
@@ -81,24 +80,26 @@ def without_overlap(masks: DataFrame, by: list[str], channel: str = "channel", p
 
 
 def burn_lines(lines: DataFrame, geometry: str, width: float, height: int, columns: int, keep: list[str]) -> DataFrame:
-    """Pixels (row, col) with their centre within ``width`` of a line. Only pixels near an
-    edge's envelope are looked at."""
-    e = envelope(F.col(geometry))
-    low, high = lambda c, n: F.greatest(F.lit(0), F.floor(c - width).cast("int")), lambda c, n: F.least(F.lit(n - 1), F.floor(c + width).cast("int"))
-    boxed = lines.select(*keep, geometry, low(e.y0, height).alias("_r0"), high(e.y1, height).alias("_r1"), low(e.x0, columns).alias("_c0"), high(e.x1, columns).alias("_c1"))
-    boxed = boxed.where("_r0 <= _r1 and _c0 <= _c1")
-    cells = boxed.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
-    near = distance_squared(F.col("col") + 0.5, F.col("row") + 0.5, F.col(geometry)) <= width * width
+    """Pixels (row, col) with their centre within ``width`` of a line. Equal edges are one,
+    and only pixels near an edge's own envelope are looked at."""
+    single = spread(edge_rows(lines, geometry, keep))
+    low, high = lambda a, b: F.greatest(F.lit(0), F.floor(F.least(a, b) - width).cast("int")), lambda a, b, n: F.least(F.lit(n - 1), F.floor(F.greatest(a, b) + width).cast("int"))
+    boxed = single.withColumns({"_r0": low("_ay", "_by"), "_r1": high("_ay", "_by", height), "_c0": low("_ax", "_bx"), "_c1": high("_ax", "_bx", columns)})
+    rows = boxed.where("_r0 <= _r1 and _c0 <= _c1").withColumn("row", F.explode(F.sequence("_r0", "_r1")))
+    cells = rows.withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    near = between_squared(F.col("col") + 0.5, F.col("row") + 0.5, *map(F.col, EDGE)) <= width * width
     return cells.where(near).select(*keep, "row", "col").distinct()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Over all shuffle partitions, for rows that are few but become many: adaptive
+    execution would put them in as few tasks as their bytes need."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def clip_to_lines(pixels: DataFrame, lines: DataFrame, geometry: str, distance: float, keep: list[str]) -> DataFrame:
     """Set pixels within a distance of a line."""
-    x, y = F.col("col") + 0.5, F.col("row") + 0.5
-    e = lines.select(geometry, *envelope(F.col(geometry)).columns("_x0", "_y0", "_x1", "_y1"))
-    around = Corners(x - distance, y - distance, x + distance, y + distance)
-    near = overlap_join(pixels, e, around, Corners.named("_x0", "_y0", "_x1", "_y1"), cell=64.0)
-    return near.where(distance_squared(x, y, F.col(geometry)) <= distance * distance).select(*keep).distinct()
+    return near_lines(pixels, lines, F.col("col") + 0.5, F.col("row") + 0.5, geometry, distance, 64.0).select(*keep).distinct()
 
 
 def neighbours(pixels: DataFrame, by: list[str]) -> DataFrame:

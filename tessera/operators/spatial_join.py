@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import distance_squared, line_hits_box
+from tessera.functions.geometry import between_squared, edges, line_hits_box
 
 CELL = 400.0
 
@@ -54,16 +54,46 @@ def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, b
     return patches.select(*by).join(met, by, "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
 
 
+def without_covered(boxes: DataFrame, by: str, score: str, share: float, cell: float = CELL / 4) -> DataFrame:
+    """Distinct boxes (``by``, x0, y0, x1, y1, ``score``) but those with a box of the same kind
+    that has a better score (or the same and larger corners) and shares more than a part of
+    their union."""
+    other = boxes.select(*(F.col(c).alias(f"o_{c}") for c in boxes.columns))
+    a, b = Corners.named(), Corners.named("o_x0", "o_y0", "o_x1", "o_y1")
+    met = overlap_join(boxes, other, a, b, cell).where(F.col(by) == F.col(f"o_{by}"))
+    better = F.struct(F.col(f"o_{score}"), "o_x1", "o_y1") > F.struct(F.col(score), "x1", "y1")
+    common = a.common(b).area()
+    covered = met.where(better & (common > share * (a.area() + b.area() - common)))
+    return boxes.join(covered.select(by, "x0", "y0", "x1", "y1").distinct(), [by, "x0", "y0", "x1", "y1"], "left_anti")
+
+
 def lines_in_boxes(boxes: DataFrame, lines: DataFrame, a: Corners, envelope: Corners, geometry: str) -> DataFrame:
     """Pairs of boxes and lines that truly meet."""
     return overlap_join(boxes, lines, a, envelope).where(line_hits_box(F.col(geometry), a))
 
 
-def beyond_lines(points: DataFrame, lines: DataFrame, x: str, y: str, key: list[str], envelope: Corners, geometry: str, distance: float) -> DataFrame:
+EDGE = ("_ax", "_ay", "_bx", "_by")
+
+
+def edge_rows(lines: DataFrame, geometry: str, keep: list[str]) -> DataFrame:
+    """The distinct edges of lines: ``keep`` and the coordinates EDGE."""
+    single = lines.select(*keep, F.explode(edges(F.col(geometry))).alias("_e"))
+    return single.select(*keep, *(F.col(f"_e.{p}.{c}").alias(f"_{p}{c}") for p in "ab" for c in "xy")).distinct()
+
+
+def near_lines(points: DataFrame, lines: DataFrame, x: Column, y: Column, geometry: str, distance: float, cell: float) -> DataFrame:
+    """Rows of ``points``, once for each edge within a distance. Edges are joined one by one,
+    so that what a pair costs is arithmetic on eight numbers."""
+    e = edge_rows(lines, geometry, [])
+    ax, ay, bx, by = map(F.col, EDGE)
+    around = Corners(x - distance, y - distance, x + distance, y + distance)
+    met = overlap_join(points, e, around, Corners(F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by)), cell)
+    return met.where(between_squared(x, y, ax, ay, bx, by) <= distance * distance).select(*points.columns)
+
+
+def beyond_lines(points: DataFrame, lines: DataFrame, x: str, y: str, key: list[str], geometry: str, distance: float) -> DataFrame:
     """Points farther than a distance from every line."""
-    p = Corners(F.col(x) - distance, F.col(y) - distance, F.col(x) + distance, F.col(y) + distance)
-    near = overlap_join(points, lines, p, envelope, cell=max(CELL / 4, 2 * distance))
-    near = near.where(distance_squared(F.col(x), F.col(y), F.col(geometry)) <= distance * distance)
+    near = near_lines(points, lines, F.col(x), F.col(y), geometry, distance, max(CELL / 8, 2 * distance))
     return points.join(near.select(*key).distinct(), key, "left_anti")
 
 

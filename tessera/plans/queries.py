@@ -12,7 +12,7 @@ from tessera.config import SegmentConfig
 from tessera.functions import geometry as g
 from tessera.functions import quadkey as qk
 from tessera.functions import utm
-from tessera.functions.boxes import Corners, area_between, edge_ratio_over
+from tessera.functions.boxes import Corners, area_between, edge_ratio_over, rescaled
 from tessera.operators import catalog, raster, tiling
 from tessera.operators import spatial_join as sj
 from tessera.plans import fixtures as fx
@@ -74,9 +74,9 @@ def q_box_area_px(spark, d):
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES} SELECT {K}, patch_seq, (x0 - 1 - px0) / 0.5 AS left_px, (py1 - (y1 + 1)) / 0.5 AS top_px,
  (x1 + 1 - px0) / 0.5 AS right_px, (py1 - (y0 - 1)) / 0.5 AS bottom_px
- FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 WHERE patch_seq % 20 = 3""")
+ FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1""")
 def q_geo_to_patch(spark, d):
-    met = sj.overlap_join(fx.patches(spark).where("patch_seq % 20 = 3"), fx.boxes(spark, d), patch(), box())
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box())
     return met.select(*fx.KEY, "patch_seq", *box().in_patch(F.col("px0"), F.col("py1"), 0.5, 2).columns("left_px", "top_px", "right_px", "bottom_px"))
 
 
@@ -122,7 +122,7 @@ def q_random_fraction(spark, d):
     return tiling.random_fraction(fx.tiles(spark, d).select("event", "img"), 0.1, 3, ["event"])
 
 
-@query(f"""WITH {fx.TILES}, placed AS (SELECT event, "when", (event_id % 40 * 100)::DOUBLE AS x, (event_id % 23 * 100)::DOUBLE AS y FROM tiles WHERE event_id % 5 = 0)
+@query(f"""WITH {fx.TILES}, placed AS (SELECT DISTINCT event, "when", (event_id % 40 * 100)::DOUBLE AS x, (event_id % 23 * 100)::DOUBLE AS y FROM tiles)
  SELECT event, x0, y0, (i * cols + j)::INT AS patch_seq FROM (SELECT *, unnest(range(greatest(1, ceil((h - 40) / 30) + 1)::INT)) AS i FROM
  (SELECT DISTINCT a.event, greatest(a.x, b.x) AS x0, greatest(a.y, b.y) AS y0, 150 - abs(a.y - b.y) AS h, greatest(1, ceil((150 - abs(a.x - b.x) - 40) / 30) + 1)::INT AS cols
   FROM placed a JOIN placed b ON a.event = b.event AND a."when" = 'pre' AND b."when" = 'post' AND abs(a.x - b.x) <= 150 AND abs(a.y - b.y) <= 150)), range(10) r(j) WHERE j < cols""")
@@ -132,14 +132,14 @@ def q_intersection_grid(spark, d):
 
 def prepost(spark: SparkSession, d: str) -> DataFrame:
     """What pre and post tiles of an event have in common."""
-    placed = fx.tiles(spark, d).where("event_id % 5 = 0").selectExpr("event", "when", "cast(event_id % 40 * 100 as double) x", "cast(event_id % 23 * 100 as double) y").distinct()
+    placed = fx.tiles(spark, d).selectExpr("event", "when", "cast(event_id % 40 * 100 as double) x", "cast(event_id % 23 * 100 as double) y").distinct()
     side = lambda w, p: placed.where(F.col("when") == w).select(F.col("event").alias(f"{p}event"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     a, b = (Corners(F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"{p}x") + 150, F.col(f"{p}y") + 150) for p in "ab")
     met = sj.overlap_join(side("pre", "a"), side("post", "b"), a, b, cell=200).where("aevent = bevent")
     return met.select(F.col("aevent").alias("event"), *a.common(b).columns()).distinct()
 
 
-@query(f"""WITH {fx.TILES}, placed AS (SELECT DISTINCT event, "when", (event_id % 40 * 100)::DOUBLE AS x, (event_id % 23 * 100)::DOUBLE AS y FROM tiles WHERE event_id % 5 = 0)
+@query(f"""WITH {fx.TILES}, placed AS (SELECT DISTINCT event, "when", (event_id % 40 * 100)::DOUBLE AS x, (event_id % 23 * 100)::DOUBLE AS y FROM tiles)
  SELECT DISTINCT a.event, greatest(a.x, b.x) AS x0, greatest(a.y, b.y) AS y0, least(a.x, b.x) + 150 AS x1, least(a.y, b.y) + 150 AS y1
  FROM placed a JOIN placed b ON a.event = b.event AND a."when" = 'pre' AND b."when" = 'post' AND abs(a.x - b.x) <= 150 AND abs(a.y - b.y) <= 150""")
 def q_prepost_overlap(spark, d):
@@ -199,15 +199,14 @@ def q_point_in_poly(spark, d):
     return met.select("o_orderkey", "p_partkey").distinct()
 
 
-@query(f"""WITH {fx.LINES}, {fx.EDGES}, few AS (SELECT * FROM edges WHERE o_orderkey % 50 = 0), p AS (SELECT (r % 100 * 10 + 1)::DOUBLE AS x, (r // 100 * 10 + 2)::DOUBLE AS y, r::INT AS id FROM range(10000) t(r)),
+@query(f"""WITH {fx.LINES}, {fx.EDGES}, e AS (SELECT DISTINCT ax, ay, bx, "by" FROM edges), p AS (SELECT (r % 100 * 10 + 5)::DOUBLE AS x, (r // 100 * 10 + 7)::DOUBLE AS y, r::INT AS id FROM range(10000) t(r)),
  t AS (SELECT id, x, y, ax, ay, bx - ax AS dx, "by" - ay AS dy, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * ("by" - ay)) / ((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)))) AS t
-  FROM p JOIN few ON x BETWEEN least(ax, bx) - 12 AND greatest(ax, bx) + 12 AND y BETWEEN least(ay, "by") - 12 AND greatest(ay, "by") + 12)
- SELECT id, x, y FROM p WHERE id NOT IN (SELECT id FROM t WHERE (x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy) <= 144) AND x < 600 AND y < 600""")
+  FROM p JOIN e ON x >= least(ax, bx) - 1 AND x <= greatest(ax, bx) + 1 AND y >= least(ay, "by") - 1 AND y <= greatest(ay, "by") + 1)
+ SELECT id, x, y FROM p WHERE id NOT IN (SELECT id FROM t WHERE (x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy) <= 1) AND x < 900 AND y < 900""")
 def q_bg_points(spark, d):
-    points = spark.range(10000).selectExpr("cast(id as int) id", "cast(id % 100 * 10 + 1 as double) x", "cast(id div 100 * 10 + 2 as double) y")
-    points = points.where((F.col("x") >= 0) & (F.col("x") < 600) & (F.col("y") >= 0) & (F.col("y") < 600))
-    lines = fx.lines(spark, d).where("o_orderkey % 50 = 0").select("geometry", *g.envelope(F.col("geometry")).columns())
-    return sj.beyond_lines(points, lines, "x", "y", ["id"], box(), "geometry", 12.0).select("id", "x", "y")
+    points = spark.range(10000).selectExpr("cast(id as int) id", "cast(id % 100 * 10 + 5 as double) x", "cast(id div 100 * 10 + 7 as double) y")
+    points = points.where((F.col("x") >= 0) & (F.col("x") < 900) & (F.col("y") >= 0) & (F.col("y") < 900))
+    return sj.beyond_lines(points, fx.lines(spark, d), "x", "y", ["id"], "geometry", 1.0).select("id", "x", "y")
 
 
 @query(f"""WITH {fx.POINTS}, city AS (SELECT 'c' || s_suppkey AS city, (s_suppkey * 37 % 360 - 180)::DOUBLE AS clon, (s_suppkey * 23 % 160 - 80)::DOUBLE AS clat FROM supplier)
@@ -383,22 +382,21 @@ def q_offset_lines(spark, d):
 NEAR_EDGE = """greatest(0, least(1, ((c + 0.5 - ax) * (bx - ax) + (r + 0.5 - ay) * ("by" - ay)) / ((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay))))"""
 
 
-@query(f"""WITH {fx.LINES}, {fx.EDGES}, few AS (SELECT * FROM edges WHERE o_orderkey % 100 = 0),
- cells AS (SELECT *, unnest(range(greatest(0, floor(least(ax, bx) - 6))::INT, least(499, floor(greatest(ax, bx) + 6))::INT + 1)) AS c FROM few),
- grid AS (SELECT *, unnest(range(greatest(0, floor(least(ay, "by") - 6))::INT, least(499, floor(greatest(ay, "by") + 6))::INT + 1)) AS r FROM cells),
+@query(f"""WITH {fx.LINES}, {fx.EDGES}, e AS (SELECT DISTINCT ax, ay, bx, "by" FROM edges),
+ cells AS (SELECT *, unnest(range(greatest(0, floor(least(ax, bx) - 1.5))::INT, least(999, floor(greatest(ax, bx) + 1.5))::INT + 1)) AS c FROM e),
+ grid AS (SELECT *, unnest(range(greatest(0, floor(least(ay, "by") - 1.5))::INT, least(999, floor(greatest(ay, "by") + 1.5))::INT + 1)) AS r FROM cells),
  t AS (SELECT r, c, ax, ay, bx - ax AS dx, "by" - ay AS dy, {NEAR_EDGE} AS t FROM grid)
- SELECT DISTINCT r::INT AS "row", c::INT AS col FROM t WHERE (c + 0.5 - ax - t * dx) * (c + 0.5 - ax - t * dx) + (r + 0.5 - ay - t * dy) * (r + 0.5 - ay - t * dy) <= 36""")
+ SELECT DISTINCT r::INT AS "row", c::INT AS col FROM t WHERE (c + 0.5 - ax - t * dx) * (c + 0.5 - ax - t * dx) + (r + 0.5 - ay - t * dy) * (r + 0.5 - ay - t * dy) <= 2.25""")
 def q_road_mask(spark, d):
-    few = fx.lines(spark, d).where("o_orderkey % 100 = 0")
-    return raster.burn_lines(few, "geometry", 6.0, 500, 500, [])
+    return raster.burn_lines(fx.lines(spark, d), "geometry", 1.5, 1000, 1000, [])
 
 
-@query(f"""WITH {fx.LINES}, {fx.EDGES}, few AS (SELECT * FROM edges WHERE o_orderkey % 200 = 0), set_pixels AS (SELECT (p_partkey * 7 % 500)::INT AS r, (p_partkey * 13 % 500)::INT AS c FROM part),
- t AS (SELECT r, c, ax, ay, bx - ax AS dx, "by" - ay AS dy, {NEAR_EDGE} AS t FROM (SELECT DISTINCT r, c FROM set_pixels) s, few)
- SELECT DISTINCT r AS "row", c AS col FROM t WHERE (c + 0.5 - ax - t * dx) * (c + 0.5 - ax - t * dx) + (r + 0.5 - ay - t * dy) * (r + 0.5 - ay - t * dy) <= 36""")
+@query(f"""WITH {fx.LINES}, {fx.EDGES}, e AS (SELECT DISTINCT ax, ay, bx, "by" FROM edges), set_pixels AS (SELECT DISTINCT (p_partkey * 7 % 1000)::INT AS r, (p_partkey * 13 % 1000)::INT AS c FROM part),
+ t AS (SELECT r, c, ax, ay, bx - ax AS dx, "by" - ay AS dy, {NEAR_EDGE} AS t FROM set_pixels JOIN e ON c + 0.5 >= least(ax, bx) - 1.5 AND c + 0.5 <= greatest(ax, bx) + 1.5 AND r + 0.5 >= least(ay, "by") - 1.5 AND r + 0.5 <= greatest(ay, "by") + 1.5)
+ SELECT DISTINCT r AS "row", c AS col FROM t WHERE (c + 0.5 - ax - t * dx) * (c + 0.5 - ax - t * dx) + (r + 0.5 - ay - t * dy) * (r + 0.5 - ay - t * dy) <= 2.25""")
 def q_mask_clip(spark, d):
-    pixels = fx.read(spark, d, "part").selectExpr("cast(p_partkey * 7 % 500 as int) row", "cast(p_partkey * 13 % 500 as int) col").distinct()
-    return raster.clip_to_lines(pixels, fx.lines(spark, d).where("o_orderkey % 200 = 0"), "geometry", 6.0, ["row", "col"])
+    pixels = fx.read(spark, d, "part").selectExpr("cast(p_partkey * 7 % 1000 as int) row", "cast(p_partkey * 13 % 1000 as int) col").distinct()
+    return raster.clip_to_lines(pixels, fx.lines(spark, d), "geometry", 1.5, ["row", "col"])
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -540,5 +538,70 @@ def q_tile_masks(spark, d):
     """The whole way from a tile to its masks, with stand-ins for the models."""
     features = fx.boxes(spark, d).where("class = 'building'").selectExpr("'t0' tile", "class channel", "score", "x0", "y0", "x1", "y1")
     features = features.groupBy("tile", "channel", "x0", "y0", "x1", "y1").agg(F.max("score").alias("score"))
-    roads = fx.lines(spark, d).where("o_orderkey % 20 = 0").select(F.lit("t0").alias("tile"), "geometry")
+    roads = fx.lines(spark, d).select(F.lit("t0").alias("tile"), "geometry")
     return tile_masks(fx.tile(spark), features, roads, SegmentConfig(min_edge_ratio=0.2, road_width_m=20.0), 8)
+
+
+INVERSE = tuple(" ".join(f"- {b!r} * {f}({2 * j} * xi) * {h}({2 * j} * eta)" for j, b in enumerate(utm.BETA, 1)) for f, h in (("sin", "cosh"), ("cos", "sinh")))
+
+
+@query(f"""WITH {fx.BOXES}, b AS (SELECT class, unnest([0, 1]) AS corner, unnest([min(x0) - 5 + 400000, max(x1) + 5 + 400000]) AS x, unnest([min(y0) - 5 + 4900000, max(y1) + 5 + 4900000]) AS y FROM boxes GROUP BY class),
+ s AS (SELECT class, corner, y / {utm.SCALE * utm.RADIUS!r} AS xi, (x - {utm.EASTING!r}) / {utm.SCALE * utm.RADIUS!r} AS eta FROM b),
+ k AS (SELECT class, corner, xi {INVERSE[0]} AS p, eta {INVERSE[1]} AS e FROM s), c AS (SELECT *, asin(sin(p) / cosh(e)) AS chi FROM k)
+ SELECT class, corner::INT AS corner, round(33 * 6 - 183 + degrees(atan2(sinh(e), cos(p))), 8) AS lon, round(degrees(chi {" ".join(f"+ {x!r} * sin({2 * j} * chi)" for j, x in enumerate(utm.DELTA, 1))}), 8) AS lat FROM c""")
+def q_event_bbox_lon_lat(spark, d):
+    """Each class's bounding box in a UTM zone, by its corners in degrees."""
+    b = catalog.bounding_box(fx.boxes(spark, d), ["class"], 10)
+    corners = utm.box_to_lon_lat(F.col("x0") + 400000, F.col("y0") + 4900000, F.col("x1") + 400000, F.col("y1") + 4900000, F.lit(33), F.lit(False))
+    pairs = F.array(*(F.struct(F.lit(i).alias("corner"), F.round(corners[2 * i], 8).alias("lon"), F.round(corners[2 * i + 1], 8).alias("lat")) for i in (0, 1)))
+    return b.select("class", F.explode(pairs).alias("p")).select("class", "p.*")
+
+
+@query(f"""WITH {fx.BOXES}, u AS (SELECT class, x0, y0, x1, y1, max(score) AS score FROM boxes GROUP BY ALL), t AS (SELECT *, (x1 - x0) * (y1 - y0) AS a FROM u)
+ SELECT class, x0, y0, x1, y1, round(score, 6) AS score FROM t WHERE NOT EXISTS (SELECT 1 FROM t o WHERE o.class = t.class AND o.x0 = t.x0 AND o.y0 = t.y0
+  AND (o.score > t.score OR (o.score = t.score AND (o.x1, o.y1) > (t.x1, t.y1)))
+  AND (least(o.x1, t.x1) - t.x0) * (least(o.y1, t.y1) - t.y0) > 0.5 * (o.a + t.a - (least(o.x1, t.x1) - t.x0) * (least(o.y1, t.y1) - t.y0)))
+ AND NOT EXISTS (SELECT 1 FROM t o WHERE o.class = t.class AND (o.x0 <> t.x0 OR o.y0 <> t.y0) AND o.x0 <= t.x1 AND t.x0 <= o.x1 AND o.y0 <= t.y1 AND t.y0 <= o.y1
+  AND (o.score > t.score OR (o.score = t.score AND (o.x1, o.y1) > (t.x1, t.y1)))
+  AND (least(o.x1, t.x1) - greatest(o.x0, t.x0)) * (least(o.y1, t.y1) - greatest(o.y0, t.y0)) > 0.5 * (o.a + t.a - (least(o.x1, t.x1) - greatest(o.x0, t.x0)) * (least(o.y1, t.y1) - greatest(o.y0, t.y0))))""")
+def q_box_dedupe(spark, d):
+    """Boxes without those that a better one of their class covers."""
+    boxes = fx.boxes(spark, d).groupBy("class", "x0", "y0", "x1", "y1").agg(F.max("score").alias("score"))
+    return rounded(sj.without_covered(boxes, "class", "score", 0.5), 6, "score")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size - 10 >= 0 THEN (p_size - 10) * 1024 / 600::DOUBLE ELSE -1 END AS x, CASE WHEN p_size - 25 >= 0 THEN (p_size - 25) * 1024 / 300::DOUBLE ELSE -1 END AS y FROM part")
+def q_rescaled_points(spark, d):
+    x, y = F.col("p_size") - 10, F.col("p_size") - 25
+    return fx.read(spark, d, "part").select("p_partkey", rescaled(x, 1024, 600).alias("x"), rescaled(y, 1024, 300).alias("y"))
+
+
+@query("SELECT event_type, event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY event_type ORDER BY event_id)::DOUBLE / row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS mean_so_far FROM events")
+def q_running_mean(spark, d):
+    """In hundredths, so that sums are exact."""
+    from pyspark.sql import Window as W
+
+    mean = F.avg(F.round(F.col("value") * 100).cast("long")).over(W.partitionBy("event_type").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0))
+    return fx.read(spark, d, "events").select("event_type", "event_id", mean.alias("mean_so_far"))
+
+
+@query(f"""WITH {fx.TILES} SELECT DISTINCT event, mosaic FROM tiles WHERE "when" = 'pre' INTERSECT SELECT DISTINCT event, mosaic FROM tiles WHERE "when" = 'post'""")
+def q_mosaics_on_both_sides(spark, d):
+    side = lambda w: catalog.select_when(fx.tiles(spark, d), w).select("event", "mosaic")
+    return side("pre").intersect(side("post"))
+
+
+@query(f"""WITH {fx.TILES} SELECT event, img AS tile, k::INT AS k FROM (SELECT event, img, row_number() OVER (PARTITION BY event ORDER BY img) AS k FROM (SELECT DISTINCT event, img FROM tiles)) WHERE k = 18""")
+def q_kth_tile(spark, d):
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy("event").orderBy("tile"))
+    return fx.tiles(spark, d).select("event", F.col("img").alias("tile")).distinct().withColumn("k", k).where("k = 18")
+
+
+@query(f"""WITH {fx.BOXES}, {fx.PATCHES}, first AS (SELECT patch_seq, (px0 + px1) / 2 AS cx, (py0 + py1) / 2 AS cy FROM patches)
+ SELECT patch_seq, cx, cy FROM first WHERE cx >= 1000 AND cx < 7000 AND cy >= 1000 AND cy < 5000""")
+def q_patches_by_center(spark, d):
+    x, y = patch().center()
+    ring = Corners(F.lit(1000.0), F.lit(1000.0), F.lit(7000.0), F.lit(5000.0)).ring()
+    return fx.patches(spark).select("patch_seq", x.alias("cx"), y.alias("cy")).where(g.in_ring(F.col("cx"), F.col("cy"), ring))
