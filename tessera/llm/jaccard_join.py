@@ -40,9 +40,11 @@ BITMAP = 1 << 15
 COMMON = 4
 #: A prefix shingle of so many classes gives all pairs of them; of more, a star.
 MOST_PAIRED = 32
-#: Shingles held at once by a task that looks for repeated ones, and in a chunk of sets.
+#: Shingles held at once by a task that looks for repeated ones, and in a chunk of sets; and
+#: sets in a chunk.
 HELD = 1_500_000
 CHUNK = 2_000_000
+CHUNK_SETS = 250
 
 # Shingles
 
@@ -453,7 +455,7 @@ def linked_blocks(rows: DataFrame) -> DataFrame:
 
 def chunks(sets: DataFrame, name: str) -> DataFrame:
     """For each component, the number of chunks that its sets need."""
-    return sets.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias(name))
+    return sets.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / CHUNK, F.count("*") / CHUNK_SETS)).cast("int").alias(name))
 
 
 def all_links(sets: DataFrame) -> DataFrame:

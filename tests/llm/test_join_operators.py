@@ -93,8 +93,10 @@ def test_join_is_brute_force(spark, monkeypatch, paired):
     assert sorted(map(tuple, out.collect()), key=str) == brute_components(rows)
 
 
-def test_components_too_large_for_a_task(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CHUNK", 300)
+@pytest.mark.parametrize(("shingles", "sets"), [(300, 250), (10**6, 4)])
+def test_components_too_large_for_a_task(spark, monkeypatch, shingles, sets):
+    monkeypatch.setattr(jaccard_join, "CHUNK", shingles)
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", sets)
     rows = near_copies(3, 2, 30, 50, 6)
     assert sorted(map(tuple, jaccard_join.join(docs(spark, rows)).collect()), key=str) == brute_components(rows)
 
