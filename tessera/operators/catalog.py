@@ -99,19 +99,21 @@ def bounding_box(features: DataFrame, by: list[str], grow: float = 0.0) -> DataF
     return out.withColumns({"x0": F.col("x0") - grow / 2, "y0": F.col("y0") - grow / 2, "x1": F.col("x1") + grow / 2, "y1": F.col("y1") + grow / 2})
 
 
-def ecdf(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """(value, rank, share) with share 0 for the smallest and 1 for the largest. Ranks come
-    from counts of rows per value and a running sum over those, so that no task sorts all
-    rows; equal values have the ranks that follow each other."""
+def ecdf(rows: DataFrame, value: str, order: list[str], parts: int = 256) -> DataFrame:
+    """(order, value, rank, share) with share 0 for the smallest and 1 for the largest; ties
+    by ``order``, nulls first. Approximate quantiles cut the values in ``parts`` ranges, each
+    range is ranked by itself and starts after the counts of those before it, so that no
+    task sorts all rows. The result doesn't depend on where the cuts lie."""
     from pyspark.sql import Window as W
 
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    ends = counts.withColumn("_end", F.sum("_n").over(W.orderBy(value)))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    within = F.row_number().over(W.partitionBy(value).orderBy(*order))
-    ranked = rows.withColumn("_k", within).join(ends, value).crossJoin(F.broadcast(total))
-    rank = F.col("_end") - F.col("_n") + F.col("_k")
-    return ranked.select(*order, value, rank.alias("rank"), F.coalesce(F.try_divide(rank - 1, F.col("_all") - 1), F.lit(0.0)).alias("share"))
+    bounds = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)))
+    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    parted = rows.select(*order, value, F.size(F.filter(cuts, lambda b: b <= F.col(value))).alias("_part"))
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range, at most ``parts``
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(value, *order)) + F.col("_before")
+    ranked = parted.join(F.broadcast(before), "_part").withColumn("rank", rank)
+    return ranked.select(*order, value, "rank", F.coalesce(F.try_divide(F.col("rank") - 1, F.col("_all") - 1), F.lit(0.0)).alias("share"))
 
 
 def bucket(value: Column, bounds: list[float]) -> Column:

@@ -165,7 +165,7 @@ def q_patches_over_10(spark, d):
     from pyspark.sql import Window as W
 
     n = sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"]).where("n_boxes > 10")
-    return n.withColumn("k", F.row_number().over(W.orderBy("patch_seq")))
+    return n.withColumn("k", F.row_number().over(W.partitionBy(F.lit("t0")).orderBy("patch_seq")))  # of the one tile
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES}, n AS (SELECT patch_seq, count(*) FILTER (class = 'tree') AS t, count(*) FILTER (class = 'building') AS b FROM patches JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq)
