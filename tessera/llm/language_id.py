@@ -34,7 +34,6 @@ SEED = 11
 PRECISION = 0.99
 UNKNOWN = "und"
 LETTER = re.compile(rb"[A-Za-z]")
-ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -132,7 +131,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         m = shared.value
 
         def of(raw: bytes) -> tuple:
-            if not m.languages or not (LETTER.search(raw) or ANY_LETTER.search(decoded(raw))):
+            if not m.languages or not (LETTER.search(raw) or any(map(str.isalpha, decoded(raw)))):
                 return UNKNOWN, 0.0, False
             x = counts(folded(raw))
             p = softmax((x @ m.table / max(1.0, float(x.sum())) + m.bias) / m.temperature)

@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold("doc_id", 4) == 2
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

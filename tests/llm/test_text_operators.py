@@ -212,10 +212,10 @@ def test_language(spark):
 
 
 def test_language_of_odd_texts(spark):
-    table = docs(spark)
+    table = docs(spark, [*TEXTS, (30, "12 ² _!"), (31, "ñ")])
     model = language_id.train(table, F.lit(True))
     out = language_id.predict(table, model, ["doc_id"]).collect()
-    assert {r.doc_id: r.lang_pred for r in out if r.doc_id in (1, 2, 3, 6)} == {1: "und", 2: "und", 3: "und", 6: "en"}
+    assert {r.doc_id: r.lang_pred for r in out if r.doc_id in (1, 2, 3, 6, 30, 31)} == {1: "und", 2: "und", 3: "und", 6: "en", 30: "und", 31: "en"}
     unlearned = language_id.train(table.limit(0), F.lit(True))
     assert {(r.lang_pred, r.score) for r in language_id.predict(table, unlearned, ["doc_id"]).collect()} == {("und", 0.0)}
 
