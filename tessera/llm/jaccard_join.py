@@ -44,7 +44,7 @@ MOST_PAIRED = 32
 #: sets in a chunk.
 HELD = 1_500_000
 CHUNK = 2_000_000
-CHUNK_SETS = 250
+CHUNK_SETS = 2_000
 
 # Shingles
 
