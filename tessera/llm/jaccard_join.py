@@ -8,8 +8,10 @@ gives the same result, only the number of candidates differs.
 
 Classes that have a prefix shingle in common are candidates: as pairs where few have it, as a
 star where many do, so that no shingle makes more rows than there are classes that have it
-times a constant. Pairs must also pass a bound from parity sketches: sets of so many unequal
-bits differ in at least as many shingles. The components of the candidates hold every link.
+times a constant. A task that meets many hands on its star's center alone, which from then on
+represents the others: whatever meets it is in the star too. Pairs must also pass a bound from
+parity sketches: sets of so many unequal bits differ in at least as many shingles. It says
+nothing of sets that are represented, so edges of stars needn't pass. The components of the candidates hold every link.
 Each component's sets go to a trie: ordered by how many of them have a shingle, common ones
 first, similar sets share most of their path. A set is joined with all others by one
 traversal that computes overlaps along shared paths once and leaves subtrees whose remaining
@@ -171,8 +173,8 @@ def candidates(docs: DataFrame, table: np.ndarray, key: str, text: str, words: i
     shared = docs.sparkSession.sparkContext.broadcast(table)
     mask = np.uint64(COUNT_SLOTS - 1)
 
-    def rows(edge: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), pa.array(a), pa.array(b)], names=["edge", "a", "b"])
+    def rows(edge: bool, a: np.ndarray, b: np.ndarray, center: bool = False) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), pa.array(a), pa.array(b), pa.array(np.full(len(a), center))], names=["edge", "a", "b", "center"])
 
     def dealt(tokens: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each shingle and class; of shingles with many classes, a star of them
@@ -183,7 +185,7 @@ def candidates(docs: DataFrame, table: np.ndarray, key: str, text: str, words: i
         many = np.repeat(size > MOST_PAIRED, size)
         center = np.repeat(classes[first], size)
         yield rows(False, tokens[~many], classes[~many])
-        yield rows(False, tokens[first][size > MOST_PAIRED], classes[first][size > MOST_PAIRED])
+        yield rows(False, tokens[first][size > MOST_PAIRED], classes[first][size > MOST_PAIRED], True)
         if many.any():
             pairs = np.unique(np.stack([classes, center], 1)[many & (classes != center)], axis=0)
             yield rows(True, pairs[:, 0], pairs[:, 1])
@@ -211,35 +213,35 @@ def candidates(docs: DataFrame, table: np.ndarray, key: str, text: str, words: i
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a shingle follow each other. Those of the last one wait for more, as
         long as they are few enough to be paired; then their first is its star's center."""
-        token, waiting, center = None, np.zeros(0, np.int64), None
+        token, waiting, center = None, (np.zeros(0, np.int64), np.zeros(0, bool)), None
         for batch in batches:
-            edge, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edge, a, b, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             yield edges(a[edge], b[edge], True)
-            a, b = a[~edge], b[~edge]
+            a, b, c = a[~edge], b[~edge], c[~edge]
             if not len(a):
                 continue
-            if token is not None and len(waiting):
-                a, b = np.concatenate([np.full(len(waiting), token), a]), np.concatenate([waiting, b])
+            if token is not None and len(waiting[0]):
+                a, b, c = np.concatenate([np.full(len(waiting[0]), token), a]), np.concatenate([waiting[0], b]), np.concatenate([waiting[1], c])
             elif center is not None:
                 go_on = a == token
                 more = np.unique(b[go_on])
                 yield edges(more[more != center], np.full(int((more != center).sum()), center), True)
-                a, b = a[~go_on], b[~go_on]
+                a, b, c = a[~go_on], b[~go_on], c[~go_on]
                 if not len(a):
                     continue
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])  # the same class from two tasks
-            a, b = a[new], b[new]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))  # the same class from two tasks
+            a, b, c = a[new], b[new], np.logical_or.reduceat(c, new)
             first, size = runs(a)
-            token, center, waiting = a[-1], None, b[:0]
+            token, center, waiting = a[-1], None, (b[:0], c[:0])
             if size[-1] <= MOST_PAIRED:
-                waiting, end = b[first[-1] :], len(first) - 1
+                waiting, end = (b[first[-1] :], c[first[-1] :]), len(first) - 1
             else:
                 center, end = b[first[-1]], len(first)
-            yield from joined(b, first[:end], size[:end])
-        if len(waiting) > 1:
-            yield from joined(waiting, np.array([0]), np.array([len(waiting)]))
+            yield from joined(b, c, first[:end], size[:end])
+        if len(waiting[0]) > 1:
+            yield from joined(*waiting, np.array([0]), np.array([len(waiting[0])]))
 
-    rowed = text_bytes(docs, text=text).mapInArrow(lean(local), "edge boolean, a long, b long")
+    rowed = text_bytes(docs, text=text).mapInArrow(lean(local), "edge boolean, a long, b long, center boolean")
     return rowed.repartition("a").sortWithinPartitions("edge", "a", "b").mapInArrow(lean(across), "a long, b long, star boolean")
 
 
@@ -253,15 +255,19 @@ def edges(a: np.ndarray, b: np.ndarray, star: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), star))], names=["a", "b", "star"])
 
 
-def joined(b: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Edges of runs of classes: pairs of the short ones, stars of the others."""
-    pairs = []
+def joined(b: np.ndarray, center: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges of runs of classes: pairs of the short ones, stars of the others and of those in
+    which a class is the center of a task's star. A pair's bound doesn't hold for a center,
+    as it stands for classes that are not here."""
+    pairs, centers = [], np.append(0, np.cumsum(center))
+    starred = (size > MOST_PAIRED) | (centers[first + size] > centers[first])
     for n in np.unique(size):
-        at = first[size == n]
-        if 1 < n <= MOST_PAIRED:
+        at = first[(size == n) & ~starred]
+        if n > 1 and len(at):
             i, j = np.triu_indices(n, 1)
             pairs.append(np.stack([b[at[:, None] + i].ravel(), b[at[:, None] + j].ravel()], 1))
-        elif n > MOST_PAIRED:
+        at = first[(size == n) & starred]
+        if n > 1 and len(at):
             rest = at[:, None] + np.arange(1, n)
             yield edges(b[rest].ravel(), np.repeat(b[at], n - 1), True)
     if pairs:

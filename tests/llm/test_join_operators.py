@@ -93,6 +93,18 @@ def test_join_is_brute_force(spark, monkeypatch, paired):
     assert sorted(map(tuple, out.collect()), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("outside", [1, 3])
+def test_links_with_members_of_a_tasks_star(spark, outside):
+    """One task has a base and 39 sets that are linked with it alone; so are the sets elsewhere.
+    All that they have in common with it in their prefixes is the star's shingle."""
+    base = " ".join(f"b{i}" for i in range(404))
+    own = lambda k: f"{base} {' '.join(f'o{k}_{i}' for i in range(96))}"
+    parts = [[(0, base), *((k, own(k)) for k in range(1, 40))], *([(100 + k, own(100 + k))] for k in range(outside))]
+    rows = [x for part in parts for x in part]
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(dealt).collect()), key=str) == brute_components(rows)
+
+
 @pytest.mark.parametrize(("shingles", "sets"), [(300, 250), (10**6, 4)])
 def test_components_too_large_for_a_task(spark, monkeypatch, shingles, sets):
     monkeypatch.setattr(jaccard_join, "CHUNK", shingles)
