@@ -247,6 +247,17 @@ def test_shuffled_windows_give_the_same(spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.contaminated(docs(spark, [(1, ITEM), (2, "x")]), items).collect()] == [1]
 
 
+def test_items_of_mostly_placeholders_are_caught(spark):
+    titled = "What Is The Largest City In The State Of Texas By Population Today And When Was It Founded"
+    texts = [titled, titled.upper(), "Compute 12 + 7 - 3 + 45 / 9 - 2 + 8 * 6 - 1 + 30", "Convert 3 kg 40 g 7 lb 2 oz and 5 Tons to Pounds"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k + 10 * n, f"{before}{t}. And more.") for n, before in enumerate(("", "So it was. ", "the Question, ", "A B ")) for k, t in enumerate(texts)]
+    rows += [(90, texts[2].replace("45", "46").replace("7", "8").replace("6", "5")), (91, "The Smallest Town In The State Of Ohio By Area Now And When Was It Lost")]
+    found = decontaminate.contaminated(docs(spark, rows), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found if r.doc_id % 10 == r.item_id) == [(k + 10 * n, k) for n in range(4) for k in range(4)]
+    assert all(r.doc_id < 90 and r.doc_id % 10 in {r.item_id, r.item_id ^ 1} for r in found)
+
+
 def test_decontamination_of_nothing(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0
