@@ -258,6 +258,15 @@ def test_items_of_mostly_placeholders_are_caught(spark):
     assert all(r.doc_id < 90 and r.doc_id % 10 in {r.item_id, r.item_id ^ 1} for r in found)
 
 
+def test_short_items_and_unspaced_scripts_are_caught(spark):
+    texts = ["What is 17 times 23?", "中国的首都是哪里，它有多少人口，什么时候建立的？", "ประเทศไทยมีกี่จังหวัด", "東京タワーの高さ", "Please name the author of 1984", "Yes"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k + 10 * n, f"{before}{t}{after}") for n, (before, after) in enumerate((("", ""), ("Before: ", " And after."), ("前の文。", "。次"))) for k, t in enumerate(texts)]
+    rows += [(90, "What is 17 times 24?"), (91, "Please name the author of 2001"), (92, "中国的河流是哪些"), (93, "times 23 is 17 what")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert found == {(k + 10 * n, k) for n in range(3) for k in range(6)} | {(91, 4)}
+
+
 def test_decontamination_of_nothing(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0
