@@ -267,6 +267,17 @@ def test_short_items_and_unspaced_scripts_are_caught(spark):
     assert found == {(k + 10 * n, k) for n in range(3) for k in range(6)} | {(91, 4)}
 
 
+def test_one_inconsistent_slot_leaves_the_other_windows(spark):
+    middle = "while the old farmer looks at all the fields and thinks about what his father once said to him under the tree by the river"
+    item = f"A basket holds 2 apples and some pears {middle} and after waiting for 2 hours he walks back."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (2, item.replace("2 apples", "3 apples").replace("2 hours", "5 hours")), (3, item.replace("2 hours", "7 hours"))]
+    rows += [(4, f"Nothing. {middle[:30]}")]
+    found = {r.doc_id: (r.n_windows, r.n_slots) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    windows = found.pop(1)[0]
+    assert set(found) == {2, 3} and all(windows / 2 <= n < windows and slots == 0 for n, slots in found.values())
+
+
 def test_decontamination_of_nothing(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0
