@@ -123,6 +123,7 @@ class Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.older = tokenizer, {}
+        self.special = {t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()}
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -162,12 +163,13 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 MARK = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)")
 
 
-def stretches_of(text: str) -> list[str] | None:
+def stretches_of(text: str, special: set[str]) -> list[str] | None:
     """Stretches whose ids make up the text's; None if it has to be encoded at once. The
     tokenizer composes characters and then lowers case letter by letter; lowering first does
-    the same unless there is something to compose, or a sigma, whose place would count."""
+    the same unless there is something to compose, or a sigma, whose place would count. It
+    looks for special tokens' strings before all that, so texts that have one go at once."""
     low = text.lower()
-    if any(c in text for c in SEPARATORS):
+    if any(c in text for c in SEPARATORS) or any(s in low for s in special):
         return None
     if not text.isascii() and ("Σ" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low))):
         return None
@@ -177,7 +179,7 @@ def stretches_of(text: str) -> list[str] | None:
 def encode(texts: list[str], known: Words) -> Iterator[bytes]:
     """The ids of each text. The texts together should be few enough to know all their
     stretches at once."""
-    apart = [stretches_of(t) for t in texts]
+    apart = [stretches_of(t, known.special) for t in texts]
     known.learn(set(chain.from_iterable(filter(None, apart))))
     for text, stretches in zip(texts, apart, strict=True):
         yield known.of(text) if stretches is None else b"".join(map(known.__getitem__, stretches))
@@ -187,9 +189,7 @@ def encode(texts: list[str], known: Words) -> Iterator[bytes]:
 def words(tokenizer_path: str) -> Words:
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-    return Words(tokenizer)
+    return Words(Tokenizer.from_file(tokenizer_path))
 
 
 def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -264,5 +264,9 @@ def documents(spark: SparkSession, files: list[tuple[int, str, int, int]], key:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id") -> DataFrame:
+    """``key``, start, n_tokens and ids_crc32 of each document, from files written to the
+    shared folder and read back. Documents without text have the end id alone, repeated rows
+    are documents each, and without rows there are no files. A special token's string in a
+    text is that token, as the tokenizer has it."""
     spark = docs.sparkSession
     return documents(spark, write(docs, shared_dir(spark, "token-files"), tokenizer_path, end_id, key), key)

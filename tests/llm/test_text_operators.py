@@ -237,8 +237,7 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.WORDS)
-    tokenizer.encode_special_tokens = True
-    rows = [*TEXTS, (9, "Ünï Ǆ ΐΣ Ab\u0301.\x1cx hable.$$$ 3.5, a.. <|endoftext|>")]
+    rows = [*TEXTS, (9, "Ünï Ǆ ΐΣ Ab\u0301.\x1cx hable.$$$ 3.5, a.. <|endoftext|>"), (10, "a <|endoftext|> b <|startoftext|>"), (11, "A<|EndOfText|>b <|STARTOFTEXT|> x<|endoftext|>y <|endoftext|")]
     out = token_files.round_trip(docs(spark, rows), queries.WORDS, 2).collect()
     start = 0
     for r, (key, text) in zip(sorted(out, key=lambda r: r.start), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
