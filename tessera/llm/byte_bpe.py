@@ -1,18 +1,26 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-An encoded stretch of text is an element of a monoid: its pieces (the matches of the
-splitting pattern, which concatenate to the text). Texts longer than ``leaf_chars`` are cut
-in halves anywhere, the halves are encoded recursively, and neighbours are joined. Only
-pieces near the seam can differ from those of the whole, so joining splits a window around
-the seam anew and widens it until it provably agrees with what lies outside:
+An encoded stretch of text is an element of a monoid: its tokens, grouped by the pieces that
+the splitting pattern makes. A text is cut in halves anywhere, the halves are encoded
+recursively down to small leaves, and neighbours are joined. Only what is near the seam can
+differ from the whole's encoding, so joining encodes a window around the seam anew and widens
+it until it provably agrees with what lies outside. Of pieces:
 
 * A piece of the left half is final if it ends at least ``LOOKAHEAD`` characters before the
   seam: the pattern reads at most that far beyond the end of its match.
 * The pattern scans from left to right and remembers nothing but its position. Once a piece
   boundary of the window is also a boundary of the right half, every later piece is the same.
 
-Byte pairs are then merged within each piece, which is independent of all others. Decoding
-joins the bytes of the two halves up the same tree.
+Of tokens, where a piece is made of pieces of both halves: tokens are a piece's encoding if
+and only if each two neighbours are the encoding of their own bytes. (Take the first merge
+across a boundary of tokens: all merges before it lie inside tokens, so those of its two
+tokens alone come in the same order and it would happen there too.) A window of the last
+tokens of one and the first of the other is merged anew. If its first token is the one that
+was there, and its last too, then all neighbours are right: those outside the window were,
+those inside are. Else the window grows. Each token of the ranks must be the encoding of its
+own bytes, as it is for ranks that come from merges.
+
+Decoding joins the bytes of the two halves up the same tree.
 """
 
 from __future__ import annotations
@@ -21,26 +29,33 @@ import base64
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.tables import decoded, lean, map_texts
 
-#: Characters beyond the end of a match that the splitting pattern may read: an apostrophe
-#: alone was first tried as a contraction of three characters.
+#: Characters beyond the end of a match that the splitting pattern may read. In the public
+#: pattern an apostrophe was first tried as a contraction of three characters, and a run of
+#: white space gives its last one to the word behind it. Another pattern may need another value.
 LOOKAHEAD = 2
 #: Pieces whose tokens a task remembers; beyond it the memory starts afresh.
 CACHED_PIECES = 150_000
-LEAF_CHARS = 16_384
+LEAF_CHARS = 512
 LEAF_TOKENS = 8_192
+#: Tokens on either side of a seam that are merged anew at first.
+SEAM_TOKENS = 2
+
+#: A piece and its tokens.
+Part = tuple[str, list[int]]
 
 
 @dataclass
 class Vocabulary:
     split: Callable[[str], list[str]]
-    merge: Callable[[bytes], list[int]]
+    #: The tokens of a text as one piece.
+    merge: Callable[[str], list[int]]
     tokens: list[bytes]
 
 
@@ -51,49 +66,105 @@ def vocabulary(ranks_path: str, pattern: str) -> Vocabulary:
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    unsplit = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    return Vocabulary(regex.compile(pattern).findall, core.encode_single_piece, tokens)
-
-
-def join(left: list[str], right: list[str], split: Callable[[str], list[str]]) -> list[str]:
-    """Pieces of the two texts' concatenation, from the pieces of each."""
-    if not left or not right:
-        return left or right
-    keep, tail = len(left), 0
-    while keep and tail < LOOKAHEAD:
-        keep -= 1
-        tail += len(left[keep])
-    before = "".join(left[keep:])
-    width = 2
-    while True:
-        taken = right[:width]
-        whole = width >= len(right)
-        window = split(before + "".join(taken))
-        if whole:
-            return left[:keep] + window
-        ends, at = {}, len(before)
-        for i, piece in enumerate(taken):
-            at += len(piece)
-            ends[at] = i + 1
-        limit, at = at - LOOKAHEAD, 0
-        for i, piece in enumerate(window):
+    return Vocabulary(regex.compile(pattern).findall, unsplit.encode_ordinary, tokens)
+
+
+class Encoder:
+    """Encodes texts by halves; remembers the tokens of short pieces."""
+
+    def __init__(self, v: Vocabulary, leaf_chars: int = LEAF_CHARS, lookahead: int = LOOKAHEAD):
+        self.v, self.leaf, self.lookahead = v, leaf_chars, lookahead
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, text: str) -> list[int]:
+        return [i for _, ids in self.parts(text) for i in ids]
+
+    def merged(self, piece: str) -> list[int]:
+        found = self.known.get(piece)
+        if found is None:
+            found = self.v.merge(piece)
+            if len(piece) <= 64:
+                if len(self.known) >= CACHED_PIECES:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
+
+    def parts(self, text: str) -> list[Part]:
+        if len(text) <= self.leaf:
+            return [(p, self.merged(p)) for p in self.v.split(text)]
+        half = len(text) // 2
+        return self.join(self.parts(text[:half]), self.parts(text[half:]))
+
+    def join(self, left: list[Part], right: list[Part]) -> list[Part]:
+        """The parts of the two texts' concatenation, from the parts of each."""
+        if not left or not right:
+            return left or right
+        keep, tail = len(left), 0
+        while keep and tail < self.lookahead:
+            keep -= 1
+            tail += len(left[keep][0])
+        near = left[keep:]
+        width = 2
+        while True:
+            taken = right[:width]
+            window = self.v.split("".join([p for p, _ in near + taken]))
+            if width >= len(right):
+                return left[:keep] + self.placed(window, near + taken)
+            ends, at = {}, tail
+            for i, (piece, _) in enumerate(taken):
+                at += len(piece)
+                ends[at] = i + 1
+            limit, at = at - self.lookahead, 0
+            for i, piece in enumerate(window):
+                at += len(piece)
+                if at > limit:
+                    break
+                if at in ends:
+                    return left[:keep] + self.placed(window[: i + 1], near + taken[: ends[at]]) + right[ends[at] :]
+            width *= 2
+
+    def placed(self, pieces: list[str], old: list[Part]) -> list[Part]:
+        """The pieces with their tokens. Both cut the same text; a piece that is made of whole
+        old ones gets their tokens joined, any other is encoded by halves."""
+        starts, at = {}, 0
+        for k, (p, _) in enumerate(old):
+            starts[at] = k
+            at += len(p)
+        starts[at] = len(old)
+        out, at = [], 0
+        for piece in pieces:
+            a, b = starts.get(at), starts.get(at + len(piece))
             at += len(piece)
-            if at > limit:
-                break
-            if at in ends:
-                return left[:keep] + window[: i + 1] + right[ends[at] :]
-        width *= 2
-
-
-def pieces(text: str, split: Callable[[str], list[str]], leaf_chars: int = LEAF_CHARS) -> list[str]:
-    """The pattern's matches in a text, by halves."""
-    if len(text) <= leaf_chars:
-        return split(text)
-    half = len(text) // 2
-    return join(pieces(text[:half], split, leaf_chars), pieces(text[half:], split, leaf_chars), split)
+            if a is None or b is None:
+                out.append((piece, self.whole(piece)))
+            else:
+                out.append((piece, reduce(self.join_tokens, [ids for _, ids in old[a:b]])))
+        return out
+
+    def whole(self, piece: str) -> list[int]:
+        """The tokens of a text that is one piece."""
+        if len(piece) <= self.leaf:
+            return self.merged(piece)
+        half = len(piece) // 2
+        return self.join_tokens(self.whole(piece[:half]), self.whole(piece[half:]))
+
+    def join_tokens(self, a: list[int], b: list[int]) -> list[int]:
+        """The tokens of a piece, from those of its two halves."""
+        tokens, width = self.v.tokens, SEAM_TOKENS
+        while True:
+            i, j = max(0, len(a) - width), min(len(b), width)
+            while i and tokens[a[i]][0] & 0xC0 == 0x80:  # within a character
+                i -= 1
+            while j < len(b) and tokens[b[j]][0] & 0xC0 == 0x80:
+                j += 1
+            window = self.merged(b"".join([tokens[t] for t in a[i:] + b[:j]]).decode())
+            if (not i or window[0] == a[i]) and (j == len(b) or window[-1] == b[j - 1]):
+                return a[:i] + window + b[j:]
+            width *= 2
 
 
 def decode(ids: list[int], tokens: list[bytes], leaf_tokens: int = LEAF_TOKENS) -> bytes:
@@ -103,25 +174,6 @@ def decode(ids: list[int], tokens: list[bytes], leaf_tokens: int = LEAF_TOKENS)
     return decode(ids[:half], tokens, leaf_tokens) + decode(ids[half:], tokens, leaf_tokens)
 
 
-def encoder(v: Vocabulary, leaf_chars: int = LEAF_CHARS) -> Callable[[str], list[int]]:
-    cache: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in pieces(text, v.split, leaf_chars):
-            found = cache.get(piece)
-            if found is None:
-                if len(cache) >= CACHED_PIECES:
-                    cache.clear()
-                found = v.merge(piece.encode())
-                if len(piece) <= 64:
-                    cache[piece] = found
-            ids += found
-        return ids
-
-    return encode
-
-
 def encode_column(
     docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text", leaf_chars: int = LEAF_CHARS
 ) -> DataFrame:
@@ -133,7 +185,7 @@ def encode_column(
 
     def start():
         v = vocabulary(ranks_path, pattern)
-        encode = encoder(v, leaf_chars)
+        encode = Encoder(v, leaf_chars)
 
         def of(raw: bytes) -> tuple:
             ids = encode(decoded(raw))
@@ -176,7 +228,7 @@ def round_trip(
 
     def start():
         v = vocabulary(ranks_path, pattern)
-        encode, digits = encoder(v, leaf_chars), [str(i) for i in range(len(v.tokens))]
+        encode, digits = Encoder(v, leaf_chars), [str(i) for i in range(len(v.tokens))]
 
         def of(raw: bytes) -> tuple:
             ids = encode(decoded(raw))

@@ -38,14 +38,43 @@ def encoding():
 # 2: byte-level BPE
 
 
-@pytest.mark.parametrize("leaf", [1, 2, 3, 7, 50, 100_000])
-def test_tree_of_halves_splits_like_the_whole(leaf):
-    import regex
-
-    split = regex.compile(public_tokenizers.PATTERN).findall
-    for text in ["", "a", "it's we're they'll 'r 're", "x  \n\n  y", "   ", "a" * 40 + "  " + "1" * 40, "!?'ve'ré  \t日本 語", LONG[:3000]]:
-        if leaf >= 50 or len(text) < 500:
-            assert byte_bpe.pieces(text, split, leaf) == split(text)
+@pytest.fixture(scope="module")
+def vocabulary():
+    return byte_bpe.vocabulary(queries.RANKS, public_tokenizers.PATTERN)
+
+
+SEAMS = ["", "a", "it's we're they'll 'r 're", "x  \n\n  y", "   ", "a" * 40 + "  " + "1" * 40, "!?'ve'ré  \t日本 語", "'lll", "antidisestablishmentarianism" * 9, "ab" * 300, "é" * 300 + "日" * 300, "\n" * 90 + "x", LONG[:3000]]
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 3, 7, 50, 512, 1000])
+def test_tree_of_halves_is_the_library(encoding, vocabulary, leaf):
+    r, encode = np.random.default_rng(leaf), byte_bpe.Encoder(vocabulary, leaf)
+    alphabet = [*"aab ''slrevemtd  \n\t1!?.é日ß ́🙂", "the", "ing", " of", "'re", "  "]
+    for text in [*SEAMS, *("".join(r.choice(alphabet, r.integers(1, 120))) for _ in range(300))]:
+        assert encode(text) == encoding.encode_ordinary(text)
+        assert [p for p, _ in encode.parts(text)] == vocabulary.split(text)
+
+
+def test_pieces_of_a_megabyte(encoding, vocabulary):
+    encode, r = byte_bpe.Encoder(vocabulary), np.random.default_rng(1)
+    for text in ["z" * 100_000, " " * 200_000 + "x", "'" + "l" * 50_000, "日本" * 30_000, "".join(r.choice(list("aeinorst"), 50_000))]:
+        assert encode(text) == encoding.encode_ordinary(text)
+    text = "".join(r.choice(list("aeinorst"), 1_000_000))
+    ids = encode(text)
+    assert byte_bpe.decode(ids, vocabulary.tokens) == text.encode()
+    for a, b in set(zip(ids, ids[1:], strict=False)):  # each two neighbours are the encoding of their bytes
+        assert vocabulary.merge((vocabulary.tokens[a] + vocabulary.tokens[b]).decode()) == [a, b]
+
+
+def test_each_token_is_the_encoding_of_its_bytes(vocabulary):
+    """By merges alone, without looking the whole up."""
+    ranks = {t: i for i, t in enumerate(vocabulary.tokens)}
+    for token in vocabulary.tokens:
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+            assert rank < 1 << 30, token
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
 def test_round_trip_is_the_library(spark, encoding):
