@@ -284,6 +284,35 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.contaminated(docs(spark, [(1, ITEM)]), items.limit(0)).count() == 0
 
 
+NUMERIC = "What is 12 + 35 * 4 - 9 / 3 + 18 * 2 - 7 + 41 in total?"
+ALICE = "Alice has 15 apples and Mary Ann gives her twenty-two pears for 3 hours of work. How many pieces of fruit does Alice have now?"
+SIX = "Where was Tom Brady born?"
+
+
+def test_verbatim_items_are_always_found(spark, duck):
+    """Whatever their words are and wherever they stand; re-parameterised ones where enough of
+    their words aren't placeholders. By SQL as well."""
+    texts = [NUMERIC, ALICE, SIX, "What is the capital of France?", "NATO", "7", ITEM, "the of and to a in is it you that", "Paris Berlin Rome Madrid Lisbon Oslo Vienna Prague Warsaw"]
+    rows = [(k + 100 * n, f"{before}{t}{after}") for n, (before, after) in enumerate((("", ""), ("Quarterback ", " Brady"), ("12 kg ", " 3"), ("one ", " and"), ("So it goes.\n", "\nThen."))) for k, t in enumerate(texts)]
+    renamed = [
+        (901, ALICE.replace("Alice", "Bob").replace("15", "seven").replace("Mary Ann", "Tom").replace("twenty-two", "40").replace("hours", "days")),
+        (902, ALICE.replace("Alice", "Tom Jones").replace("15", "3,000").replace("Mary Ann", "Eve")),
+        (903, ALICE.replace("Alice", "Bob").replace("15", "seven").replace("Mary Ann", "Bob").replace("twenty-two", "40").replace("hours", "days")),  # two are one
+        (904, "What is the capital of Spain?"),
+        (905, NUMERIC.replace("12", "13").replace("9", "8").replace("* 2", "* 5")),
+    ]
+    rows += renamed + [(906, None), (907, "x y z " * 3000 + ALICE), (None, SIX)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    out = decontaminate.contaminated(docs(spark, rows), items).toPandas()
+    found = {(r.doc_id, r.item_id) for r in out.itertuples()}
+    assert {(k + 100 * n, k) for n in range(5) for k in range(len(texts))} <= found and (907, 1) in found
+    assert {k for k, i in found if i == 1 and k > 900} == {901, 902, 907} and (904, 3) in found and (905, 0) not in found
+    cursor = duck.cursor()
+    these, those = docs(spark, rows).toPandas().astype({"doc_id": "Int64"}), items.toPandas()  # noqa: F841
+    cursor.execute("create schema d; create table d.documents as select * from these; create table d.benchmark as select * from those; set schema = 'd'")
+    assert_same(out.astype({"doc_id": "Int64"}), cursor.execute(decontaminate.SQL).df().astype({"doc_id": "Int64"}))
+
+
 def test_decontamination_is_its_sql(spark, duck):
     assert_same(queries.op5_decontaminate(spark, DATA).toPandas(), duck.execute(decontaminate.SQL).df())
 
