@@ -9,6 +9,7 @@ edits. Parts of a notice that tell licences apart (version numbers, short names)
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -129,9 +130,10 @@ def spans_in(text: str, patterns: list, automaton) -> list[tuple[int, int, int,
         found += exact
         if not p.edits:
             continue
-        taken = [(a, b) for _, a, b, _ in exact]
+        taken = [a for _, a, _, _ in exact]
         for at in sorted(anchors):
-            if at + p.edits < done or any(a < at + size and at < b for a, b in taken if abs(a - at) <= size):
+            after = bisect_right(taken, at - size)  # the first exact place that ends behind this one's start
+            if at + p.edits < done or (after < len(taken) and taken[after] < at + size):
                 continue
             m = expression.search(text, max(0, at - p.edits - 1), min(len(text), at + size + p.edits + 1))
             if m and sum(m.fuzzy_counts) <= p.edits and (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
@@ -142,8 +144,9 @@ def spans_in(text: str, patterns: list, automaton) -> list[tuple[int, int, int,
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """``keep``, n_words and ``spans``: an array of (label, notice, base, first_word, n_words,
-    edits, similarity, matched) by place. One row for each input row, in one pass without a
-    shuffle; null and empty texts have no words and no spans."""
+    edits, similarity, matched) by place, then notice. One row for each input row, repeated ones
+    too, in one pass without a shuffle; null and empty texts have no words and no spans. A text
+    is read whole, in time in proportion to its length and its places."""
     span = pa.struct([pa.field("label", pa.string()), pa.field("notice", pa.string()), pa.field("base", pa.bool_()), pa.field("first_word", pa.int64()), pa.field("n_words", pa.int64()), pa.field("edits", pa.int32()), pa.field("similarity", pa.float64()), pa.field("matched", pa.string())])
 
     def start() -> Callable[[bytes], tuple]:
@@ -166,7 +169,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: tuple[No
 
 def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:
     """Counts and labels of each row's spans. Base places are those of base notices without
-    edits; score is the best similarity of any span, else 0."""
+    edits; score is the best similarity of any span, else 0. Rows without spans have no places,
+    empty labels and score 0."""
     base = F.filter("spans", lambda s: s["base"] & (s["edits"] == 0))
     joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     first = F.transform(base, lambda s: s["first_word"])
