@@ -4,7 +4,8 @@ The reader walks EBML elements (identifier and size of variable length, unknown
 included), and turns clusters, simple blocks, block groups and the four kinds of lacing into
 rows of packets with track, timestamp and byte range. A packet's bytes are its range of the
 column's value, so nothing is copied until they are wanted. Truncated media give the packets
-that are whole; null media give none.
+and cues that are whole, malformed blocks none; null and empty media have neither. A value is
+held whole by its task, as Spark's binary columns are.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,8 @@ CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 #: Elements that end a segment or cluster of unknown size.
 TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, EBML, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
+#: Elements that are read as far as they go if the file is cut off; of others, a part is nothing.
+OPEN = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES}
 
 FRAME = 576
 RATE = 48_000
@@ -144,7 +147,8 @@ def vint(data: bytes, at: int, marked: bool) -> tuple[int, int, int]:
 
 
 def children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """Identifier, start and end of the bodies of the elements in a range."""
+    """Identifier, start and end of the bodies of the elements in a range. What doesn't end in
+    the range is left out, or cut if it is OPEN."""
     while at < end:
         try:
             name, at, _ = vint(data, at, True)
@@ -154,7 +158,8 @@ def children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         stop = at + size
         if size == (1 << 7 * width) - 1:
             stop = unknown_end(data, at, end, name)
-        yield name, at, min(stop, end)
+        if stop <= end or name in OPEN:
+            yield name, at, min(stop, end)
         at = stop
 
 
@@ -177,7 +182,8 @@ def number(data: bytes, start: int, end: int) -> int:
 
 
 def block_frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """Track, relative timestamp, flags and the byte ranges of a block's frames."""
+    """Track, relative timestamp, flags and the byte ranges of a block's frames; an error if
+    they don't fill it."""
     track, at, _ = vint(data, at, False)
     relative, flags = struct.unpack_from(">hB", data, at)
     at += 3
@@ -195,6 +201,8 @@ def block_frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tu
             sizes.append(size + data[at])
             at += 1
     elif lacing == FIXED:
+        if (end - at) % n:
+            raise ValueError("frames of one size don't fill the block")
         sizes = [(end - at) // n] * (n - 1)
     elif n > 1:
         size, at, _ = vint(data, at, False)
@@ -203,6 +211,8 @@ def block_frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tu
             raw, at, width = vint(data, at, False)
             sizes.append(sizes[-1] + raw - ((1 << 7 * width - 1) - 1))
     sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError("frames are larger than the block")
     starts = [at]
     for size in sizes[:-1]:
         starts.append(starts[-1] + size)
@@ -284,23 +294,36 @@ def feature(samples: bytes, media: Media) -> str:
 
 
 def mux_column(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``media``, a Matroska file of each text's padded bytes."""
+    """``keep`` and ``media``, a Matroska file of each text's padded bytes; null counts as
+    empty, which is one packet of filling."""
     return map_texts(rows, keep, [pa.field("media", pa.binary())], lambda: lambda raw: (mux(payload_of(raw)),), text)
 
 
-def packets(rows: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """A row for each packet of each media value: ``keep``, packet_no, track, timestamp_ns,
-    offset, size, keyframe, lacing, cluster. Values without packets give no rows."""
+def table_of(rows: DataFrame, keep: list[str], media: str, name: str, fields: list[tuple[str, pa.DataType]], of: Callable[[Media], list[tuple]]) -> DataFrame:
+    """A row for each tuple that a media value gives, with its number."""
     from pyspark.sql import functions as F
 
-    fields = [("track", pa.int32()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.int32()), ("cluster", pa.int32())]
     kind = pa.list_(pa.struct([pa.field(n, t) for n, t in fields]))
+    names = [n for n, _ in fields]
 
     def start():
-        return lambda raw: ([p._asdict() for p in demux(raw).packets],)
+        return lambda raw: ([dict(zip(names, x, strict=True)) for x in of(demux(raw))],)
+
+    table = map_texts(rows, keep, [pa.field("_rows", kind)], start, media)
+    return table.select(*keep, F.posexplode("_rows").alias(f"{name}_no", "p")).select(*keep, f"{name}_no", "p.*")
+
+
+def packets(rows: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """A row for each packet of each media value: ``keep``, packet_no, track, timestamp_ns,
+    offset, size, keyframe, lacing, cluster. Values without packets give no rows."""
+    fields = [("track", pa.int32()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.int32()), ("cluster", pa.int32())]
+    return table_of(rows, keep, media, "packet", fields, lambda m: m.packets)
+
 
-    table = map_texts(rows, keep, [pa.field("packets", kind)], start, media)
-    return table.select(*keep, F.posexplode("packets").alias("packet_no", "p")).select(*keep, "packet_no", "p.*")
+def cues(rows: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """A row for each cue of each media value: ``keep``, cue_no, timestamp_ns, track, offset
+    (of the cluster's first byte). Values without cues give no rows."""
+    return table_of(rows, keep, media, "cue", [("timestamp_ns", pa.int64()), ("track", pa.int32()), ("offset", pa.int64())], lambda m: m.cues)
 
 
 def stored_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -138,6 +138,66 @@ def test_spans_of_a_notice(spark):
     assert [(s.label, s.first_word, s.n_words, s.edits, s.matched) for s in row.spans] == [("mit", 2, 4, 1, "under the mit licnse")]
 
 
+def places_by_all_alignments(text, notice, most):
+    """(start, end) of stretches between spaces: the fewest edits that make the notice of them,
+    where characters in braces allow none, before, in or after them."""
+    plain, hard = "", []
+    for part in notice.phrase.replace("}", "{").split("{"):
+        exact = "{" + part + "}" in notice.phrase
+        plain, hard = plain + part, hard + [exact] * len(part)
+    starts = [i for i in range(len(text)) if i == 0 or text[i - 1] == " "]
+    found, far = {}, most + 1
+    for a in starts:
+        row = [0 if not j else far for j in range(len(plain) + 1)]
+        for j, h in enumerate(hard):
+            row[j + 1] = far if h else min(far, row[j] + 1)
+        for b in range(a, min(len(text), a + len(plain) + most)):
+            now = [far if hard[0] else min(far, row[0] + 1)]
+            for j, h in enumerate(hard):
+                same = row[j] if plain[j] == text[b] else far if h else row[j] + 1
+                inside = h and j + 1 < len(hard) and hard[j + 1]
+                now.append(min(far, same, far if h else now[j] + 1, far if inside else row[j + 1] + 1))
+            row = now
+            if row[-1] <= most and (b + 1 == len(text) or text[b + 1] == " "):
+                found[a, b + 1] = row[-1]
+    return found
+
+
+def test_edited_notices_by_all_alignments():
+    """Every place within a notice's edits overlaps a span of it with no more edits than the
+    place needs, and every span is such a place."""
+    r = np.random.default_rng(5)
+    patterns, automaton = license_scan.compiled(license_scan.NOTICES)
+    for k, (p, _) in enumerate(patterns):
+        for n in range(12):
+            chars = list(p.plain)
+            for _ in range(n % (p.edits + 2)):
+                at, kind = r.integers(len(chars)), r.random()
+                chars[at : at + 1] = [] if kind < 0.3 else [r.choice(list("abe "))] if kind < 0.6 else [r.choice(list("abe ")), chars[at]]
+            text = " ".join(f"some words under {''.join(chars)} license of {p.plain[:9]} mit".split())
+            spans = {(a, b): e for i, a, b, e in license_scan.spans_in(text, patterns, automaton) if i == k}
+            places = places_by_all_alignments(text, p.notice, p.edits)
+            for (a, b), e in spans.items():
+                assert places[a, b] == e, (text, p.plain)
+            for a, b in places:
+                assert any(x < b and a < y for x, y in spans), (text, p.plain)
+            if places:
+                assert min(spans.values()) == min(places.values()), (text, p.plain)
+
+
+def test_many_places_in_one_text():
+    import time
+
+    patterns, automaton = license_scan.compiled(license_scan.NOTICES)
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        spans = license_scan.spans_in("under the mit license " * n, patterns, automaton)
+        took.append(time.process_time() - began)
+        assert sum(1 for k, *_ in spans if k == 0) == n
+    assert took[1] < 8 * took[0] + 1  # in proportion
+
+
 # 3: URL filter
 
 URLS = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/", "http://example.com/en", "http://a.b.net/es/1?x#y", "http://xnet/fr/", "http://net/fr/", "http://q.org?/en/", "http://m.a.org/x", "http://a.com#/b", "ftp://u:p@h.com:80/ads/1", "http://a.io/login", "http://a.io/loginx", "http://a.com/\nx", "x://y://z.com/"]
@@ -200,6 +260,65 @@ def test_unknown_sizes_and_cut_off_media():
     assert matroska.demux(b"").packets == matroska.demux(b"\x00" * 50).packets == []
 
 
+def test_cut_off_media_have_whole_packets_alone():
+    whole = matroska.mux(matroska.payload_of(b"x" * 60_000))
+    every = matroska.demux(whole)
+    for cut in [*range(0, len(whole), 499), len(whole) - 1]:
+        media = matroska.demux(whole[:cut])
+        assert media.packets == every.packets[: len(media.packets)] and media.cues == every.cues[: len(media.cues)]
+        assert all(p.offset + p.size <= cut for p in media.packets)
+
+
+def test_malformed_laces_have_no_packets():
+    def block(lacing, body):
+        cluster = matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0\0" + bytes([lacing << 1]) + body)
+        return matroska.demux(matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, cluster))).packets
+
+    assert len(block(matroska.XIPH, b"\x01\x02abcde")) == 2 and len(block(matroska.FIXED, b"\x01abcd")) == 2
+    for lacing, body in [(matroska.XIPH, b"\x01\x09abc"), (matroska.XIPH, b"\x01\xff\xff"), (matroska.FIXED, b"\x01abc"), (matroska.EBML_LACING, b"\x02\x81\x80abc"), (matroska.EBML_LACING, b"\x01\x89abc"), (matroska.XIPH, b"")]:
+        assert block(lacing, body) == []
+
+
+def test_media_of_another_writer():
+    """By hand: sizes of eight bytes, a void, a seek head, checksums, two tracks, microseconds, a
+    cluster of unknown size, a block group with a reference, cues that come first."""
+    eight = lambda name, body: bytes.fromhex(name) + (1 << 56 | len(body)).to_bytes(8, "big") + body
+    head = eight("1a45dfa3", bytes.fromhex("428681 01 42f781 01 42f281 04 42f381 08 428284") + b"webm" + bytes.fromhex("428781 04 428581 02"))
+    info = eight("1549a966", bytes.fromhex("bf84 01020304 2ad7b1 82 03e8"))
+    audio = eight("ae", bytes.fromhex("d781 02 73c588 0000000000000002 8381 02 86") + b"\x86A_OPUS" + bytes.fromhex("e1 83 9f8102"))
+    video = eight("ae", bytes.fromhex("d781 01 73c581 01 8381 01 86") + b"\x85V_VP8")
+    tracks = eight("1654ae6b", video + audio)
+    cues = bytes.fromhex("1c53bb6b 8d bb 8b b381 05 b7 86 f781 01 f181") + b"\x40"
+    one = bytes.fromhex("1f43b675 01ffffffffffffff e7 82 0100") + bytes.fromhex("a3 87 81 0005 80") + b"abc" + bytes.fromhex("a0 8c a1 86 82 fffe 00") + b"hi" + bytes.fromhex("fb 82 fffe")
+    two = eight("1f43b675", bytes.fromhex("e7 81 09 ec 82 0000 a3 85 82 0000 80") + b"z")
+    body = eight("114d9b74", b"") + bytes.fromhex("ec 83 000000") + info + cues + tracks
+    data = head + bytes.fromhex("18538067 01ffffffffffffff") + body + one + two
+    media = matroska.demux(data)
+    assert media.doc_type == "webm" and media.codecs == {1: "V_VP8", 2: "A_OPUS"}
+    assert [(p.track, p.timestamp_ns, data[p.offset : p.offset + p.size], p.keyframe, p.cluster) for p in media.packets] == [(1, 261_000, b"abc", True, 0), (2, 254_000, b"hi", False, 0), (2, 9_000, b"z", True, 1)]
+    assert [(t, track, at - len(head)) for t, track, at in media.cues] == [(5_000, 1, 12 + 64)]
+
+
+def test_features_by_counting():
+    import math
+
+    samples = bytes([0, 255, 255, 3, 200, 200, 127, 128] * 72)
+    media = matroska.demux(matroska.mux(samples))
+    p = [samples.count(x) / len(samples) for x in set(samples)]
+    crossings = sum((a > 127) != (b > 127) for a, b in zip(samples, samples[1:], strict=False))
+    expected = f"packets=1;clusters=1;cues=1;ms=12;mean={sum(samples) / 576:.3f};rms={math.sqrt(sum(x * x for x in samples) / 576):.3f};crossings={crossings};entropy={-sum(x * math.log2(x) for x in p):.4f}"
+    assert matroska.feature(samples, media) == expected
+
+
+def test_cue_tables(spark):
+    media = matroska.mux_column(docs(spark), ["doc_id"])
+    cues = matroska.cues(media, ["doc_id"]).where("doc_id = 4").orderBy("cue_no").collect()
+    data = bytes(media.where("doc_id = 4").first().media)
+    assert len(cues) == len(matroska.demux(data).cues) > 1 and all(data[c.offset : c.offset + 4] == bytes.fromhex("1f43b675") for c in cues)
+    assert [c.timestamp_ns for c in cues] == sorted(c.timestamp_ns for c in cues) and {c.track for c in cues} == {1}
+    assert matroska.cues(spark.createDataFrame([(1, None), (2, b"")], "doc_id long, media binary"), ["doc_id"]).count() == 0
+
+
 def test_media_columns(spark):
     out = {r.doc_id: r for r in matroska.stored_features(docs(spark), ["doc_id"]).collect()}
     assert out[1].n_bytes == 0 and out[1].payload_bytes == 576 and out[1].payload_sha256 == hashlib.sha256(b"\xff" * 576).hexdigest()
