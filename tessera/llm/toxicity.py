@@ -3,8 +3,8 @@
 A text's features are the buckets of its n-grams, each counted once and scaled by the
 bucket's log-count ratio: how much more often toxic than other texts have it. A logistic
 regression is trained on the scaled features. It is fitted in one task on at most
-``most_rows`` labelled texts, the first by hash; scoring then covers every whole text, in one
-pass without a shuffle.
+``most_rows`` labelled texts of at most MOST_BYTES each, the first by hash; scoring then
+covers every whole text, however long, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from tessera.llm.tables import lean, map_texts
 
 ORDERS = range(3, 6)
 BITS = 20
+#: Bounds of the sample that is learned from.
 MOST_ROWS = 4_000
+MOST_BYTES = 50_000
 THRESHOLD = 0.3
 SMOOTHING = 1.0
 EPOCHS = 12
@@ -48,19 +50,27 @@ class Model:
 
 def features(raw: bytes, seen: np.ndarray) -> np.ndarray:
     """The distinct buckets of a text. ``seen`` is all false before and after."""
-    found = [*buckets(folded(raw), ORDERS, BITS)]
-    if not found:
-        return np.zeros(0, np.int32)
-    every = np.concatenate(found)
-    seen[every] = True
-    if len(every) * 30 < len(seen):
-        out = np.unique(every).astype(np.int32)
-    else:
-        out = np.flatnonzero(seen).astype(np.int32)
-    seen[every] = False
+    found = [np.zeros(0, np.int32)]
+    for some in buckets(folded(raw), ORDERS, BITS):
+        new = np.unique(some[~seen[some]])
+        seen[new] = True
+        found.append(new)
+    out = np.concatenate(found)
+    seen[out] = False
     return out
 
 
+def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """For each bucket the logarithm of how much larger its share of toxic texts is than that
+    of others, smoothed; 0 for buckets of fewer than two texts."""
+    have = np.zeros((2, 1 << BITS), np.float32)
+    for y, row in zip(toxic, rows, strict=True):
+        have[y, row] += 1
+    ratio = np.log((have[1] + SMOOTHING) / (toxic.sum() + 2 * SMOOTHING)) - np.log((have[0] + SMOOTHING) / (len(rows) - toxic.sum() + 2 * SMOOTHING))
+    ratio[have.sum(0) < 2] = 0
+    return ratio
+
+
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     """One class alone, or no rows, give a constant: the share of toxic rows, or 0."""
     size, n = 1 << BITS, len(texts)
@@ -69,11 +79,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         return Model(np.zeros(size, np.float32), 30.0 if share else -30.0)
     seen = np.zeros(size, bool)
     rows = [features(t, seen) for t in texts]
-    have = np.zeros((2, size), np.float32)
-    for y, row in zip(toxic, rows, strict=True):
-        have[y, row] += 1
-    ratio = np.log((have[1] + SMOOTHING) / (toxic.sum() + 2 * SMOOTHING)) - np.log((have[0] + SMOOTHING) / (n - toxic.sum() + 2 * SMOOTHING))
-    ratio[have.sum(0) < 2] = 0
+    ratio = log_count_ratios(rows, toxic)
     for i, row in enumerate(rows):
         rows[i] = row[np.abs(ratio[row]) > 0.5]
     weights, bias, squares = np.zeros(size, np.float32), 0.0, np.full(size, 1e-2, np.float32)
@@ -94,12 +100,14 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", label: str = "toxic", text: str = "text", most_rows: int = MOST_ROWS) -> Model:
     """Fits on the rows of ``labels`` for which ``usable`` holds, ``most_rows`` at most.
-    Null labels are left out; a key with several labels counts once, with the largest."""
+    Null labels and texts of more than MOST_BYTES are left out; a key with several labels counts
+    once, with the largest, and one with several texts with the first of them."""
     import pickle
 
     ids = labels.where(F.col(label).isNotNull() & usable).groupBy(key).agg(F.max(label).alias("_label"))
     ids = ids.orderBy(F.xxhash64(key), key).limit(most_rows)
-    sample = docs.select(key, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).join(F.broadcast(ids), key).select(key, "_label", "_text")
+    texts = docs.select(key, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).where(F.octet_length("_text") <= MOST_BYTES)
+    sample = texts.join(F.broadcast(ids), key).groupBy(key).agg(F.max("_label").alias("_label"), F.min("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(r[0], r[1], r[2]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tessera.llm import byte_bpe, language_id, license_scan, matroska, queries, token_files, toxicity, url_filter
+from tessera.llm import byte_bpe, hashed_ngrams, language_id, license_scan, matroska, queries, token_files, toxicity, url_filter
 
 from tests.compare import assert_same
 from tests.conftest import DATA
@@ -332,6 +332,90 @@ def test_media_columns(spark):
 # 7 and 8: classifiers
 
 
+def slow_buckets(text, orders, bits):
+    """Of all n-grams of characters, one by one."""
+    out = []
+    for n in orders:
+        for i in range(len(text) - n + 1):
+            h = ord(text[i])
+            for c in text[i + 1 : i + n]:
+                h = h * 16_777_619 % 2**32 ^ ord(c)
+            out.append((h + n) * 2_654_435_761 % 2**32 >> 32 - bits)
+    return out
+
+
+FOLDED = ["", "a", "Ab", "ÀÉ ñ\tSS", "日本語 Тест", "x" * 50, "The  end.\n"]
+
+
+@pytest.mark.parametrize("portion", [1, 3, 1 << 20])
+def test_ngrams_one_by_one(monkeypatch, portion):
+    monkeypatch.setattr(hashed_ngrams, "PORTION", portion)
+    for text in FOLDED:
+        low = " " + " ".join(text.lower().split()) + " "
+        assert hashed_ngrams.folded(text.encode()) == low
+        for orders in (range(1, 4), range(3, 6), range(1, 2)):
+            assert sorted(np.concatenate(list(hashed_ngrams.buckets(low, orders, 13)) or [[]]).tolist()) == sorted(slow_buckets(low, orders, 13))
+    assert hashed_ngrams.folded("ÀÉ".encode()) == " àé "
+
+
+def test_toxicity_one_by_one():
+    texts = [f"{w} text number {i}".encode() for i in range(40) for w in ("awful", "lovely")] + [t.encode() for t in FOLDED]
+    toxic = np.array([(i + 1) % 2 for i in range(80)] + [0] * len(FOLDED))
+    seen = np.zeros(1 << toxicity.BITS, bool)
+    rows = [toxicity.features(t, seen) for t in texts]
+    for t, row in zip(texts, rows, strict=True):
+        assert sorted(row.tolist()) == sorted(set(slow_buckets(hashed_ngrams.folded(t), toxicity.ORDERS, toxicity.BITS)))
+    ratio = toxicity.log_count_ratios(rows, toxic)
+    for bucket in {b for row in rows for b in row.tolist()}:
+        bad, good = (sum(bucket in set(row.tolist()) for row, y in zip(rows, toxic, strict=True) if y == k) for k in (1, 0))
+        expected = np.log((bad + 1) / (40 + 2)) - np.log((good + 1) / (len(texts) - 40 + 2)) if bad + good > 1 else 0
+        assert abs(ratio[bucket] - expected) < 1e-5
+    model = toxicity.fit(texts, toxic)
+    scores = [1 / (1 + np.exp(-model.bias - sum(float(model.weights[b]) for b in set(row.tolist())))) for row in rows]
+    assert [s >= 0.3 for s in scores[:80]] == (toxic[:80] == 1).tolist()
+
+
+def test_toxicity_scores_one_by_one(spark):
+    texts = [(i, f"{'awful' if i % 2 else 'lovely'} text number {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), labels, F.lit(True))
+    rows = [(i, t) for i, t in enumerate([*FOLDED, None, LONG])]
+    for r in toxicity.score(docs(spark, rows), model, ["doc_id"]).collect():
+        found = set(slow_buckets(hashed_ngrams.folded((dict(rows)[r.doc_id] or "").encode()), toxicity.ORDERS, toxicity.BITS))
+        assert abs(r.score - 1 / (1 + np.exp(-model.bias - sum(float(model.weights[b]) for b in found)))) < 1e-6
+
+
+def test_language_scores_one_by_one(spark):
+    words = {"en": "the house of a man", "fr": "la maison d'un homme", "ja": "人の家は大きい"}
+    table = spark.createDataFrame([(i, f"{words[lang]} {i}", lang) for i in range(60) for lang in [[*words][i % 3]]], "doc_id long, text string, lang string")
+    model = language_id.train(table, F.lit(True))
+    assert model.languages == ["en", "fr", "ja"]
+    rows = [*((i, t) for i, t in enumerate([*FOLDED, LONG[:5000]])), *((50 + i, w) for i, w in enumerate(words.values()))]
+    out = {r.doc_id: r for r in language_id.predict(docs(spark, rows), model, ["doc_id"]).collect()}
+    for key, text in rows:
+        if not any(map(str.isalpha, text)):
+            assert (out[key].lang_pred, out[key].score) == ("und", 0.0)
+            continue
+        found = slow_buckets(hashed_ngrams.folded(text.encode()), language_id.ORDERS, language_id.BITS)
+        mean = sum(model.table[b].astype(float) for b in found) / len(found)
+        e = np.exp((mean + model.bias) / model.temperature - max((mean + model.bias) / model.temperature))
+        assert abs(out[key].score - max(e) / sum(e)) < 1e-4 and out[key].lang_pred == model.languages[int(np.argmax(e))]
+        assert out[key].accepted == (out[key].score >= model.least_score)
+    assert [out[50 + i].lang_pred for i in range(3)] == [*words]
+
+
+def test_calibration_by_trying():
+    r = np.random.default_rng(2)
+    known = r.integers(0, 3, 400)
+    z = r.normal(0, 1, (400, 3)) + 3 * np.eye(3)[known]
+    temperature, least = language_id.calibrated(z, known)
+    p = np.exp(z / temperature) / np.exp(z / temperature).sum(1, keepdims=True)
+    kept = p.max(1) >= least
+    assert (p.argmax(1) == known)[kept].mean() >= language_id.PRECISION and 0 < kept.sum() < 400
+    loss = lambda t: -np.log((np.exp(z / t) / np.exp(z / t).sum(1, keepdims=True))[np.arange(400), known]).mean()
+    assert loss(temperature) <= min(loss(t) for t in (0.2, 0.5, 1, 2, 5)) + 1e-3
+
+
 def test_toxicity(spark):
     words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do".split()
     r = np.random.default_rng(3)
