@@ -1,14 +1,17 @@
 """Line dedup: a line goes if an equal or nearly equal line stands earlier in the corpus.
 
-Equal lines meet by hash. Lines within ``EDITS`` edits of each other meet by segments: a line
-is cut into EDITS + 1 even segments, of which an edited copy keeps at least one unchanged and
-nearly in place. Each line is indexed by its segments under its length, and looks up, for its
-own length and every shorter one in reach, the few substrings that alignment allows. What
-meets must have nearly the same parities of characters and of character pairs, and is then
-verified by a banded bit-parallel edit distance. Lines connected by such links are one class,
-and its first line in order of document and place stays.
-
-Keys are made in numpy, many lines at a time; Spark deals them out by hash and sorts them.
+Nearly equal are lines within ``EDITS`` edits that are also few for their length: one for each
+CHARS_AN_EDIT characters of the longer line. Equal lines meet by a hash of 128 bits. Nearly
+equal ones meet by segments: a line is cut into edits + 1 even segments, of which an edited
+copy keeps at least one unchanged and nearly in place. Each line is indexed by its segments
+under its length, and looks up, for its own length and every shorter one in reach, the few
+substrings that alignment allows. What meets must have nearly the same parities of characters
+and of character pairs, and is then verified by a banded bit-parallel edit distance.
+
+A line's links count, not what they lead to: of A, B and C, where only A and B, and B and C,
+are nearly equal, C goes if B stands earlier, whether or not B goes too.
+
+Keys are made in numpy, many lines at a time; joining them is Spark's.
 """
 
 from __future__ import annotations
@@ -20,27 +23,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
-from tessera.llm.jaccard_join import FILTER_BITS, INVERSE, MULTIPLIER, candidate_filter, mixed, powers, runs
+from tessera.llm.jaccard_join import FILTER_BITS, INVERSE, MULTIPLIER, candidate_filter, mixed, powers
 from tessera.llm.tables import decoded, lean, stored
 
 EDITS = 2
-#: Shorter lines, in characters, are only compared as a whole.
-LEAST_CHARS = 20
+#: One edit for so many characters of the longer line, EDITS at most.
+CHARS_AN_EDIT = 10
 #: Characters for which keys are made at once, in a task.
 PORTION = 1 << 20
-#: Lines under one key that a task joins by itself; more are joined by Spark, which can
-#: split the key over tasks.
-MOST_AT_ONCE = 20_000
+#: Lines that a task remembers as done; beyond it the memory starts afresh.
+REMEMBERED = 500_000
 UNIGRAMS = (1 << 32) - 1
 
-ROW = "hot boolean, a long, b long, signature long, probe boolean"
 
+def allowed(length: int) -> int:
+    """Edits that a pair of lines may be apart, by the longer one's length."""
+    return min(EDITS, length // CHARS_AN_EDIT)
 
-def line_id(line: bytes) -> int:
+
+def line_id(line: bytes) -> tuple[int, int]:
+    """A hash of 128 bits as two signed numbers."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+    h = xxhash.xxh3_128_intdigest(line)
+    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
 
 
 def lines_of(raw: bytes) -> list[bytes]:
@@ -51,21 +57,22 @@ def lines_of(raw: bytes) -> list[bytes]:
 # Keys
 
 
-def segment(i: int, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segment(i: int, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i of lines so long; the last ones are a character longer."""
-    base, more = length // (EDITS + 1), length % (EDITS + 1)
-    plain = EDITS + 1 - more
+    base, more = length // (edits + 1), length % (edits + 1)
+    plain = edits + 1 - more
     return i * base + np.maximum(0, i - plain), base + (i >= plain)
 
 
-def shifts(i: int, shorter: int) -> range:
+def shifts(i: int, shorter: int, edits: int) -> range:
     """By how much the substring that can equal segment i of a line ``shorter`` characters
     shorter may be shifted: edits before it and edits after it both bound that."""
-    return range(max(-i, shorter - (EDITS - i)), min(i, shorter + EDITS - i) + 1)
+    return range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
 
 
-def key_rows(ids: list[int], lines: list[str]) -> Iterator[pa.RecordBatch]:
-    """(key, id, signature, probe) for lines of at least LEAST_CHARS characters."""
+def key_rows(ids: list[int], lines: list[str], probe: bool) -> Iterator[pa.RecordBatch]:
+    """(key, id, signature) of lines that aren't empty: those that a line is found by, or those
+    that it looks for."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -80,127 +87,72 @@ def key_rows(ids: list[int], lines: list[str]) -> Iterator[pa.RecordBatch]:
     signature = np.bitwise_xor.reduceat(one, starts) | np.bitwise_xor.reduceat(two, starts) << np.int64(32)
     owners = np.array(ids, np.int64)
 
-    def rows(i: int, length: np.ndarray, at: np.ndarray, size: np.ndarray, ok: np.ndarray, probe: bool) -> pa.RecordBatch:
+    def rows(i: int, edits: int, length: np.ndarray, at: np.ndarray, size: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
         a = (starts + at)[ok]
         h = (sums[a + size[ok]] - sums[a]) * back[a]
-        key = mixed(h ^ mixed((length[ok] * (EDITS + 1) + i).astype(np.uint64)))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owners[ok]), pa.array(signature[ok]), pa.array(np.full(len(a), probe))], names=["key", "id", "signature", "probe"])
-
-    every = np.ones(len(lines), bool)
-    for i in range(EDITS + 1):
-        at, size = segment(i, sizes)
-        yield rows(i, sizes, at, size, every, False)
-    for shorter in range(EDITS + 1):
-        length = sizes - shorter
-        for i in range(EDITS + 1):
-            start, size = segment(i, length)
-            for shift in shifts(i, shorter):
-                at = start + shift
-                yield rows(i, length, at, size, (length >= LEAST_CHARS) & (at >= 0) & (at + size <= sizes), True)
+        key = mixed(h ^ mixed(((length[ok] * (edits + 1) + i) * (EDITS + 1) + edits).astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owners[ok]), pa.array(signature[ok])], names=["key", "id", "signature"])
+
+    for edits in range(1, EDITS + 1):  # by the longer line's length, which is the one that looks
+        least, most = edits * CHARS_AN_EDIT, (edits + 1) * CHARS_AN_EDIT if edits < EDITS else 1 << 62
+        if not probe:
+            ok = (sizes >= least - edits) & (sizes < most)
+            for i in range(edits + 1):
+                at, size = segment(i, sizes, edits)
+                yield rows(i, edits, sizes, at, size, ok)
+            continue
+        looks = (sizes >= least) & (sizes < most)
+        for shorter in range(edits + 1):
+            length = sizes - shorter
+            for i in range(edits + 1):
+                start, size = segment(i, length, edits)
+                for shift in shifts(i, shorter, edits):
+                    at = start + shift
+                    yield rows(i, edits, length, at, size, looks & (at >= 0) & (at + size <= sizes))
 
 
-def keys(texts: DataFrame) -> DataFrame:
-    """The keys of a table of texts (_text), of each different line once a task."""
+def keys(texts: DataFrame, probe: bool) -> DataFrame:
+    """The keys of a table of texts (_text), of each different line once in a while."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, ids, lines, size = set(), [], [], 0
         for batch in batches:
             for raw in batch.column(0):
                 for line in lines_of(raw.as_py()):
-                    if len(line) >= LEAST_CHARS and (x := line_id(line)) not in met and len(said := decoded(line)) >= LEAST_CHARS:
+                    if len(line) >= CHARS_AN_EDIT - 1 and (x := line_id(line)) not in met:
+                        said = decoded(line)
                         met.add(x)
-                        ids.append(x)
+                        ids.append(x[0])
                         lines.append(said)
                         size += len(said)
                 if size >= PORTION:
-                    yield from key_rows(ids, lines)
+                    yield from key_rows(ids, lines, probe)
                     ids, lines, size = [], [], 0
+                if len(met) >= REMEMBERED:
+                    met.clear()
         if ids:
-            yield from key_rows(ids, lines)
+            yield from key_rows(ids, lines, probe)
 
-    return texts.select("_text").mapInArrow(lean(run), "key long, id long, signature long, probe boolean")
+    return texts.select("_text").mapInArrow(lean(run), "key long, id long, signature long")
 
 
 # Meeting
 
 
-def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether signatures leave it open that lines are within EDITS edits: an edit changes
-    the parity of two characters and of four pairs at most."""
-    off = (x ^ y).view(np.uint64)
-    return (np.bitwise_count(off & np.uint64(UNIGRAMS)) <= 2 * EDITS) & (np.bitwise_count(off >> np.uint64(32)) <= 4 * EDITS)
-
-
-def near_columns(a: Column, b: Column) -> Column:
+def near(a: Column, b: Column) -> Column:
+    """Whether signatures leave it open that lines are within EDITS edits: an edit changes the
+    parity of two characters and of four pairs at most."""
     off = a.bitwiseXOR(b)
     return (F.bit_count(off.bitwiseAND(F.lit(UNIGRAMS))) <= 2 * EDITS) & (F.bit_count(F.shiftrightunsigned(off, 32)) <= 4 * EDITS)
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins rows sorted by key. A key's last rows wait for more; a key with more than
-    MOST_AT_ONCE rows is handed on (hot)."""
-
-    def out(hot: bool, a, b, signature=None, probe=None) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, hot)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if signature is None else pa.array(signature), pa.nulls(n, pa.bool_()) if probe is None else pa.array(probe)],
-            names=["hot", "a", "b", "signature", "probe"],
-        )
-
-    def pairs(ids: np.ndarray, signature: np.ndarray, probe: np.ndarray) -> np.ndarray:
-        """Pairs of one key, index rows against looking rows, some at a time."""
-        x, y, xs, ys, found = ids[~probe], ids[probe], signature[~probe], signature[probe], []
-        for at in range(0, len(x), 512):
-            i, j = np.nonzero(near(xs[at : at + 512, None], ys[None, :]) & (x[at : at + 512, None] != y[None, :]))
-            found.append(np.stack([x[at + i], y[j]], 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-    def joined(key, ids, signature, probe) -> Iterator[pa.RecordBatch]:
-        first, size = runs(key)
-        lowest, highest = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-        found = [pairs(ids[a : a + n], signature[a : a + n], probe[a : a + n]) for a, n in zip(first[lowest != highest], size[lowest != highest], strict=True)]
-        if found:
-            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield out(False, both[:, 0], both[:, 1])
-
-    held: list[tuple] = []
-    hot = None
-    for batch in batches:
-        now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if hot is not None:
-            on = now[0] == hot
-            if on.any():
-                yield out(True, now[0][on], now[1][on], now[2][on], now[3][on])
-                now = tuple(c[~on] for c in now)
-        if not len(now[0]):
-            continue
-        held.append(now)
-        if now[0][0] == now[0][-1] and sum(len(h[0]) for h in held) <= MOST_AT_ONCE:
-            continue
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        first, size = runs(cols[0])
-        large = np.repeat(size > MOST_AT_ONCE, size)
-        if large.any():
-            yield out(True, *(c[large] for c in cols))
-        hot = cols[0][-1] if size[-1] > MOST_AT_ONCE else None
-        end = first[-1] if hot is None else len(cols[0])
-        rest = ~large[:end]
-        if rest.any():
-            yield from joined(*(c[:end][rest] for c in cols))
-        held = [tuple(c[end:] for c in cols)] if end < len(cols[0]) else []
-    if held:
-        yield from joined(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-
 def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line ids that a segment and the signatures bring together."""
-    met = stored(keys(texts).repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(meet), ROW), "line-pairs")
-    hot = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), "signature", "probe").distinct()
-    one = hot.where(~F.col("probe")).select("key", F.col("id").alias("a"), F.col("signature").alias("_x"))
-    two = hot.where("probe").select("key", F.col("id").alias("b"), F.col("signature").alias("_y"))
-    wide = one.join(two, (one.key == two.key) & (F.col("a") != F.col("b")) & near_columns(F.col("_x"), F.col("_y")))
-    plain = met.where(~F.col("hot")).select("a", "b")
-    return plain.unionByName(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    """Distinct pairs (a, b) of line ids that a segment and the signatures bring together.
+    Spark splits a key with very many lines over tasks."""
+    one = keys(texts, False).select("key", F.col("id").alias("a"), F.col("signature").alias("_x"))
+    two = keys(texts, True).select("key", F.col("id").alias("b"), F.col("signature").alias("_y"))
+    met = one.join(two, (one.key == two.key) & (F.col("a") != F.col("b")) & near(F.col("_x"), F.col("_y")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # Verifying
@@ -245,7 +197,8 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are within EDITS edits."""
+    """Of candidates (a, b) the lines that are nearly equal: (id, more, other, other_more), the
+    halves of both hashes, in both directions. Lines that share the first half are told apart."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     bits = texts.sparkSession.sparkContext.broadcast(candidate_filter(nodes))
 
@@ -255,79 +208,98 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out = []
             for raw in batch.column(0):
                 for line in lines_of(raw.as_py()):
-                    if len(line) >= LEAST_CHARS:
-                        x = line_id(line)
+                    if len(line) >= CHARS_AN_EDIT - 1:
+                        x, more = line_id(line)
                         slot = x & (FILTER_BITS - 1)
-                        if bits.value[slot >> 3] >> (slot & 7) & 1 and x not in met:
-                            met.add(x)
-                            out.append((x, line))
+                        if bits.value[slot >> 3] >> (slot & 7) & 1 and (x, more) not in met:
+                            met.add((x, more))
+                            out.append((x, more, line))
+            if len(met) >= REMEMBERED:
+                met.clear()
             if out:
-                x, lines = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(lines, pa.binary())], names=["node", "line"])
+                x, more, lines = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(more, pa.int64()), pa.array(lines, pa.binary())], names=["node", "more", "line"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(decoded(x), decoded(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                a, b = decoded(x), decoded(y)
+                keep.append(within(a, b, allowed(max(len(a), len(b)))))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    found = texts.select("_text").mapInArrow(lean(wanted), "node long, line binary").join(nodes, "node", "left_semi")
-    lines = stored(found.dropDuplicates(["node"]), "lines")
-    one, two = (lines.select(F.col("node").alias(x), F.col("line").alias(f"_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(lean(check), "a long, b long")
+    found = texts.select("_text").mapInArrow(lean(wanted), "node long, more long, line binary").join(nodes, "node", "left_semi")
+    lines = stored(found.dropDuplicates(["node", "more"]), "lines")
+    one, two = (lines.select(F.col("node").alias(x), F.col("more").alias(f"_more_{x}"), F.col("line").alias(f"_line_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "_more_a", "b", "_more_b", "_line_a", "_line_b")
+    links = stored(both.mapInArrow(lean(check), "id long, more long, other long, other_more long"), "line-links")
+    back = links.select(F.col("other").alias("id"), F.col("other_more").alias("more"), F.col("id").alias("other"), F.col("more").alias("other_more"))
+    return links.unionByName(back)
 
 
 # Dedup
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(_key, _hash, _line, id) for each line that isn't blank."""
+    """(_key, _hash, _line, _size, id, more) for each line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, ids = [], [], []
+            row, line, size, ids, more = [], [], [], [], []
             for r, raw in enumerate(batch.column(2)):
                 for n, x in enumerate(lines_of(raw.as_py())):
                     if x:
                         row.append(r)
                         line.append(n)
-                        ids.append(line_id(x))
+                        size.append(len(x))
+                        h = line_id(x)
+                        ids.append(h[0])
+                        more.append(h[1])
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(ids, pa.int64())], names=["_key", "_hash", "_line", "id"])
+            ints = [pa.array(c, pa.int32()) for c in (line, size)] + [pa.array(c, pa.int64()) for c in (ids, more)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *ints], names=["_key", "_hash", "_line", "_size", "id", "more"])
 
-    return texts.select("_key", "_hash", "_text").mapInArrow(lean(run), "_key long, _hash long, _line int, id long")
+    return texts.select("_key", "_hash", "_text").mapInArrow(lean(run), "_key long, _hash long, _line int, _size int, id long, more long")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, _hash, n_lines, n_equal, n_near, _dropped) for each document with lines: its
-    lines that aren't blank, those equal and those nearly equal to an earlier one, and the
-    numbers of both. _key is the integer ``key`` and _hash a hash of the text, so that rows
-    with the same key and other texts are apart; rows alike in both are one document, and
-    all keep what it keeps. Documents go by key (nulls first), then hash."""
+    """(_key, _hash, n_lines, n_equal, n_near, _dropped, _share) for each document with lines:
+    its lines that aren't blank, those equal and those only nearly equal to an earlier one, the
+    numbers of both, and the share of its bytes that they have. _key is the integer ``key`` and
+    _hash a hash of the text, so that rows with the same key and other texts are apart; rows
+    alike in both are one document, and all keep what it keeps. Documents go by key (nulls
+    first), then hash. Null, empty and blank texts have no lines and no row; a text of any
+    length is read whole."""
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     pairs = stored(candidates(texts), "line-candidates")
-    roots = components(verified(pairs, texts)).withColumnRenamed("node", "id")
-    lines = stored(occurrences(texts).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed-lines")
-    first = stored(lines.groupBy("root").agg(F.min(F.struct("_key", "_hash", "_line", "id")).alias("_first")), "first-lines")
-    place = F.struct("_key", "_hash", "_line", "id")
-    judged = lines.join(first, "root").withColumn("_repeat", place != F.col("_first"))
-    near_one = F.col("_repeat") & (F.col("id") != F.col("_first.id"))
+    links = verified(pairs, texts)
+    lines = occurrences(texts)
+    place = F.struct("_key", "_hash", "_line")
+    first = stored(lines.groupBy("id", "more").agg(F.min(place).alias("_first")), "first-lines")
+    others = first.select(F.col("id").alias("other"), F.col("more").alias("other_more"), F.col("_first").alias("_near"))
+    near_first = links.join(others, ["other", "other_more"]).groupBy("id", "more").agg(F.min("_near").alias("_near"))
+    known = stored(first.join(near_first, ["id", "more"], "left"), "places-of-lines")
+    judged = lines.join(known, ["id", "more"]).withColumns({"_equal": place != F.col("_first"), "_like": F.coalesce(F.col("_near") < place, F.lit(False))})
+    repeat = F.col("_equal") | F.col("_like")
     return judged.groupBy("_key", "_hash").agg(
         F.count_distinct("_line").alias("n_lines"),
-        F.count_distinct(F.when(F.col("_repeat") & ~near_one, F.col("_line"))).alias("n_equal"),
-        F.count_distinct(F.when(near_one, F.col("_line"))).alias("n_near"),
-        F.sort_array(F.collect_set(F.when(F.col("_repeat"), F.col("_line")))).alias("_dropped"),
+        F.count_distinct(F.when(F.col("_equal"), F.col("_line"))).alias("n_equal"),
+        F.count_distinct(F.when(~F.col("_equal") & F.col("_like"), F.col("_line"))).alias("n_near"),
+        F.sort_array(F.collect_set(F.when(repeat, F.col("_line")))).alias("_dropped"),
+        (F.coalesce(F.sum(F.when(repeat, F.col("_size"))), F.lit(0)) / F.sum("_size")).alias("_share"),
     )
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their repeated lines taken out of the text. Rows all of
-    whose lines are repeats go; rows without lines (null, empty or blank) stay as they are."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` with their repeated lines taken out of the text. Rows of whose
+    lines' bytes a share of ``whole`` or more are repeats go; rows without lines (null, empty or
+    blank) stay as they are."""
     found = repeats(docs, key, text).where(F.size("_dropped") > 0)
     named = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in named.items()), F.xxhash64(text).alias("_text_hash"))
     own_key, own_text = F.col(named[key]), F.col(named[text])
     joined = rows.join(found, own_key.cast("long").eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left")
     kept = F.array_join(F.filter(F.split(own_text, "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    left = joined.where(F.col("_dropped").isNull() | (F.col("n_lines") > F.col("n_equal") + F.col("n_near")))
+    left = joined.where(F.col("_dropped").isNull() | (F.col("_share") < whole))
     new = F.when(F.col("_dropped").isNull(), own_text).otherwise(kept)
     return left.select(*(new.alias(c) if c == text else F.col(n).alias(c) for c, n in named.items()))

@@ -176,46 +176,65 @@ def test_banded_distance(k):
 
 
 def brute_repeats(rows):
-    """For each document its lines, and which of them are equal or near to earlier ones."""
+    """For each document its lines, and which of them are equal or near to earlier ones: every
+    line against every earlier one."""
     placed = [(key, n, line.decode()) for key, text in rows for n, line in enumerate(line_dedup.lines_of((text or "").encode())) if line]
-    distinct = sorted({line for _, _, line in placed})
-    parent = {x: x for x in distinct}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    long = [x for x in distinct if len(x) >= line_dedup.LEAST_CHARS]
-    for a, b in itertools.combinations(long, 2):
-        if abs(len(a) - len(b)) <= line_dedup.EDITS and distance(a, b) <= line_dedup.EDITS:
-            parent[find(b)] = find(a)
-    first, out = {}, {}
-    for key, n, line in placed:
+    near, out = {}, {}
+    for i, (key, n, line) in enumerate(placed):
         row = out.setdefault(key, [0, 0, 0, []])
         row[0] += 1
-        if find(line) in first:
-            row[1 if first[find(line)] == line else 2] += 1
+        before = {x for _, _, x in placed[:i]}
+        if line in before:
+            row[1] += 1
             row[3].append(n)
-        else:
-            first[find(line)] = line
+            continue
+        for x in before:
+            most = min(2, max(len(x), len(line)) // 10)
+            if (x, line) not in near:
+                near[x, line] = most > 0 and abs(len(x) - len(line)) <= most and distance(x, line) <= most
+            if near[x, line]:
+                row[2] += 1
+                row[3].append(n)
+                break
     return {k: tuple(v[:3]) + (v[3],) for k, v in out.items()}
 
 
 def line_rows(seed, n):
     r = random.Random(seed)
-    seeds = ["".join(r.choice("abcdefgh ") for _ in range(r.choice((5, 19, 20, 21, 33, 60)))).strip() or "x" for _ in range(14)]
+    seeds = ["".join(r.choice("abcdefgh ") for _ in range(r.choice((3, 5, 8, 9, 10, 11, 12, 15, 17, 18, 19, 20, 21, 22, 23, 33, 60)))).strip() or "x" for _ in range(30)]
     return [(k, "\n".join(edited(r, r.choice(seeds), r.choice((0, 0, 1, 2, 3))) for _ in range(r.randrange(7)))) for k in range(n)]
 
 
-@pytest.mark.parametrize("at_once", [3, 20_000])
-def test_repeats_are_brute_force(spark, monkeypatch, at_once):
-    monkeypatch.setattr(line_dedup, "MOST_AT_ONCE", at_once)
-    rows = [*line_rows(6, 60), (1000, None), (1001, ""), (1002, " \n\n"), (1003, "é" * 600 + "\n" + "é" * 599), (1005, "ab" * 40_000), (1004, "x\r\nx\n x ")]
+@pytest.mark.parametrize("remembered", [2, 500_000])
+def test_repeats_are_brute_force(spark, monkeypatch, remembered):
+    monkeypatch.setattr(line_dedup, "REMEMBERED", remembered)
+    rows = [*line_rows(6, 120), (1000, None), (1001, ""), (1002, " \n\n"), (1003, "é" * 600 + "\n" + "é" * 599), (1005, "ab" * 40_000), (1004, "x\r\nx\n x ")]
     found = {r._key: (r.n_lines, r.n_equal, r.n_near, r._dropped) for r in line_dedup.repeats(docs(spark, rows).repartition(5)).collect()}
     assert found == brute_repeats(rows)
 
 
+def test_links_of_a_chain_are_not_passed_on(spark):
+    a, b, c = (f"{x} quick brown fox jumps over" for x in ("aaaa the", "bbaa the", "bbbb the"))
+    found = {r._key: r._dropped for r in line_dedup.repeats(docs(spark, [(1, a), (2, c), (3, b)])).collect()}
+    assert found == {1: [], 2: [], 3: [0]}
+    found = {r._key: r._dropped for r in line_dedup.repeats(docs(spark, [(1, a), (2, b), (3, c)])).collect()}
+    assert found == {1: [], 2: [0], 3: [0]}
+
+
+def test_lines_that_share_half_a_hash(spark, monkeypatch):
+    real = line_dedup.line_id
+    monkeypatch.setattr(line_dedup, "line_id", lambda x: (len(x) % 2, real(x)[1]))
+    rows = line_rows(9, 40)
+    found = {r._key: (r.n_lines, r.n_equal, 0) for r in line_dedup.repeats(docs(spark, rows)).collect()}
+    assert found == {k: (v[0], v[1], 0) for k, v in brute_repeats(rows).items()}
+
+
+def test_documents_that_are_mostly_repeats(spark):
+    long, rows = "The same long line stands in all of these documents, again and again.", []
+    rows = [(1, long), (2, f"{long}\nown line"), (3, f"{long}\n{'own words ' * 5}"), (4, "alone"), (5, "")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows), whole=0.8).collect()} == {1: long, 3: "own words " * 5, 4: "alone", 5: ""}
+
+
 def test_dedup_keeps_columns_and_first_lines(spark):
     rows = [(1, "A line that is long enough.\nshort"), (2, "short\n\nA line that is long enough!\nown"), (3, "short"), (4, None), (5, ""), (6, "own"), (1, "A line that is long enough.\nshort"), (None, "own")]
     table = docs(spark, rows)
