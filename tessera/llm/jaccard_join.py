@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.tables import lean, stored, text_bytes
+from tessera.llm.tables import lean, scratch, shared_dir, stored, text_bytes
 
 WORDS = 5
 #: Similarity as a fraction: 80 / 100.
@@ -121,13 +121,13 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """kind 0: key, class, size and sketch of each document (class and sketch null without
-    shingles). kind 1: shingles that a task met more than once, with how often, sets counted
-    once."""
+    """kind 0: key, class, size, sketch and hash of the text of each document (class and sketch
+    null without shingles). kind 1: shingles that a task met more than once, with how often,
+    sets counted once."""
 
-    def rows(kind: int, a, b, c, d) -> pa.RecordBatch:
+    def rows(kind: int, a, b, c, d, text_hash=None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), a, b, c, d], names=["kind", "a", "b", "c", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), a, b, c, d, pa.nulls(n, pa.int64()) if text_hash is None else text_hash], names=["kind", "a", "b", "c", "sketch", "text_hash"])
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -138,7 +138,7 @@ def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         held, size, met = [], 0, set()
         for batch in batches:
             classes, sizes, sketches = [], [], []
-            for raw in batch.column(1):
+            for raw in batch.column(2):
                 found = shingles(raw.as_py(), words)
                 classes.append(class_of(found) if len(found) else None)
                 sizes.append(len(found))
@@ -150,11 +150,12 @@ def counted(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 if size >= HELD:
                     yield repeated(held)
                     held, size, met = [], 0, set()
-            yield rows(0, batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()))
+            yield rows(0, batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), batch.column(1))
         if held:
             yield repeated(held)
 
-    return text_bytes(docs, F.col(key).cast("long").alias("_key"), text=text).mapInArrow(lean(run), "kind int, a long, b long, c long, sketch binary")
+    named = text_bytes(docs, F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), text=text)
+    return named.mapInArrow(lean(run), "kind int, a long, b long, c long, sketch binary, text_hash long")
 
 
 def count_table(repeated: DataFrame) -> np.ndarray:
@@ -494,27 +495,47 @@ def all_links(sets: DataFrame) -> DataFrame:
 # The join
 
 
+def grouped(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """_key, _hash (of the text), n_shingles and root, the least class of the row's component
+    (null without shingles), for every row."""
+    spark = docs.sparkSession
+    placed = shared_dir(spark, "placed")
+    with scratch(spark):
+        first = stored(counted(docs, key, text, words), "sets")
+        rows = first.where("kind = 0").select(F.col("a").alias("_key"), F.col("text_hash").alias("_hash"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
+        classes = first.where("kind = 0 and b is not null").select(F.col("b").alias("node"), F.col("c").alias("n"), "sketch").dropDuplicates(["node"])
+        table = count_table(first.where("kind = 1"))
+        found = stored(candidates(docs, table, key, text, words).distinct(), "candidates")
+        near_pairs = passing(found.where(~F.col("star")).select("a", "b"), classes)
+        edges = stored(near_pairs.unionByName(found.where("star").select("a", "b")), "edges")
+        near = components(edges)
+        groups = stored(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "groups")
+        sets = stored(candidate_sets(docs, candidate_filter(groups), text, words).join(groups, "node"), "candidate-sets")
+        roots = stored(components(all_links(sets)), "roots")
+        return stored(rows.join(roots, "node", "left").select("_key", "_hash", "n_shingles", F.coalesce("root", "node").alias("root")), "placed", placed)
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``key``, n_shingles and component_id, the smallest key that links lead to, for every
     row. Texts that are null or have no words have no shingles and are linked with nothing;
     equal texts are always linked. Rows with a null key or the same key as another are rows
     like others (a null is no component's smallest unless alone). An integer key is needed;
-    other columns are not read."""
-    first = stored(counted(docs, key, text, words), "sets")
-    rows = first.where("kind = 0").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
-    classes = first.where("kind = 0 and b is not null").select(F.col("b").alias("node"), F.col("c").alias("n"), "sketch").dropDuplicates(["node"])
-    table = count_table(first.where("kind = 1"))
-    found = stored(candidates(docs, table, key, text, words).distinct(), "candidates")
-    near_pairs = passing(found.where(~F.col("star")).select("a", "b"), classes)
-    edges = stored(near_pairs.unionByName(found.where("star").select("a", "b")), "edges")
-    near = components(edges)
-    groups = stored(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    sets = stored(candidate_sets(docs, candidate_filter(groups), text, words).join(groups, "node"), "candidate-sets")
-    roots = stored(components(all_links(sets)), "roots")
-    placed = stored(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    least = stored(placed.where("root is not null").groupBy("root").agg(F.min(key).alias("_least")), "smallest")
+    other columns are not read. Very long texts are sets like others, whole."""
+    placed = grouped(docs, key, text, words)
+    least = stored(placed.where("root is not null").groupBy("root").agg(F.min("_key").alias("_least")), "smallest")
     out = placed.join(least, "root", "left")
-    return out.select(key, "n_shingles", F.coalesce("_least", key).alias("component_id"))
+    return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("_least", "_key").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """_key, _hash (of the text: F.xxhash64) and _rows of one document of each component, the
+    one with the smallest key (null last), then hash, and of each without shingles. Rows alike in
+    both are one document, and _rows is how many there are."""
+    placed = grouped(docs, key, text, words)
+    same = placed.groupBy("root", "_key", "_hash").agg(F.count("*").alias("_rows"))
+    row = F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash", "_rows")
+    best = same.where("root is not null").groupBy("root").agg(F.min(row).alias("b")).select("b._key", "b._hash", "b._rows")
+    return stored(best.unionByName(same.where("root is null").select("_key", "_hash", "_rows")), "representatives")
 
 
 SQL = r"""

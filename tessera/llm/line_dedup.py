@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard_join import FILTER_BITS, INVERSE, MULTIPLIER, candidate_filter, mixed, powers
-from tessera.llm.tables import decoded, lean, stored
+from tessera.llm.tables import decoded, lean, scratch, shared_dir, stored
 
 EDITS = 2
 #: One edit for so many characters of the longer line, EDITS at most.
@@ -271,14 +271,17 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     first), then hash. Null, empty and blank texts have no lines and no row; a text of any
     length is read whole."""
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
-    pairs = stored(candidates(texts), "line-candidates")
-    links = verified(pairs, texts)
+    spark = docs.sparkSession
+    target = shared_dir(spark, "places-of-lines")
     lines = occurrences(texts)
     place = F.struct("_key", "_hash", "_line")
-    first = stored(lines.groupBy("id", "more").agg(F.min(place).alias("_first")), "first-lines")
-    others = first.select(F.col("id").alias("other"), F.col("more").alias("other_more"), F.col("_first").alias("_near"))
-    near_first = links.join(others, ["other", "other_more"]).groupBy("id", "more").agg(F.min("_near").alias("_near"))
-    known = stored(first.join(near_first, ["id", "more"], "left"), "places-of-lines")
+    with scratch(spark):
+        pairs = stored(candidates(texts), "line-candidates")
+        links = verified(pairs, texts)
+        first = stored(lines.groupBy("id", "more").agg(F.min(place).alias("_first")), "first-lines")
+        others = first.select(F.col("id").alias("other"), F.col("more").alias("other_more"), F.col("_first").alias("_near"))
+        near_first = links.join(others, ["other", "other_more"]).groupBy("id", "more").agg(F.min("_near").alias("_near"))
+        known = stored(first.join(near_first, ["id", "more"], "left"), "places-of-lines", target)
     judged = lines.join(known, ["id", "more"]).withColumns({"_equal": place != F.col("_first"), "_like": F.coalesce(F.col("_near") < place, F.lit(False))})
     repeat = F.col("_equal") | F.col("_like")
     return judged.groupBy("_key", "_hash").agg(

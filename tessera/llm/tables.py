@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,22 +86,43 @@ def arrow_types(df: DataFrame, columns: list[str]) -> list[pa.DataType]:
     return [to_arrow_type(df.schema[c].dataType) for c in columns]
 
 
+_open = threading.local()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Where the
-    setting is missing (tests, a single machine) a temporary folder takes its place."""
+    setting is missing, a single machine (tests) gets a temporary folder, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    getattr(_open, "made", []).append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that this thread asks for within are deleted at the end. What is to last is
+    written to a folder asked for before."""
+    outer, _open.made = getattr(_open, "made", []), []
+    try:
+        yield
+    finally:
+        made, _open.made = _open.made, outer
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts its lineage:
     a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = path or shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

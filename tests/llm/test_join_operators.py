@@ -349,6 +349,7 @@ def test_stages(spark):
         table = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}")
         if name == "jaccard_join":
             ids = {r.doc_id for r in jaccard_join.join(before).where("component_id = doc_id").collect()}  # noqa: F821
+            assert ids == {r._key for r in jaccard_join.representatives(before).collect()}  # noqa: F821
             assert {r.doc_id for r in table.collect()} == ids
         if name == "line_dedup":
             assert table.where(F.length("text") != F.col("n_chars")).count() == 0
@@ -363,6 +364,36 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_scratch_folders_go(spark):
+    from pathlib import Path
+
+    from tessera.llm import tables
+
+    at = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    kept = tables.shared_dir(spark, "kept")
+    with tables.scratch(spark):
+        one = tables.stored(spark.range(3), "gone")
+        two = tables.stored(one, "kept", kept)
+    assert two.count() == 3 and Path(kept.removeprefix("file://")).exists() and not list(at.glob("gone-*"))
+    before = len(list(at.iterdir()))
+    jaccard_join.join(docs(spark, ODD)).collect()
+    assert len(list(at.iterdir())) <= before + 2
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark):
+    """Names that stages use themselves, a map, and a document twice under one key."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", {"x": 1}), (1, text + " v", "b", {"y": 2}), (2, text, "c", {}), (3, "a b c", "d", None), (3, "a b c", "d", None), (4, "own words of another", "e", {})]
+    odd = ["_id", "_row_of_same", "_key", "_hash", "_rows", "_own_0", "predicted", "_dropped"]
+    table = spark.createDataFrame([(*r, *odd) for r in rows], ", ".join(["doc_id long, text string, x string, m map<string,int>", *(f"{c} string" for c in odd)]))
+    near = corpus_pipeline.drop_near_duplicates(spark, table, DATA)
+    assert near.columns == table.columns
+    assert sorted(r.doc_id for r in near.collect()) == [1, 3, 4]
+    for stage in (corpus_pipeline.drop_contaminated, corpus_pipeline.drop_toxic):
+        out = stage(spark, table, DATA)
+        assert out.columns == table.columns and out.count() in (0, 6)
+
+
 @pytest.mark.parametrize("rows", [[], ODD])
 def test_stages_on_odd_documents(spark, rows):
     columns = ["doc_id", "text", "lang", "source", "n_chars", "component_id", "node", "_key", "_hash", "root"]
