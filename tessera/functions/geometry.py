@@ -75,6 +75,30 @@ def polygon_hits_box(g: Column, box: Corners) -> Column:
     return line_hits_box(g, box) | in_ring(box.x0, box.y0, g)
 
 
+def ring(corners: list[tuple[Column, Column]]) -> Column:
+    """A closed ring of these corners."""
+    return F.array(*(vertex(x, y) for x, y in [*corners, corners[0]]))
+
+
+def in_patch(g: Column, left: Column, top: Column, resolution: float) -> Column:
+    """Vertices in pixels of a patch with that upper left corner; pixel rows go down."""
+    return F.transform(g, lambda v: vertex((v["x"] - left) / resolution, (top - v["y"]) / resolution))
+
+
+def segment_hits_ring(ax: Column, ay: Column, bx: Column, by: Column, g: Column) -> Column:
+    """Whether a segment meets a ring's edge or lies within the ring."""
+    def turn(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    def crosses(e: Column) -> Column:
+        cx, cy, dx, dy = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        apart = (F.greatest(ax, bx) < F.least(cx, dx)) | (F.greatest(cx, dx) < F.least(ax, bx)) | (F.greatest(ay, by) < F.least(cy, dy)) | (F.greatest(cy, dy) < F.least(ay, by))
+        both = (turn(ax, ay, bx, by, cx, cy) * turn(ax, ay, bx, by, dx, dy) <= 0) & (turn(cx, cy, dx, dy, ax, ay) * turn(cx, cy, dx, dy, bx, by) <= 0)
+        return ~apart & both
+
+    return F.exists(edges(g), crosses) | in_ring(ax, ay, g)
+
+
 def segment_distance_squared(x: Column, y: Column, e: Column) -> Column:
     """From a point to the nearest point of an edge: an end, or the foot of the
     perpendicular where that lies between them."""

@@ -122,3 +122,41 @@ def bucket(value: Column, bounds: list[float]) -> Column:
     for b in bounds:
         out += F.when(value >= b, 1).otherwise(0)
     return out
+
+
+def first_match(rows: DataFrame, others: DataFrame, key: str, other_key: str, order: str) -> DataFrame:
+    """Each row with its first match by ``order``; rows without one are left out."""
+    named = [c for c in others.columns if c != other_key]
+    first = others.groupBy(other_key).agg(F.min_by(F.struct(*named), order).alias("_first"))
+    return rows.join(first, F.col(key) == F.col(other_key)).select(*rows.columns, "_first.*")
+
+
+def enumerated(events: DataFrame, mosaics: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Events, their mosaics of both sides and those mosaics' tiles, with each tile's path."""
+    out = events.join(mosaics, "event").join(tiles, ["event", "when", "mosaic"])
+    return out.withColumn("path", F.concat(F.concat_ws("/", "event", "when", "mosaic", "img"), F.lit(".tif")))
+
+
+def in_order(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """Distinct values with their place by the smallest ``order`` that they have. As many rows
+    as there are events are ranked in one task."""
+    from pyspark.sql import Window as W
+
+    first = rows.groupBy(column).agg(F.min(order).alias("_first"))
+    return first.select(column, F.row_number().over(W.orderBy("_first", column)).alias("place"))
+
+
+def date_parts(rows: DataFrame, date: str) -> DataFrame:
+    return rows.withColumns({"year": F.year(date), "month": F.month(date), "day": F.dayofmonth(date)})
+
+
+def files_of(rows: DataFrame, files: DataFrame, column: str, ending: str) -> DataFrame:
+    """Rows with the file (name) that is called like them."""
+    return rows.join(files, F.concat(F.col(column), F.lit(ending)) == F.col("name"))
+
+
+def not_empty(rows: DataFrame, what: str) -> DataFrame:
+    """The rows; an error if there are none."""
+    if rows.isEmpty():
+        raise LookupError(f"there are no {what}")
+    return rows

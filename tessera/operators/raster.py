@@ -128,3 +128,15 @@ def closed(pixels: DataFrame, by: list[str]) -> DataFrame:
 
 def best_mask(candidates: DataFrame, by: list[str], mask: str, score: str) -> DataFrame:
     return candidates.groupBy(*by).agg(F.max_by(mask, score).alias(mask), F.max(score).alias(score))
+
+
+def on_canvas_at(pixels: DataFrame, i: str, j: str, stride: int, height: int, width: int) -> DataFrame:
+    """Patch pixels to canvas pixels by the patch's row and column in the grid."""
+    placed = pixels.withColumns({"_top": F.col(i) * stride, "_left": F.col(j) * stride})
+    return on_canvas(placed, "_top", "_left", height, width).drop("_top", "_left")
+
+
+def stacked(masks: DataFrame, by: list[str], channel: str = "channel", value: str = "covered", channels: tuple[str, ...] = PRIORITY) -> DataFrame:
+    """A column for each channel of ``channels``; others, such as padding, are dropped."""
+    own = masks.where(F.col(channel).isin(*channels))
+    return own.groupBy(*by).agg(*(F.coalesce(F.bool_or(F.when(F.col(channel) == c, F.col(value))), F.lit(False)).alias(c) for c in channels))

@@ -1,21 +1,24 @@
 """Joins on overlap, as equi-joins on grid cells.
 
 A plain overlap predicate would be a nested loop. Each box is put in the cells of a grid that
-suits its size, so that it touches four cells at most, and in those of all coarser grids. A
-pair meets in the coarser of both boxes' grids, in each cell that both touch; it is kept in
-one of them, the one with the lower left corner of what they share. No step grows with the
-product of the sides, however large single boxes are.
+suits its size, so that it touches four cells at most, and in those of the coarser grids that
+the other side has boxes in. A pair meets in the coarser grid of the two, in each cell that
+both touch; it is kept in one of them, the one with the lower left corner of what they share.
+No step grows with the product of the sides, however large single boxes are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import between_squared, edges, line_hits_box
+from tessera.functions.geometry import between_squared, edges, envelope, line_hits_box, segment_hits_ring
 
 CELL = 400.0
+EDGE = ("_ax", "_ay", "_bx", "_by")
 
 
 def level_of(box: Corners, cell: float) -> Column:
@@ -24,23 +27,34 @@ def level_of(box: Corners, cell: float) -> Column:
     return F.when(widest <= 1, 0).otherwise(F.ceil(F.log2(widest)).cast("int"))
 
 
-def celled(rows: DataFrame, box: Corners, cell: float, top: int, level: str) -> DataFrame:
-    """A row for each cell of the grids from the box's own to ``top``."""
-    leveled = rows.withColumn(level, level_of(box, cell))
-    leveled = leveled.withColumn("_level", F.explode(F.sequence(F.col(level), F.lit(top)))) if top else leveled.withColumn("_level", F.lit(0))
+def leveled(rows: DataFrame, box: Corners, cell: float, size: float | None, level: str) -> DataFrame:
+    """With each box's grid. Boxes known to be no larger than ``size`` have one grid."""
+    if size is None:
+        return rows.withColumn(level, level_of(box, cell))
+    return rows.withColumn(level, F.lit(max(0, math.ceil(math.log2(size / cell)))))
+
+
+def celled(rows: DataFrame, box: Corners, cell: float, level: str, other: DataFrame | Column) -> DataFrame:
+    """A row for each cell that a box touches, in its own grid and the coarser ones of ``other``:
+    the levels of the other side, as a column or a table of one row."""
+    if isinstance(other, DataFrame):
+        rows, other = rows.crossJoin(F.broadcast(other)), F.col(other.columns[0])
+    at_level = rows.withColumn("_level", F.explode(F.array_union(F.array(level), F.filter(other, lambda x: x > F.col(level)))))
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     at = lambda c: F.floor(c / width)
-    xs = leveled.withColumn("_cx", F.explode(F.sequence(at(box.x0), at(box.x1))))
+    xs = at_level.withColumn("_cx", F.explode(F.sequence(at(box.x0), at(box.x1))))
     return xs.withColumn("_cy", F.explode(F.sequence(at(box.y0), at(box.y1))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell: float = CELL, how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell: float = CELL, how: str = "inner", size_a: float | None = None, size_b: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes have common points. The sides' columns need different
-    names. Boxes with a null corner meet nothing."""
-    tops = [rows.agg(F.max(level_of(box, cell))).first()[0] or 0 for rows, box in ((left, a), (right, b))]
-    top = max(tops)
-    one = celled(left, a, cell, top, "_la").withColumnsRenamed({"_level": "_level_a", "_cx": "_cx_a", "_cy": "_cy_a"})
-    two = celled(right, b, cell, top, "_lb")
+    names. Boxes with a null corner meet nothing. ``size_a`` and ``size_b``: what no box of a
+    side is wider or higher than, if that is known; else the side is read once more for the
+    sizes that it has, within the same job."""
+    sides = [leveled(left, a, cell, size_a, "_la"), leveled(right, b, cell, size_b, "_lb")]
+    levels = [F.array(F.lit(max(0, math.ceil(math.log2(size / cell))))) if size is not None else rows.agg(F.collect_set(level).alias(f"_levels{level}")) for rows, size, level in zip(sides, (size_a, size_b), ("_la", "_lb"), strict=True)]
+    one = celled(sides[0], a, cell, "_la", levels[1]).withColumnsRenamed({"_level": "_level_a", "_cx": "_cx_a", "_cy": "_cy_a"})
+    two = celled(sides[1], b, cell, "_lb", levels[0])
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     here = (F.col("_cx") == F.floor(F.greatest(a.x0, b.x0) / width)) & (F.col("_cy") == F.floor(F.greatest(a.y0, b.y0) / width))
     same = (F.col("_level_a") == F.col("_level")) & (F.col("_cx_a") == F.col("_cx")) & (F.col("_cy_a") == F.col("_cy"))
@@ -48,9 +62,9 @@ def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell
     return met.select(*left.columns, *right.columns)
 
 
-def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, by: list[str]) -> DataFrame:
-    """How many features each patch overlaps, 0 included."""
-    met = overlap_join(patches, features, a, b).groupBy(*by).agg(F.count("*").alias("n_boxes"))
+def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, by: list[str], size: float | None = None) -> DataFrame:
+    """How many features each patch overlaps, 0 included. Patches are ``size`` wide and high."""
+    met = overlap_join(patches, features, a, b, size or CELL, size_a=size).groupBy(*by).agg(F.count("*").alias("n_boxes"))
     return patches.select(*by).join(met, by, "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
 
 
@@ -72,7 +86,24 @@ def lines_in_boxes(boxes: DataFrame, lines: DataFrame, a: Corners, envelope: Cor
     return overlap_join(boxes, lines, a, envelope).where(line_hits_box(F.col(geometry), a))
 
 
-EDGE = ("_ax", "_ay", "_bx", "_by")
+def overlap_join_in_time(left: DataFrame, right: DataFrame, a: Corners, b: Corners, at: tuple[str, str], bt: tuple[str, str], cell: float = CELL, size: float | None = None) -> DataFrame:
+    """Pairs whose boxes and whose times, ends included, have something in common, with that
+    time as mint and maxt. ``size``: of all boxes, if known."""
+    met = overlap_join(left, right, a, b, cell, size_a=size, size_b=size).where((F.col(at[0]) <= F.col(bt[1])) & (F.col(bt[0]) <= F.col(at[1])))
+    return met.withColumns({"mint": F.greatest(at[0], bt[0]), "maxt": F.least(at[1], bt[1])})
+
+
+def lines_in_polygons(polygons: DataFrame, lines: DataFrame, ring: str, geometry: str, size: float | None = None) -> DataFrame:
+    """Rows of both sides, once for each edge of a line that meets a polygon, its border
+    included. ``size``: of all polygons, if known."""
+    e = edge_rows(lines, geometry, [c for c in lines.columns if c != geometry])
+    ax, ay, bx, by = map(F.col, EDGE)
+    shaped = polygons.select("*", *envelope(F.col(ring)).columns("_px0", "_py0", "_px1", "_py1"))
+    outer = Corners.named("_px0", "_py0", "_px1", "_py1")
+    met = overlap_join(shaped, e, outer, Corners(F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by)), size or CELL, size_a=size)
+    return met.where(segment_hits_ring(ax, ay, bx, by, F.col(ring))).drop(*EDGE, "_px0", "_py0", "_px1", "_py1")
+
+
 
 
 def edge_rows(lines: DataFrame, geometry: str, keep: list[str]) -> DataFrame:

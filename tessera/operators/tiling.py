@@ -66,3 +66,22 @@ def random_fraction(rows: DataFrame, fraction: float, seed: int, by: list[str])
     n = F.count("*").over(W.partitionBy(*by))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.rand(seed)))
     return rows.withColumns({"_n": n, "_rank": rank}).where(F.col("_rank") <= F.floor(F.col("_n") * fraction)).drop("_n", "_rank")
+
+
+def padded(batched: DataFrame, batch_size: int, by: list[str]) -> DataFrame:
+    """Batches with rows for what the last one lacks: nulls but for ``by``, batch_ix and place,
+    and is_pad."""
+    last = batched.groupBy(*by).agg(F.max(F.struct("batch_ix", "place")).alias("_last"))
+    places = F.sequence(F.col("_last.place") + 1, F.lit(batch_size - 1))
+    fill = last.where(F.col("_last.place") < batch_size - 1).select(*by, F.col("_last.batch_ix").alias("batch_ix"), F.explode(places).alias("place"), F.lit(True).alias("is_pad"))
+    return batched.withColumn("is_pad", F.lit(False)).unionByName(fill, allowMissingColumns=True)
+
+
+def until(batched: DataFrame, last_batch: int | None) -> DataFrame:
+    """Batches up to one; None is all."""
+    return batched if last_batch is None else batched.where(F.col("batch_ix") <= last_batch)
+
+
+def sub_batches(rows: DataFrame, parallel: int, by: list[str], order: list[str]) -> DataFrame:
+    """sub_ix for so many consecutive rows of each group."""
+    return rows.withColumn("sub_ix", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / parallel).cast("int"))

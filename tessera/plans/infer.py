@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -56,3 +57,46 @@ def stub_segmenter() -> Model:
 
 
 MASKS = "tile string, patch_seq int, box_ix long, channel string, x0 double, y0 double, x1 double, y1 double, logit float, quality double"
+
+
+def embed_once(prompts: DataFrame, by: list[str], load: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """``load`` gives an embedder of a group's key and a decoder of (embedding, its rows). Rows of
+    a group follow each other in one task, so it is embedded once however many batches it has."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed, decode = load()
+        key, embedding = None, None
+        for frame in frames:
+            for now, rows in frame.groupby(by, sort=False):
+                if now != key:
+                    key, embedding = now, embed(now)
+                yield decode(embedding, rows)
+
+    return prompts.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
+def stub_embedder() -> tuple[Callable, Callable]:
+    """Stands in for an encoder and a decoder: half of the patch's number, plus a box's width."""
+
+    def decode(embedding: float, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.drop(columns=["x0", "x1"]).assign(v=embedding + rows["x1"] - rows["x0"])
+
+    return lambda key: key[0] * 0.5, decode
+
+
+# Means and deviations of the colours that models are trained with.
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def normalised(value: Column, colour: int) -> Column:
+    """A colour's value from 0 to 255 as models take it."""
+    return (value / F.lit(255.0) - MEAN[colour]) / DEVIATION[colour]
+
+
+def resized(width: Column, height: Column, short: int = 800, long: int = 1333) -> tuple[Column, Column]:
+    """The size at which the shorter side is ``short``, or less if the longer were over ``long``."""
+    side = F.least(F.lit(short), F.round(long * F.least(width, height) / F.greatest(width, height)).cast("int"))
+    return (
+        F.when(width <= height, side).otherwise(F.floor(side * width / height)).cast("int"),
+        F.when(width <= height, F.floor(side * height / width)).otherwise(side).cast("int"),
+    )

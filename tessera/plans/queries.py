@@ -76,7 +76,7 @@ def q_box_area_px(spark, d):
  (x1 + 1 - px0) / 0.5 AS right_px, (py1 - (y0 - 1)) / 0.5 AS bottom_px
  FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1""")
 def q_geo_to_patch(spark, d):
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box())
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE)
     return met.select(*fx.KEY, "patch_seq", *box().in_patch(F.col("px0"), F.col("py1"), 0.5, 2).columns("left_px", "top_px", "right_px", "bottom_px"))
 
 
@@ -151,12 +151,12 @@ def q_prepost_overlap(spark, d):
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES} SELECT patch_seq, {K}, class FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1""")
 def q_patch_feature_join(spark, d):
-    return sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box()).select("patch_seq", *fx.KEY, "class")
+    return sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE).select("patch_seq", *fx.KEY, "class")
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES} SELECT patch_seq, count(x0) AS n_boxes FROM patches LEFT JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq""")
 def q_boxes_per_patch(spark, d):
-    return sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"])
+    return sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"], fx.SIZE)
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES}, n AS (SELECT patch_seq, count(*) AS n_boxes FROM patches JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq HAVING count(*) > 10)
@@ -164,14 +164,14 @@ def q_boxes_per_patch(spark, d):
 def q_patches_over_10(spark, d):
     from pyspark.sql import Window as W
 
-    n = sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"]).where("n_boxes > 10")
+    n = sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"], fx.SIZE).where("n_boxes > 10")
     return n.withColumn("k", F.row_number().over(W.partitionBy(F.lit("t0")).orderBy("patch_seq")))  # of the one tile
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES}, n AS (SELECT patch_seq, count(*) FILTER (class = 'tree') AS t, count(*) FILTER (class = 'building') AS b FROM patches JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq)
  SELECT (patch_seq // 16)::INT AS batch_ix, max(t + b) AS max_detections FROM n GROUP BY 1""")
 def q_max_detections(spark, d):
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box())
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE)
     n = met.groupBy("patch_seq").agg(F.count_if(F.col("class") == "tree").alias("t"), F.count_if(F.col("class") == "building").alias("b"))
     return n.groupBy(F.floor(F.col("patch_seq") / 16).cast("int").alias("batch_ix")).agg(F.max(F.col("t") + F.col("b")).alias("max_detections"))
 
@@ -484,7 +484,7 @@ def q_mask_opening(spark, d):
 @query()
 def q_prompts(spark, d):
     """Corner points of each patch's boxes, trees first, padded to the longest."""
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d).where("class <> 'road'"), patch(), box())
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d).where("class <> 'road'"), patch(), box(), fx.SIZE, size_a=fx.SIZE)
     point = F.array(F.array("x0", "y0"), F.array("x1", "y1"))
     grouped = met.groupBy("patch_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("class") == "building").alias("b"), *fx.KEY, point.alias("p")))), lambda s: s["p"]).alias("points"))
     most = grouped.agg(F.max(F.size("points")).alias("_most"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,33 @@ def geojson_lines(features: DataFrame, path: str, key: str = "QuadKey", overwrit
         F.struct(*others).alias("properties") if others else F.create_map().alias("properties"),
     )
     features.select(key, F.to_json(feature).alias("value")).write.mode(mode(overwrite)).partitionBy(key).text(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def marks(paths: DataFrame, root: str) -> None:
+    """Makes a file of one byte for each path below a folder, as a mark of what exists (Spark's
+    readers pass over empty files)."""
+    def run(frames):
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            for path in frame["path"]:
+                files.create_dir(f"{at}/{path.rpartition('/')[0]}", recursive=True)
+                with files.open_output_stream(f"{at}/{path}") as out:
+                    out.write(b"\0")
+            yield frame[:0]
+
+    paths.select("path").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from tessera.plans import queries
+from tessera.plans import more_queries, queries  # noqa: F401
 
 from tests.compare import assert_same
 from tests.conftest import DATA
