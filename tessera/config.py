@@ -24,8 +24,9 @@ class DetectConfig:
 class SegmentConfig(DetectConfig):
     road_width_m: float = 5.0
     grow_buildings_m: float = 0.0
-    parallel_queries: int = 50
+    #: The largest score of a pixel over all patches, else the last patch's.
     smooth_overlap: bool = False
+    #: Boxes found in a patch are segmented in all patches that they overlap, else in their own.
     separate_detection: bool = False
     #: Stop after this batch; None runs all.
     last_batch: int | None = None

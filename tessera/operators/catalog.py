@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.writers import stored
+
 WHENS = ("pre", "post")
 
 
@@ -99,20 +101,19 @@ def bounding_box(features: DataFrame, by: list[str], grow: float = 0.0) -> DataF
     return out.withColumns({"x0": F.col("x0") - grow / 2, "y0": F.col("y0") - grow / 2, "x1": F.col("x1") + grow / 2, "y1": F.col("y1") + grow / 2})
 
 
-def ecdf(rows: DataFrame, value: str, order: list[str], parts: int = 256) -> DataFrame:
+def ecdf(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
     """(order, value, rank, share) with share 0 for the smallest and 1 for the largest; ties
-    by ``order``, nulls first. Approximate quantiles cut the values in ``parts`` ranges, each
-    range is ranked by itself and starts after the counts of those before it, so that no
-    task sorts all rows. The result doesn't depend on where the cuts lie."""
+    by ``order``, nulls first. Rows are dealt out and sorted by ranges of value and order, so
+    that a value that very many have is split too; a range starts after the counts of those
+    before it. The result doesn't depend on where the cuts lie."""
     from pyspark.sql import Window as W
 
-    bounds = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    parted = rows.select(*order, value, F.size(F.filter(cuts, lambda b: b <= F.col(value))).alias("_part"))
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range, at most ``parts``
+    dealt = rows.select(*order, value).repartitionByRange(F.col(value), *order).sortWithinPartitions(value, *order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in its partition
+    parted = stored(dealt.select(*order, value, F.spark_partition_id().alias("_part"), place.alias("_place")), "ranges")
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(value, *order)) + F.col("_before")
-    ranked = parted.join(F.broadcast(before), "_part").withColumn("rank", rank)
+    ranked = parted.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_place") + 1)
     return ranked.select(*order, value, "rank", F.coalesce(F.try_divide(F.col("rank") - 1, F.col("_all") - 1), F.lit(0.0)).alias("share"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import between_squared, edges, envelope, line_hits_box, segment_hits_ring
+from tessera.functions.geometry import between_squared, edges, envelope, segment_hits_box, segment_hits_ring, vertex
 
 CELL = 400.0
 EDGE = ("_ax", "_ay", "_bx", "_by")
@@ -34,12 +34,10 @@ def leveled(rows: DataFrame, box: Corners, cell: float, size: float | None, leve
     return rows.withColumn(level, F.lit(max(0, math.ceil(math.log2(size / cell)))))
 
 
-def celled(rows: DataFrame, box: Corners, cell: float, level: str, other: DataFrame | Column) -> DataFrame:
-    """A row for each cell that a box touches, in its own grid and the coarser ones of ``other``:
-    the levels of the other side, as a column or a table of one row."""
-    if isinstance(other, DataFrame):
-        rows, other = rows.crossJoin(F.broadcast(other)), F.col(other.columns[0])
-    at_level = rows.withColumn("_level", F.explode(F.array_union(F.array(level), F.filter(other, lambda x: x > F.col(level)))))
+def celled(rows: DataFrame, box: Corners, cell: float, level: str, other: Column) -> DataFrame:
+    """A row for each cell that a box touches, in its own grid and the coarser ones of ``other``,
+    the levels of the other side."""
+    at_level = rows.withColumn("_others", other).withColumn("_level", F.explode(F.array_union(F.array(level), F.filter("_others", lambda x: x > F.col(level)))))
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
     at = lambda c: F.floor(c / width)
     xs = at_level.withColumn("_cx", F.explode(F.sequence(at(box.x0), at(box.x1))))
@@ -52,7 +50,7 @@ def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell
     side is wider or higher than, if that is known; else the side is read once more for the
     sizes that it has, within the same job."""
     sides = [leveled(left, a, cell, size_a, "_la"), leveled(right, b, cell, size_b, "_lb")]
-    levels = [F.array(F.lit(max(0, math.ceil(math.log2(size / cell))))) if size is not None else rows.agg(F.collect_set(level).alias(f"_levels{level}")) for rows, size, level in zip(sides, (size_a, size_b), ("_la", "_lb"), strict=True)]
+    levels = [F.array(F.lit(max(0, math.ceil(math.log2(size / cell))))) if size is not None else rows.agg(F.collect_set(level)).scalar() for rows, size, level in zip(sides, (size_a, size_b), ("_la", "_lb"), strict=True)]
     one = celled(sides[0], a, cell, "_la", levels[1]).withColumnsRenamed({"_level": "_level_a", "_cx": "_cx_a", "_cy": "_cy_a"})
     two = celled(sides[1], b, cell, "_lb", levels[0])
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
@@ -81,9 +79,13 @@ def without_covered(boxes: DataFrame, by: str, score: str, share: float, cell: f
     return boxes.join(covered.select(by, "x0", "y0", "x1", "y1").distinct(), [by, "x0", "y0", "x1", "y1"], "left_anti")
 
 
-def lines_in_boxes(boxes: DataFrame, lines: DataFrame, a: Corners, envelope: Corners, geometry: str) -> DataFrame:
-    """Pairs of boxes and lines that truly meet."""
-    return overlap_join(boxes, lines, a, envelope).where(line_hits_box(F.col(geometry), a))
+def lines_in_boxes(boxes: DataFrame, lines: DataFrame, a: Corners, geometry: str, size: float | None = None) -> DataFrame:
+    """Rows of both sides (lines without their geometry), once for each edge that truly meets a
+    box. ``size``: of all boxes, if known."""
+    e = edge_rows(lines, geometry, [c for c in lines.columns if c != geometry])
+    ax, ay, bx, by = map(F.col, EDGE)
+    met = overlap_join(boxes, e, a, Corners(F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by)), size or CELL, size_a=size)
+    return met.where(segment_hits_box(vertex(ax, ay), vertex(bx, by), a)).drop(*EDGE)
 
 
 def overlap_join_in_time(left: DataFrame, right: DataFrame, a: Corners, b: Corners, at: tuple[str, str], bt: tuple[str, str], cell: float = CELL, size: float | None = None) -> DataFrame:
@@ -104,8 +106,6 @@ def lines_in_polygons(polygons: DataFrame, lines: DataFrame, ring: str, geometry
     return met.where(segment_hits_ring(ax, ay, bx, by, F.col(ring))).drop(*EDGE, "_px0", "_py0", "_px1", "_py1")
 
 
-
-
 def edge_rows(lines: DataFrame, geometry: str, keep: list[str]) -> DataFrame:
     """The distinct edges of lines: ``keep`` and the coordinates EDGE."""
     single = lines.select(*keep, F.explode(edges(F.col(geometry))).alias("_e"))

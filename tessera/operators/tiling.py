@@ -46,25 +46,41 @@ def tile_pixels(extent: Column, resolution: float) -> Column:
     return F.when(F.abs(extent / resolution - n) < 1e-6, n.cast("long")).otherwise(F.raise_error(F.lit("a tile's size is no whole number of pixels")))
 
 
-def random_patches(tiles: DataFrame, size: float, count: int, seed: int, polygon: str | None = None) -> DataFrame:
-    """``count`` patches at random, tiles weighed by area; with ``polygon``, patches with
-    their centre in it. A tile draws its share and as many again for those that fall out."""
+def draw(*of: Column) -> Column:
+    """A number from 0 to 1 that depends on the values alone, not on how rows are dealt out."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in of))), 1, 8), 16, 10)
+    return digits.cast("double") / float(1 << 32)
+
+
+def random_patches(tiles: DataFrame, size: float, count: int, seed: int, key: str, polygons: tuple[str, ...] = (), rounds: int = 40) -> DataFrame:
+    """``count`` patches at random, tiles (named by ``key``) weighed by area; with polygons,
+    patches with their centre in all of them. Each round a tile draws its share, and it goes on
+    until there are enough; an error if they aren't after so many rounds. Without tiles there are
+    no patches."""
     t = Corners.named()
     total = tiles.agg(F.sum(t.area()).alias("_total"))
-    drawn = tiles.crossJoin(F.broadcast(total)).withColumn("_n", F.ceil(t.area() / F.col("_total") * count * (2 if polygon else 1)).cast("int") + 1)
-    drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    drawn = drawn.withColumns({"px0": t.x0 + F.rand(seed) * F.greatest(F.lit(0.0), t.width() - size), "py0": t.y0 + F.rand(seed + 1) * F.greatest(F.lit(0.0), t.height() - size)})
-    drawn = drawn.withColumns({"px1": F.col("px0") + size, "py1": F.col("py0") + size})
-    if polygon:
+    shares = tiles.crossJoin(F.broadcast(total)).withColumn("_n", F.ceil(t.area() / F.col("_total") * count * (2 if polygons else 1)).cast("int") + 1)
+    found, drawn = None, 0
+    for k in range(rounds):
+        mine = shares.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_k", F.col("_k") + F.col("_n") * k)
+        at = lambda axis: draw(F.lit(f"{seed}{axis}"), F.col(key), F.col("_k"))
+        placed = mine.withColumns({"px0": t.x0 + at("x") * F.greatest(F.lit(0.0), t.width() - size), "py0": t.y0 + at("y") * F.greatest(F.lit(0.0), t.height() - size)})
+        placed = placed.withColumns({"px1": F.col("px0") + size, "py1": F.col("py0") + size, "_order": at("o")})
         x, y = Corners.named("px0", "py0", "px1", "py1").center()
-        drawn = drawn.where(in_ring(x, y, F.col(polygon)))
-    return drawn.orderBy(F.rand(seed + 2)).limit(count).drop("_n", "_k", "_total")
+        for polygon in polygons:
+            placed = placed.where(in_ring(x, y, F.col(polygon)))
+        found = placed if found is None else found.unionByName(placed)
+        drawn += placed.limit(count).count()
+        if drawn >= count or (not k and tiles.isEmpty()):
+            return found.orderBy("_order", key, "_k").limit(count).drop("_n", "_k", "_total", "_order")
+    raise ValueError(f"{drawn} of {count} patches found: the polygons have too little room")
 
 
 def random_fraction(rows: DataFrame, fraction: float, seed: int, by: list[str]) -> DataFrame:
-    """floor(n * fraction) rows of each group, at random."""
+    """floor(n * fraction) rows of each group, at random by a hash of their values; a group is
+    ranked in one task."""
     n = F.count("*").over(W.partitionBy(*by))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.rand(seed)))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(draw(F.lit(seed), *map(F.col, rows.columns)), *rows.columns))
     return rows.withColumns({"_n": n, "_rank": rank}).where(F.col("_rank") <= F.floor(F.col("_n") * fraction)).drop("_n", "_rank")
 
 

@@ -24,7 +24,7 @@ def apply_model(rows: DataFrame, load: Callable[[], Model], schema: str) -> Data
     return rows.mapInPandas(run, schema)
 
 
-DETECTIONS = "tile string, patch_seq int, box_ix int, cx double, cy double, w double, h double, score double, phrase string"
+DETECTIONS = "tile string, patch_seq int, box_ix int, cx double, cy double, w double, h double, score double, text_score double, phrase string"
 
 
 def stub_detector() -> Model:
@@ -34,7 +34,7 @@ def stub_detector() -> Model:
         rows = []
         for tile, seq in zip(patches["tile"], patches["patch_seq"], strict=True):
             for k in range(int(seq) % 3):
-                rows.append((tile, int(seq), k, 0.25 + 0.25 * k, 0.5, 0.05 + 0.01 * (int(seq) % 5), 0.06, 0.1 + 0.05 * (int(seq) % 7), "bush"))
+                rows.append((tile, int(seq), k, 0.25 + 0.25 * k, 0.5, 0.05 + 0.01 * (int(seq) % 5), 0.06, 0.1 + 0.05 * (int(seq) % 7), 0.25 + 0.1 * (int(seq) % 4), "bush"))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTIONS.split(", ")])
 
     return detect

@@ -11,7 +11,7 @@ from tessera.operators import catalog, raster, tiling
 from tessera.operators import spatial_join as sj
 from tessera.plans import fixtures as fx
 from tessera.plans import infer
-from tessera.plans.queries import K, box, patch, query, rounded
+from tessera.plans.queries import K, box, drawn, patch, query
 from tessera.sources import readers, writers
 
 # Footprints and two sides
@@ -79,6 +79,21 @@ def q_two_polygon_grid(spark, d):
     return met.select("event", "x0", "y0", F.col("a_x").alias("ax"), F.col("a_y").alias("ay"), F.col("b_x").alias("bx"), F.col("b_y").alias("by"), "patch_seq").distinct()
 
 
+def tries(axis: str) -> str:
+    return drawn(axis, "spot", "k")
+
+
+@query(f"""WITH {fx.TILES}, {SIDES}, spots AS (SELECT DISTINCT event || ' ' || ax::BIGINT || ' ' || ay::BIGINT || ' ' || bx::BIGINT || ' ' || "by"::BIGINT AS spot, ax, ay, bx, "by", greatest(ax, bx) AS x0, greatest(ay, "by") AS y0, 150 - abs(ax - bx) AS w, 150 - abs(ay - "by") AS h FROM sides),
+ shared AS (SELECT *, ceil(w * h / (SELECT sum(w * h) FROM spots) * 60 * 2)::INT + 1 AS n FROM spots), tries AS (SELECT *, unnest(range(1, n + 1)) AS k FROM shared),
+ tried AS (SELECT *, x0 + {tries("7x")} * greatest(0.0::DOUBLE, w - 20) AS px0, y0 + {tries("7y")} * greatest(0.0::DOUBLE, h - 20) AS py0, {tries("7o")} AS o FROM tries)
+ SELECT spot, px0, py0 FROM tried WHERE px0 + 10 - ax + py0 + 10 - ay < 150 AND px0 + 10 - bx + py0 + 10 - "by" < 150 ORDER BY o, spot, k LIMIT 60""")
+def q_two_polygon_random(spark, d):
+    """Random patches over what both sides have in common, with their centre in both polygons."""
+    spot = F.concat_ws(" ", "event", *(F.col(c).cast("long").cast("string") for c in ("a_x", "a_y", "b_x", "b_y")))
+    spots = sides(spark, d).drop("mint", "maxt").distinct().withColumn("spot", spot)
+    return tiling.random_patches(spots, 20, 60, 7, "spot", ("pre", "post")).select("spot", "px0", "py0")
+
+
 @query(f"""WITH {fx.LINES}, {fx.EDGES}, {FOOTPRINTS}, one AS (SELECT DISTINCT ax, ay, bx, "by", o_orderkey FROM edges) SELECT DISTINCT o_orderkey, p_partkey FROM one JOIN footprints
  ON least(ax, bx) <= x + 150 AND greatest(ax, bx) >= x AND least(ay, "by") <= y + 150 AND greatest(ay, "by") >= y AND least(ax + ay, bx + "by") <= x + y + 150 AND greatest(ax + ay, bx + "by") >= x + y
  AND NOT (least((bx - ax) * (y - ay) - ("by" - ay) * (x - ax), (bx - ax) * (y - ay) - ("by" - ay) * (x + 150 - ax), (bx - ax) * (y + 150 - ay) - ("by" - ay) * (x - ax)) > 0)

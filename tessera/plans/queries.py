@@ -110,14 +110,22 @@ def q_tile_grid(spark, d):
     return tiling.grid(tiles, 15, 10, "geometry").select("p_partkey", "patch_seq", "px0", "py0")
 
 
-@query()
+def drawn(axis: str, *of: str) -> str:
+    return f"('0x' || substr(md5({' || chr(124) || '.join([repr(axis), *of])}), 1, 8))::BIGINT::DOUBLE / 4294967296"
+
+
+@query(f"""WITH {fx.POLYGONS}, sized AS (SELECT p_partkey, x, y, p_size AS w, p_size + 3 AS h FROM polygons), shared AS (SELECT *, ceil(w * h / (SELECT sum(w * h) FROM sized)::DOUBLE * 100 * 2)::INT + 1 AS n FROM sized),
+ tries AS (SELECT *, unnest(range(1, n + 1)) AS k FROM shared),
+ placed AS (SELECT p_partkey, x + {drawn("1x", "p_partkey", "k")} * greatest(0.0::DOUBLE, w - 5) AS px0, y + {drawn("1y", "p_partkey", "k")} * greatest(0.0::DOUBLE, h - 5) AS py0, x, y, w, h, k, {drawn("1o", "p_partkey", "k")} AS o FROM tries)
+ SELECT p_partkey, px0, py0, px0 + 5 AS px1, py0 + 5 AS py1 FROM placed WHERE px0 + 2.5 >= x AND px0 + 2.5 < x + w AND py0 + 2.5 >= y AND py0 + 2.5 < y + h ORDER BY o, p_partkey, k LIMIT 100""")
 def q_random_patches(spark, d):
     e = g.envelope(F.col("geometry"))
     tiles = fx.polygons(spark, d).select("p_partkey", "geometry", *e.columns())
-    return tiling.random_patches(tiles, 5, 100, 1, "geometry").select("p_partkey", "px0", "py0", "px1", "py1")
+    return tiling.random_patches(tiles, 5, 100, 1, "p_partkey", ("geometry",)).select("p_partkey", "px0", "py0", "px1", "py1")
 
 
-@query()
+@query(f"""WITH {fx.TILES}, n AS (SELECT event, img, count(*) OVER (PARTITION BY event) AS n, row_number() OVER (PARTITION BY event ORDER BY {drawn("3", "event", "img")}, img) AS k FROM tiles)
+ SELECT event, img FROM n WHERE k <= floor(n * 0.1)""")
 def q_random_fraction(spark, d):
     return tiling.random_fraction(fx.tiles(spark, d).select("event", "img"), 0.1, 3, ["event"])
 
@@ -185,8 +193,8 @@ HIT = """abs((ax + bx) / 2 - (qx + 20)) <= 20 + abs(bx - ax) / 2 AND abs((ay + "
 def q_line_hits_box(spark, d):
     boxes = spark.range(40).selectExpr("cast(id as int) q", "cast(id * 97 % 900 as double) qx", "cast(id * 61 % 900 as double) qy")
     asked = Corners(F.col("qx"), F.col("qy"), F.col("qx") + 40, F.col("qy") + 40)
-    lines = fx.lines(spark, d).select("o_orderkey", "geometry", *g.envelope(F.col("geometry")).columns())
-    return sj.lines_in_boxes(boxes, lines, asked, box(), "geometry").groupBy("q").agg(F.count_distinct("o_orderkey").alias("n_lines"))
+    met = sj.lines_in_boxes(boxes, fx.lines(spark, d).select("o_orderkey", "geometry"), asked, "geometry", 40)
+    return met.groupBy("q").agg(F.count_distinct("o_orderkey").alias("n_lines"))
 
 
 @query(f"""WITH {fx.POLYGONS}, p AS (SELECT o_orderkey, (o_orderkey % 499 * 10 + 3)::DOUBLE AS px, (o_custkey % 367 * 10 + 3)::DOUBLE AS py FROM orders)

@@ -64,3 +64,11 @@ def marks(paths: DataFrame, root: str) -> None:
             yield frame[:0]
 
     paths.select("path").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: what made it runs once, and a lost
+    executor costs a re-read."""
+    at = folder(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import pytest
-from tessera.plans import more_queries, queries  # noqa: F401
+from pyspark.sql import functions as F
+from tessera.config import PRESETS
+from tessera.functions import geometry
+from tessera.operators import catalog, tiling
+from tessera.plans import fixtures, more_queries, queries, segmentation  # noqa: F401
 
 from tests.compare import assert_same
 from tests.conftest import DATA
@@ -45,3 +49,37 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 441
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("preset", PRESETS)
+def test_presets_and_options(spark, preset):
+    from dataclasses import replace
+
+    tile, config = fixtures.tile(spark), replace(PRESETS[preset], size=2200, stride=1600, last_batch=3, max_area_m2=1e9)
+    features = spark.createDataFrame([("t0", "building", 0.9, 100.0, 100.0, 180.0, 180.0), ("t0", "building", 0.9, 8000.0, 8000.0, 8100.0, 8100.0)], "tile string, channel string, score double, x0 double, y0 double, x1 double, y1 double")
+    masks = segmentation.box_masks(tile, features, config).collect()
+    buildings = {(r.x0, r.x1) for r in masks if r.channel == "building"}
+    assert buildings == {(100.0, 180.0)}  # the other one is in a later batch
+    grown = segmentation.box_masks(tile, features, replace(config, grow_buildings_m=5.0)).where("channel = 'building'").collect()
+    assert {(r.x0, r.x1) for r in grown} == {(95.0, 185.0)}
+    own = {(r.patch_seq, r.x0) for r in masks if r.channel == "tree"}
+    every = {(r.patch_seq, r.x0) for r in segmentation.box_masks(tile, features, replace(config, separate_detection=True)).where("channel = 'tree'").collect()}
+    assert own <= every and (own == every) == config.separate_detection
+    assert not [r for r in segmentation.box_masks(tile, features, replace(config, text_threshold=0.9)).collect() if r.channel == "tree"]
+
+
+def test_patches_go_on_until_there_are_enough(spark):
+    thin = geometry.ring([(F.lit(0.0), F.lit(0.0)), (F.lit(100.0), F.lit(0.0)), (F.lit(0.0), F.lit(4.0))])
+    tiles = spark.range(1).select("id", thin.alias("p"), *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 100.0), ("y1", 100.0))))
+    rows = tiling.random_patches(tiles, 1, 50, 3, "id", ("p",)).collect()
+    assert len(rows) == 50 and all((r.px0 + 0.5) / 100 + (r.py0 + 0.5) / 4 < 1 for r in rows)
+    assert rows == tiling.random_patches(tiles.repartition(3), 1, 50, 3, "id", ("p",)).collect()
+    with pytest.raises(ValueError):
+        tiling.random_patches(tiles.withColumn("p", geometry.ring([(F.lit(500.0), F.lit(0.0))] * 3)), 1, 50, 3, "id", ("p",), rounds=2)
+    assert tiling.random_patches(tiles.limit(0), 1, 50, 3, "id").count() == 0
+
+
+def test_ranks_of_one_value(spark):
+    rows = spark.range(1000).selectExpr("id", "cast(if(id % 3 = 0, id, 7) as double) v").unionByName(spark.sql("select -1L id, cast(null as double) v"))
+    out = catalog.ecdf(rows, "v", ["id"]).collect()
+    assert [(r.id, r["rank"]) for r in sorted(out, key=lambda r: r["rank"])] == [(r.id, k) for k, r in enumerate(sorted(rows.collect(), key=lambda r: (r.v is not None, r.v or 0, r.id)), 1)]
