@@ -47,6 +47,8 @@ MOST_PAIRED = 32
 HELD = 1_500_000
 CHUNK = 2_000_000
 CHUNK_SETS = 2_000
+#: Sets that a task remembers as done; beyond it the memory starts afresh.
+REMEMBERED = 500_000
 
 # Shingles
 
@@ -299,7 +301,7 @@ def candidate_filter(groups: DataFrame) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, bits: np.ndarray, text: str, words: int) -> DataFrame:
-    """node, n and shingles of the classes that pass the filter, once a task."""
+    """node, n and shingles of the classes that pass the filter, once or few times a task."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,6 +316,8 @@ def candidate_sets(docs: DataFrame, bits: np.ndarray, text: str, words: int) ->
                 if shared.value[slot >> 3] >> (slot & 7) & 1:
                     met.add(c)
                     out.append((c, len(found), found.tobytes()))
+            if len(met) >= REMEMBERED:
+                met.clear()
             if out:
                 c, n, s = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], names=["node", "n", "shingles"])
