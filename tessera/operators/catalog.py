@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import utm
 from tessera.sources.writers import stored
 
 WHENS = ("pre", "post")
@@ -101,6 +102,18 @@ def bounding_box(features: DataFrame, by: list[str], grow: float = 0.0) -> DataF
     return out.withColumns({"x0": F.col("x0") - grow / 2, "y0": F.col("y0") - grow / 2, "x1": F.col("x1") + grow / 2, "y1": F.col("y1") + grow / 2})
 
 
+def bounding_box_across(boxes: DataFrame, by: list[str], order: str, zone: str = "zone") -> DataFrame:
+    """The smallest box around each group's boxes of several northern UTM zones, in the zone of the
+    group's first box; boxes are moved by their two corners, which is not their true envelope."""
+    first = boxes.groupBy(*by).agg(F.min_by(zone, order).alias("_to"))
+    lon_lat = utm.box_to_lon_lat(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col(zone), F.lit(False))
+    joined = boxes.join(first, by).withColumns(dict(zip(("_lon0", "_lat0", "_lon1", "_lat1"), lon_lat, strict=True)))
+    moved = [c for k in "01" for c in utm.to_utm(F.col(f"_lon{k}"), F.col(f"_lat{k}"), F.col("_to"))]
+    same = F.col(zone) == F.col("_to")
+    placed = joined.withColumns({c: F.when(same, F.col(c)).otherwise(new) for c, new in zip(("x0", "y0", "x1", "y1"), moved, strict=True)})
+    return bounding_box(placed, [*by, "_to"]).withColumnRenamed("_to", zone)
+
+
 def ecdf(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
     """(order, value, rank, share) with share 0 for the smallest and 1 for the largest; ties
     by ``order``, nulls first. Rows are dealt out and sorted by ranges of value and order, so

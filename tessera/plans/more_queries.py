@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.functions import utm
 from tessera.functions.boxes import Corners
 from tessera.operators import catalog, raster, tiling
 from tessera.operators import spatial_join as sj
 from tessera.plans import fixtures as fx
 from tessera.plans import infer
-from tessera.plans.queries import K, box, drawn, patch, query
+from tessera.plans.queries import INVERSE, UTM_SQL, K, box, drawn, patch, query, rounded
 from tessera.sources import readers, writers
 
 # Footprints and two sides
@@ -144,6 +145,22 @@ def q_region_files(spark, d):
     return catalog.files_of(regions.select("region"), files, "region", ".tsv").select("region", F.lower("name").alias("file"))
 
 
+@query(f"""WITH {fx.BOXES}, m AS (SELECT l_linenumber AS event, class, CASE class WHEN 'building' THEN 34 ELSE 33 END AS zone, min(x0) + 400000 AS x0, min(y0) + 4900000 AS y0, max(x1) + 400000 AS x1, max(y1) + 4900000 AS y1 FROM boxes GROUP BY ALL),
+ first AS (SELECT event, arg_min(zone, class) AS toz FROM m GROUP BY event), corners AS (SELECT event, zone, toz, corner, CASE corner WHEN 0 THEN x0 ELSE x1 END AS x, CASE corner WHEN 0 THEN y0 ELSE y1 END AS y FROM m JOIN first USING (event), (SELECT unnest([0, 1]) AS corner)),
+ s AS (SELECT *, y / {utm.SCALE * utm.RADIUS!r} AS xi, (x - {utm.EASTING!r}) / {utm.SCALE * utm.RADIUS!r} AS eta FROM corners),
+ k AS (SELECT * EXCLUDE (xi, eta), xi {INVERSE[0]} AS p, eta {INVERSE[1]} AS e FROM s), c AS (SELECT *, asin(sin(p) / cosh(e)) AS chi FROM k),
+ l AS (SELECT event, zone, toz, corner, x, y, zone * 6 - 183 + degrees(atan2(sinh(e), cos(p))) AS lon, degrees(chi {" ".join(f"+ {x!r} * sin({2 * j} * chi)" for j, x in enumerate(utm.DELTA, 1))}) AS lat FROM c),
+ f AS (SELECT *, radians(lat) AS phi, radians(lon - (toz * 6 - 183)) AS lam FROM l), h AS (SELECT *, sinh(atanh(sin(phi)) - {utm.ECCENTRIC!r} * atanh({utm.ECCENTRIC!r} * sin(phi))) AS t FROM f),
+ n AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM h),
+ u AS (SELECT event, toz, corner, CASE WHEN zone = toz THEN x ELSE {utm.EASTING!r} + {utm.SCALE * utm.RADIUS!r} * (eta + {UTM_SQL[0]}) END AS x, CASE WHEN zone = toz THEN y ELSE {utm.SCALE * utm.RADIUS!r} * (xi + {UTM_SQL[1]}) END AS y FROM n)
+ SELECT event, toz AS zone, round(min(x) FILTER (corner = 0), 3) AS x0, round(min(y) FILTER (corner = 0), 3) AS y0, round(max(x) FILTER (corner = 1), 3) AS x1, round(max(y) FILTER (corner = 1), 3) AS y1 FROM u GROUP BY event, toz""")
+def q_bbox_across_zones(spark, d):
+    """Mosaics of an event in two UTM zones, in one box of the first one's zone."""
+    boxes = catalog.bounding_box(fx.boxes(spark, d), ["l_linenumber", "class"])
+    moved = boxes.select(F.col("l_linenumber").alias("event"), "class", F.when(F.col("class") == "building", 34).otherwise(33).alias("zone"), *((F.col(c) + (400000 if c[0] == "x" else 4900000)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return rounded(catalog.bounding_box_across(moved, ["event"], "class"), 3, "x0", "y0", "x1", "y1")
+
+
 # Batches
 
 
