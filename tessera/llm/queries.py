@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, matroska, token_files, toxicity, url_filter
+from tessera.llm import byte_bpe, centroid_clustering, decontaminate, jaccard_join, language_id, license_scan, line_dedup, matroska, quality_rules, spelling_variants, token_files, toxicity, url_filter
 from tessera.llm.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,6 +72,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), WORDS, 2)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents and the more frequent word that it is a variant of."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers among the documents of a language and source."""
+    return quality_rules.judged(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds, exactly."""
+    return centroid_clustering.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,10 +98,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op11_spelling_variants": spelling_variants.SQL,
+    "op13_centroid_clustering": centroid_clustering.SQL,
 }
