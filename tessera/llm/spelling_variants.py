@@ -143,8 +143,9 @@ def heavy_children(lexicon: DataFrame) -> DataFrame:
 
 def light_places(lexicon: DataFrame) -> DataFrame:
     """(word, n, at, heavy, inside): where a word leaves the heavy path, what that path has
-    there, and whether the word goes on."""
-    left = places(lexicon).join(heavy_children(lexicon), "node").where("not next <=> heavy")
+    there, and whether the word goes on. The heavy children are written first, so that Spark can
+    split the rows of a node that most words pass."""
+    left = places(lexicon).join(stored(heavy_children(lexicon), "heavy"), "node").where("not next <=> heavy")
     return left.select("id", "at", F.chr("heavy").alias("heavy"), F.col("next").isNotNull().alias("inside")).join(lexicon, "id").drop("id")
 
 
