@@ -1,6 +1,9 @@
 """Geometries as arrays of vertices (x, y), in column expressions.
 
 Touching counts as intersecting. A buffer is never built: being in it is a distance.
+
+A polygon is one ring, or parts: an array of polygons, each an array of rings, the outer one and
+then its holes. A point is in parts if it is in an odd number of their rings, or on one of them.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.boxes import Corners
 
 VERTICES = "array<struct<x:double,y:double>>"
+PARTS = f"array<array<{VERTICES}>>"
 
 
 def vertex(x: Column, y: Column) -> Column:
@@ -29,6 +33,44 @@ def edges(g: Column) -> Column:
     return F.when(n >= 2, pairs).otherwise(F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
 
 
+def ring_edges(parts: Column) -> Column:
+    """The edges of all rings of a polygon's parts."""
+    return F.flatten(F.transform(F.flatten(parts), edges))
+
+
+def parts_envelope(parts: Column) -> Corners:
+    return envelope(F.flatten(F.flatten(parts)))
+
+
+def parts_area(parts: Column) -> Column:
+    """Area inside the outer rings without that of the holes."""
+    def of(rings: Column) -> Column:
+        areas = F.transform(rings, ring_area)
+        return 2 * F.coalesce(F.get(areas, 0), F.lit(0.0)) - F.aggregate(areas, F.lit(0.0), lambda a, x: a + x)
+
+    return F.aggregate(F.transform(parts, of), F.lit(0.0), lambda a, x: a + x)
+
+
+def edge_crossing(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """What an edge says of a point: 1 if a ray to the right crosses it, 0 if it doesn't, and a
+    large number if the point is on it."""
+    across = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    on = (across == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+    right = ((ay > y) != (by > y)) & ((across > 0) == (by > ay))
+    return F.when(on, F.lit(1 << 40).cast("long")).when(right, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def inside(crossings: Column) -> Column:
+    """Whether the sum of edge_crossing over all rings is of a point inside or on the border."""
+    return (crossings >= 1 << 40) | (crossings % 2 == 1)
+
+
+def in_parts(x: Column, y: Column, parts: Column) -> Column:
+    """Whether a point is in a polygon's parts, borders included."""
+    one = lambda a, e: a + edge_crossing(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
+    return inside(F.aggregate(ring_edges(parts), F.lit(0).cast("long"), one))
+
+
 def length(g: Column) -> Column:
     return F.aggregate(edges(g), F.lit(0.0), lambda acc, e: acc + F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
 
@@ -75,6 +117,11 @@ def polygon_hits_box(g: Column, box: Corners) -> Column:
     return line_hits_box(g, box) | in_ring(box.x0, box.y0, g)
 
 
+def parts_hit_box(parts: Column, box: Corners) -> Column:
+    """A ring's edge meets the box, or the box is inside the parts and not in a hole."""
+    return F.exists(ring_edges(parts), lambda e: segment_hits_box(e["a"], e["b"], box)) | in_parts(box.x0, box.y0, parts)
+
+
 def ring(corners: list[tuple[Column, Column]]) -> Column:
     """A closed ring of these corners."""
     return F.array(*(vertex(x, y) for x, y in [*corners, corners[0]]))
@@ -154,3 +201,13 @@ def line_from_json(text: Column) -> Column:
     kind = "struct<geometry:struct<type:string,coordinates:array<array<double>>>>"
     pairs = F.from_json(text, kind)["geometry"]["coordinates"]
     return F.coalesce(F.transform(pairs, lambda c: vertex(F.get(c, 0), F.get(c, 1))), F.array().cast(VERTICES))
+
+
+def parts_from_json(kind: Column, coordinates: Column) -> Column:
+    """The parts of a GeoJSON Polygon or MultiPolygon, whose coordinates are JSON text; of
+    anything else, no part."""
+    polygon = "array<array<array<double>>>"
+    rings = lambda p: F.transform(p, lambda r: F.transform(r, lambda c: vertex(F.get(c, 0), F.get(c, 1))))
+    one, many = F.from_json(coordinates, polygon), F.from_json(coordinates, f"array<{polygon}>")
+    parts = F.when(kind == "Polygon", F.array(rings(one))).when(kind == "MultiPolygon", F.transform(many, rings))
+    return F.coalesce(F.filter(parts, lambda p: p.isNotNull()), F.array().cast(PARTS))

@@ -10,6 +10,9 @@ from tessera.operators.spatial_join import EDGE, edge_rows, near_lines
 
 #: Later channels win where masks overlap.
 PRIORITY = ("road", "tree", "building")
+#: Surroundings of a pixel, as offsets of row and column.
+SQUARE = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1))
+CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 
 
 def pixels_of(rows: DataFrame, values: str, width: int, keep: list[str]) -> DataFrame:
@@ -102,19 +105,26 @@ def clip_to_lines(pixels: DataFrame, lines: DataFrame, geometry: str, distance:
     return near_lines(pixels, lines, F.col("col") + 0.5, F.col("row") + 0.5, geometry, distance, 64.0).select(*keep).distinct()
 
 
-def neighbours(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """Each pixel's 3 x 3 surroundings, with how many set pixels each has around it."""
-    around = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
+def neighbours(pixels: DataFrame, by: list[str], shape: tuple[tuple[int, int], ...] = SQUARE, frame: DataFrame | None = None) -> DataFrame:
+    """Each pixel's surroundings of a shape, with how many set pixels each has around it (_n)
+    and, as _all, how many it can have: with a frame (by, height, width), as many as are in it."""
+    around = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in shape)))
     moved = pixels.select(*by, "row", "col", around.alias("_d")).select(*by, (F.col("row") + F.col("_d.r")).alias("row"), (F.col("col") + F.col("_d.c")).alias("col"))
-    return moved.groupBy(*by, "row", "col").agg(F.count("*").alias("_n"))
+    found = moved.groupBy(*by, "row", "col").agg(F.count("*").alias("_n"))
+    if frame is None:
+        return found.withColumn("_all", F.lit(len(shape)))
+    inside = lambda r, c: (F.col("row") + r).between(0, F.col("height") - 1) & (F.col("col") + c).between(0, F.col("width") - 1)
+    sized = frame.select(*(F.col(c).alias(f"_f{i}") for i, c in enumerate(by)), "height", "width")
+    framed = found.join(sized, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(by)]).where(inside(0, 0))
+    return framed.drop(*(f"_f{i}" for i in range(len(by)))).withColumn("_all", sum((inside(r, c).cast("int") for r, c in shape), F.lit(0))).drop("height", "width")
 
 
-def eroded(pixels: DataFrame, by: list[str]) -> DataFrame:
-    return neighbours(pixels, by).where("_n = 9").drop("_n")
+def eroded(pixels: DataFrame, by: list[str], shape: tuple[tuple[int, int], ...] = SQUARE, frame: DataFrame | None = None) -> DataFrame:
+    return neighbours(pixels, by, shape, frame).where("_n = _all").drop("_n", "_all")
 
 
-def dilated(pixels: DataFrame, by: list[str]) -> DataFrame:
-    return neighbours(pixels, by).drop("_n")
+def dilated(pixels: DataFrame, by: list[str], shape: tuple[tuple[int, int], ...] = SQUARE, frame: DataFrame | None = None) -> DataFrame:
+    return neighbours(pixels, by, shape, frame).drop("_n", "_all")
 
 
 def opened(pixels: DataFrame, by: list[str]) -> DataFrame:

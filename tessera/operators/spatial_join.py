@@ -5,6 +5,10 @@ suits its size, so that it touches four cells at most, and in those of the coars
 the other side has boxes in. A pair meets in the coarser grid of the two, in each cell that
 both touch; it is kept in one of them, the one with the lower left corner of what they share.
 No step grows with the product of the sides, however large single boxes are.
+
+Where the largest size of either side's boxes is known, the smaller boxes stay whole: each is in
+the cell of its lower left corner, under one number, and the larger ones look where such corners
+can be.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import between_squared, edges, envelope, segment_hits_box, segment_hits_ring, vertex
+from tessera.functions.geometry import between_squared, edge_crossing, edges, envelope, inside, parts_envelope, ring_edges, segment_hits_box, segment_hits_ring, vertex
 
 CELL = 400.0
 EDGE = ("_ax", "_ay", "_bx", "_by")
@@ -27,11 +31,16 @@ def level_of(box: Corners, cell: float) -> Column:
     return F.when(widest <= 1, 0).otherwise(F.ceil(F.log2(widest)).cast("int"))
 
 
+def level_for(size: float, cell: float) -> int:
+    """The same for boxes of that size at most."""
+    return math.ceil(math.log2(size / cell)) if size > cell else 0
+
+
 def leveled(rows: DataFrame, box: Corners, cell: float, size: float | None, level: str) -> DataFrame:
     """With each box's grid. Boxes known to be no larger than ``size`` have one grid."""
     if size is None:
         return rows.withColumn(level, level_of(box, cell))
-    return rows.withColumn(level, F.lit(max(0, math.ceil(math.log2(size / cell)))))
+    return rows.withColumn(level, F.lit(level_for(size, cell)))
 
 
 def celled(rows: DataFrame, box: Corners, cell: float, level: str, other: Column) -> DataFrame:
@@ -49,8 +58,11 @@ def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell
     names. Boxes with a null corner meet nothing. ``size_a`` and ``size_b``: what no box of a
     side is wider or higher than, if that is known; else the side is read once more for the
     sizes that it has, within the same job."""
+    if size_a is not None and size_b is not None and how == "inner":
+        met = corner_join(left, right, a, b, size_a, size_b) if size_a >= size_b else corner_join(right, left, b, a, size_b, size_a)
+        return met.select(*left.columns, *right.columns)
     sides = [leveled(left, a, cell, size_a, "_la"), leveled(right, b, cell, size_b, "_lb")]
-    levels = [F.array(F.lit(max(0, math.ceil(math.log2(size / cell))))) if size is not None else rows.agg(F.collect_set(level)).scalar() for rows, size, level in zip(sides, (size_a, size_b), ("_la", "_lb"), strict=True)]
+    levels = [F.array(F.lit(level_for(size, cell))) if size is not None else rows.agg(F.collect_set(level)).scalar() for rows, size, level in zip(sides, (size_a, size_b), ("_la", "_lb"), strict=True)]
     one = celled(sides[0], a, cell, "_la", levels[1]).withColumnsRenamed({"_level": "_level_a", "_cx": "_cx_a", "_cy": "_cy_a"})
     two = celled(sides[1], b, cell, "_lb", levels[0])
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
@@ -60,9 +72,21 @@ def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell
     return met.select(*left.columns, *right.columns)
 
 
-def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, by: list[str], size: float | None = None) -> DataFrame:
-    """How many features each patch overlaps, 0 included. Patches are ``size`` wide and high."""
-    met = overlap_join(patches, features, a, b, size or CELL, size_a=size).groupBy(*by).agg(F.count("*").alias("n_boxes"))
+def corner_join(large: DataFrame, small: DataFrame, a: Corners, b: Corners, size_a: float, size_b: float) -> DataFrame:
+    """Pairs with common points, of boxes that are no larger than those sizes."""
+    width = float(max(size_a, size_b)) or 1.0
+    at = lambda c: F.floor(c / width)
+    key = lambda x, y: x * F.lit(1 << 32) + y
+    spread = large.withColumn("_cx", F.explode(F.sequence(at(a.x0 - size_b), at(a.x1)))).withColumn("_cy", F.explode(F.sequence(at(a.y0 - size_b), at(a.y1))))
+    spread = spread.withColumn("_cell", key(F.col("_cx"), F.col("_cy"))).drop("_cy")
+    whole = small.where(b.x0.isNotNull() & b.y0.isNotNull()).withColumn("_spot", key(at(b.x0), at(b.y0)))
+    return spread.join(whole, (F.col("_cell") == F.col("_spot")) & a.overlaps(b) & (F.col("_cx") == at(b.x0)))
+
+
+def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, by: list[str], size: float | None = None, size_b: float | None = None) -> DataFrame:
+    """How many features each patch overlaps, 0 included. Patches are ``size`` wide and high, and
+    features no more than ``size_b``, if known."""
+    met = overlap_join(patches, features, a, b, size or CELL, size_a=size, size_b=size_b).groupBy(*by).agg(F.count("*").alias("n_boxes"))
     return patches.select(*by).join(met, by, "left").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
 
 
@@ -106,6 +130,19 @@ def lines_in_polygons(polygons: DataFrame, lines: DataFrame, ring: str, geometry
     return met.where(segment_hits_ring(ax, ay, bx, by, F.col(ring))).drop(*EDGE, "_px0", "_py0", "_px1", "_py1")
 
 
+def points_in_parts(points: DataFrame, polygons: DataFrame, x: str, y: str, parts: str, by: list[str], cell: float = CELL, size: float | None = None) -> DataFrame:
+    """Distinct ``by`` (columns of both sides that tell points and polygons apart) of points in
+    the parts of a polygon, borders included. A pair that the envelopes leave open is a row for
+    each edge, summed where it is made. ``size``: of all polygons, if known."""
+    shaped = polygons.select(*(c for c in polygons.columns if c in by), ring_edges(F.col(parts)).alias("_edges"), *parts_envelope(F.col(parts)).columns("_px0", "_py0", "_px1", "_py1"))
+    spot = Corners(F.col(x), F.col(y), F.col(x), F.col(y))
+    own = points.select(*dict.fromkeys([*(c for c in points.columns if c in by), x, y]))
+    met = overlap_join(own, shaped, spot, Corners.named("_px0", "_py0", "_px1", "_py1"), cell, size_a=0, size_b=size)
+    single = met.select(*dict.fromkeys([*by, x, y]), F.explode("_edges").alias("_e")).where((F.greatest("_e.a.y", "_e.b.y") >= F.col(y)) & (F.least("_e.a.y", "_e.b.y") <= F.col(y)))
+    crossing = edge_crossing(F.col(x), F.col(y), *(F.col(f"_e.{p}.{c}") for p in "ab" for c in "xy"))
+    return single.groupBy(*dict.fromkeys([*by, x, y])).agg(F.sum(crossing).alias("_n")).where(inside(F.col("_n"))).select(*by).distinct()
+
+
 def edge_rows(lines: DataFrame, geometry: str, keep: list[str]) -> DataFrame:
     """The distinct edges of lines: ``keep`` and the coordinates EDGE."""
     single = lines.select(*keep, F.explode(edges(F.col(geometry))).alias("_e"))
@@ -126,24 +163,3 @@ def beyond_lines(points: DataFrame, lines: DataFrame, x: str, y: str, key: list[
     """Points farther than a distance from every line."""
     near = near_lines(points, lines, F.col(x), F.col(y), geometry, distance, max(CELL / 8, 2 * distance))
     return points.join(near.select(*key).distinct(), key, "left_anti")
-
-
-def nearest(points: DataFrame, places: DataFrame, x: str, y: str, px: str, py: str, key: list[str], place: str, cell: float) -> DataFrame:
-    """The nearest place of each point by squared distance, ties by name. Rings of cells are
-    searched until nothing nearer can lie outside, so each round has fewer points left."""
-    found, left, reach = None, points, cell
-    bounds = places.agg(F.min(px), F.min(py), F.max(px), F.max(py)).first()
-    outer = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-    if bounds[0] is None or outer[0] is None:
-        return points.select(*key).limit(0).withColumns({place: F.lit(None).cast("string"), "distance2": F.lit(0.0)})
-    span = max(bounds[2], outer[2]) - min(bounds[0], outer[0]) + max(bounds[3], outer[3]) - min(bounds[1], outer[1]) + cell
-    while True:
-        box = Corners(F.col(x) - reach, F.col(y) - reach, F.col(x) + reach, F.col(y) + reach)
-        spot = Corners(F.col(px), F.col(py), F.col(px), F.col(py))
-        d = (F.col(x) - F.col(px)) * (F.col(x) - F.col(px)) + (F.col(y) - F.col(py)) * (F.col(y) - F.col(py))
-        met = overlap_join(left, places, box, spot, cell=2 * reach).groupBy(*key).agg(F.min(F.struct(d.alias("d"), F.col(place).alias("p"))).alias("_best"))
-        sure = met.where((F.col("_best.d") <= reach * reach) | F.lit(reach > span)).select(*key, F.col("_best.p").alias(place), F.col("_best.d").alias("distance2"))
-        found = sure if found is None else found.unionByName(sure)
-        if reach > span:
-            return found
-        left, reach = left.join(sure.select(*key), key, "left_anti"), reach * 4

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import in_ring, polygon_hits_box
+from tessera.functions.geometry import in_parts, in_ring, parts_hit_box, polygon_hits_box
 
 
 def steps(extent: Column, size: float, stride: float) -> Column:
@@ -19,17 +20,23 @@ def steps(extent: Column, size: float, stride: float) -> Column:
 
 def grid(tiles: DataFrame, size: float, stride: float, polygon: str | None = None) -> DataFrame:
     """The patches of each tile (x0, y0, x1, y1): tile columns and patch_seq, i, j, px0, py0,
-    px1, py1. Row-major from the bottom. With ``polygon``, those that meet it."""
+    px1, py1. Row-major from the bottom. With ``polygon`` (a ring, or parts), those that meet it."""
     t = Corners.named()
     rows, cols = steps(t.height(), size, stride), steps(t.width(), size, stride)
     cells = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), cols - 1)))
     x, y = t.x0 + F.col("j") * stride, t.y0 + F.col("i") * stride
     out = cells.withColumns({"patch_seq": F.col("i") * cols + F.col("j"), "px0": x, "py0": y, "px1": x + size, "py1": y + size})
     if polygon:
-        out = out.where(polygon_hits_box(F.col(polygon), Corners.named("px0", "py0", "px1", "py1")))
+        hits = parts_hit_box if has_parts(tiles, polygon) else polygon_hits_box
+        out = out.where(hits(F.col(polygon), Corners.named("px0", "py0", "px1", "py1")))
     return out
 
 
+def has_parts(rows: DataFrame, polygon: str) -> bool:
+    """Whether a column holds polygons of parts rather than rings."""
+    return isinstance(rows.schema[polygon].dataType.elementType, ArrayType)
+
+
 def batches(patches: DataFrame, batch_size: int, by: list[str], order: str = "patch_seq") -> DataFrame:
     """batch_ix and place for consecutive patches of each tile. No patch is lost or padded."""
     n = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
@@ -68,7 +75,7 @@ def random_patches(tiles: DataFrame, size: float, count: int, seed: int, key: st
         placed = placed.withColumns({"px1": F.col("px0") + size, "py1": F.col("py0") + size, "_order": at("o")})
         x, y = Corners.named("px0", "py0", "px1", "py1").center()
         for polygon in polygons:
-            placed = placed.where(in_ring(x, y, F.col(polygon)))
+            placed = placed.where((in_parts if has_parts(tiles, polygon) else in_ring)(x, y, F.col(polygon)))
         found = placed if found is None else found.unionByName(placed)
         drawn += placed.limit(count).count()
         if drawn >= count or (not k and tiles.isEmpty()):
@@ -101,3 +108,11 @@ def until(batched: DataFrame, last_batch: int | None) -> DataFrame:
 def sub_batches(rows: DataFrame, parallel: int, by: list[str], order: list[str]) -> DataFrame:
     """sub_ix for so many consecutive rows of each group."""
     return rows.withColumn("sub_ix", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / parallel).cast("int"))
+
+
+def collated(batched: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """A row for each batch: how many samples it has, and for each column an array of theirs in
+    order of place. Padding (is_pad) is left out."""
+    own = batched.where(~F.col("is_pad")) if "is_pad" in batched.columns else batched
+    one = own.groupBy(*by, "batch_ix").agg(F.array_sort(F.collect_list(F.struct("place", *columns))).alias("_all"))  # a batch's size at most
+    return one.select(*by, "batch_ix", F.size("_all").cast("long").alias("n"), *(F.col(f"_all.{c}").alias(c) for c in columns))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 SIZE, STRIDE, EXTENT = 600, 400, 8600
+#: No box is wider (l_quantity) or higher (6 * l_linenumber).
+BOX_SIZE = 50
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +46,20 @@ def patches(spark: SparkSession) -> DataFrame:
     return grid(tile(spark), SIZE, STRIDE).select("patch_seq", "i", "j", "px0", "py0", "px1", "py1")
 
 
+def plots(spark: SparkSession, d: str) -> DataFrame:
+    """A tile for each part, of different sizes."""
+    return expr(
+        read(spark, d, "part"), "p_partkey", "cast(p_partkey % 50 * 1000 as double) x0", "cast(p_partkey % 37 * 1000 as double) y0",
+        "p_partkey % 50 * 1000 + p_size * 60 + 300D x1", "p_partkey % 37 * 1000 + p_size * 40 + 300D y1",
+    )
+
+
+def plot_patches(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.tiling import grid
+
+    return grid(plots(spark, d), SIZE, STRIDE).select("p_partkey", "patch_seq", "i", "j", "px0", "py0", "px1", "py1")
+
+
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     return expr(
         read(spark, d, "events"),
@@ -95,6 +111,10 @@ BOXES_REL = """boxes_rel AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumb
   l_quantity / 600::DOUBLE AS w, l_linenumber * 6 / 600::DOUBLE AS h FROM lineitem)"""
 PATCHES = """patches AS (SELECT (i * 21 + j)::INT AS patch_seq, i::INT AS i, j::INT AS j, (j * 400)::DOUBLE AS px0, (i * 400)::DOUBLE AS py0,
   (j * 400 + 600)::DOUBLE AS px1, (i * 400 + 600)::DOUBLE AS py1 FROM range(21) a(i), range(21) b(j))"""
+PLOTS = f"""plots AS (SELECT p_partkey, (p_partkey % 50 * 1000)::DOUBLE AS x0, (p_partkey % 37 * 1000)::DOUBLE AS y0, greatest(1, ceil((p_size * 60 + 300 - {SIZE}) / {STRIDE}::DOUBLE) + 1)::INT AS cols,
+  greatest(1, ceil((p_size * 40 + 300 - {SIZE}) / {STRIDE}::DOUBLE) + 1)::INT AS n FROM part),
+patches AS (SELECT p_partkey, (i * cols + j)::INT AS patch_seq, i::INT AS i, j::INT AS j, x0 + j * {STRIDE} AS px0, y0 + i * {STRIDE} AS py0, x0 + j * {STRIDE} + {SIZE} AS px1, y0 + i * {STRIDE} + {SIZE} AS py1
+  FROM plots, range(20) a(i), range(20) b(j) WHERE i < n AND j < cols)"""
 TILES = """tiles AS (SELECT event_type AS event, 'm' || (user_id % 7) AS mosaic, lpad((event_id % 500)::VARCHAR, 9, '0') AS img,
   CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'pre' ELSE 'post' END AS "when", value AS area, event_id, ts FROM events)"""
 DATES = """dates AS (SELECT DISTINCT event_type AS event, DATE '2024-01-10' + length(event_type)::INT AS event_date FROM events

@@ -98,10 +98,10 @@ def q_two_polygon_random(spark, d):
 @query(f"""WITH {fx.LINES}, {fx.EDGES}, {FOOTPRINTS}, one AS (SELECT DISTINCT ax, ay, bx, "by", o_orderkey FROM edges) SELECT DISTINCT o_orderkey, p_partkey FROM one JOIN footprints
  ON least(ax, bx) <= x + 150 AND greatest(ax, bx) >= x AND least(ay, "by") <= y + 150 AND greatest(ay, "by") >= y AND least(ax + ay, bx + "by") <= x + y + 150 AND greatest(ax + ay, bx + "by") >= x + y
  AND NOT (least((bx - ax) * (y - ay) - ("by" - ay) * (x - ax), (bx - ax) * (y - ay) - ("by" - ay) * (x + 150 - ax), (bx - ax) * (y + 150 - ay) - ("by" - ay) * (x - ax)) > 0)
- AND NOT (greatest((bx - ax) * (y - ay) - ("by" - ay) * (x - ax), (bx - ax) * (y - ay) - ("by" - ay) * (x + 150 - ax), (bx - ax) * (y + 150 - ay) - ("by" - ay) * (x - ax)) < 0) WHERE p_partkey <= 100""")
+ AND NOT (greatest((bx - ax) * (y - ay) - ("by" - ay) * (x - ax), (bx - ax) * (y - ay) - ("by" - ay) * (x + 150 - ax), (bx - ax) * (y + 150 - ay) - ("by" - ay) * (x - ax)) < 0)""")
 def q_polygon_hits_lines(spark, d):
-    """Lines that truly meet a tile's polygon; the tiles are the first hundred."""
-    tiles = footprints(spark, d).where("p_partkey <= 100").select("p_partkey", F.col("geometry").alias("ring"))
+    """Lines that truly meet a tile's polygon."""
+    tiles = footprints(spark, d).select("p_partkey", F.col("geometry").alias("ring"))
     lines = fx.lines(spark, d).select("o_orderkey", "geometry")
     return sj.lines_in_polygons(tiles, lines, "ring", "geometry", size=150).select("o_orderkey", "p_partkey").distinct()
 
@@ -128,7 +128,7 @@ def q_features_per_event(spark, d):
     """Buildings and roads in the boxes of each event's mosaics; one in two mosaics counts twice."""
     mosaics = fx.tiles(spark, d).select("event", "mosaic").distinct().withColumn("mx", (F.length("event") * 300 + F.right("mosaic", F.lit(1)).cast("int") * 900).cast("double"))
     area = Corners(F.col("mx"), F.lit(0.0), F.col("mx") + 1000, F.lit(1000.0))
-    met = sj.overlap_join(mosaics, fx.boxes(spark, d), area, box(), 1000, size_a=1000)
+    met = sj.overlap_join(mosaics, fx.boxes(spark, d), area, box(), 1000, size_a=1000, size_b=fx.BOX_SIZE)
     return met.groupBy("event").agg(F.count_if(F.col("class") == "building").alias("n_build"), F.count_if(F.col("class") == "road").alias("n_road"))
 
 
@@ -164,24 +164,34 @@ def q_bbox_across_zones(spark, d):
 # Batches
 
 
-@query(f"""WITH {fx.PATCHES}, n AS (SELECT patch_seq, (patch_seq // 16)::INT AS batch_ix, (patch_seq % 16)::INT AS place FROM patches)
- SELECT patch_seq, batch_ix, place, false AS is_pad FROM n UNION ALL SELECT -1, 27, k::INT, true FROM range(9, 16) t(k)""")
+@query(f"""WITH {fx.PLOTS}, n AS (SELECT p_partkey, patch_seq, (patch_seq // 4)::INT AS batch_ix, (patch_seq % 4)::INT AS place FROM patches), last AS (SELECT p_partkey, max(patch_seq) AS m FROM n GROUP BY 1)
+ SELECT p_partkey, patch_seq, batch_ix, place, false AS is_pad FROM n UNION ALL SELECT p_partkey, -1, (m // 4)::INT, k::INT, true FROM last, range(4) t(k) WHERE k > m % 4""")
 def q_padded_batches(spark, d):
-    one = fx.patches(spark).withColumn("tile", F.lit("t0"))
-    return tiling.padded(tiling.batches(one, 16, ["tile"]), 16, ["tile"]).select(F.coalesce("patch_seq", F.lit(-1)).alias("patch_seq"), "batch_ix", "place", "is_pad")
+    dealt = tiling.batches(fx.plot_patches(spark, d), 4, ["p_partkey"])
+    return tiling.padded(dealt, 4, ["p_partkey"]).select("p_partkey", F.coalesce("patch_seq", F.lit(-1)).alias("patch_seq"), "batch_ix", "place", "is_pad")
 
 
-@query(f"WITH {fx.PATCHES} SELECT patch_seq, (patch_seq // 4)::INT AS batch_ix FROM patches WHERE patch_seq // 4 <= 50")
+@query(f"WITH {fx.PLOTS} SELECT p_partkey, patch_seq, (patch_seq // 2)::INT AS batch_ix FROM patches WHERE patch_seq // 2 <= 3")
 def q_early_stop(spark, d):
-    one = fx.patches(spark).withColumn("tile", F.lit("t0"))
-    return tiling.until(tiling.batches(one, 4, ["tile"]), 50).select("patch_seq", "batch_ix")
+    return tiling.until(tiling.batches(fx.plot_patches(spark, d), 2, ["p_partkey"]), 3).select("p_partkey", "patch_seq", "batch_ix")
+
+
+@query(f"""WITH {fx.POLYGONS}, p AS (SELECT p_partkey, (i * cols + j)::INT AS patch_seq FROM (SELECT p_partkey, unnest(range(greatest(1, ceil((p_size + 3 - 15) / 10::DOUBLE) + 1)::INT)) AS i, greatest(1, ceil((p_size - 15) / 10::DOUBLE) + 1)::INT AS cols FROM polygons), range(10) r(j) WHERE j < cols),
+ n AS (SELECT p_partkey, patch_seq, row_number() OVER (PARTITION BY p_partkey ORDER BY patch_seq) - 1 AS k FROM p)
+ SELECT p_partkey, (k // 3)::INT AS batch_ix, count(*) AS n, string_agg(patch_seq::VARCHAR, ',' ORDER BY patch_seq) AS patches FROM n GROUP BY ALL""")
+def q_polygon_batches(spark, d):
+    """Patches that meet a polygon, in batches, each batch collated to one row."""
+    tiles = fx.polygons(spark, d).select("p_partkey", "geometry", *g.envelope(F.col("geometry")).columns())
+    dealt = tiling.batches(tiling.grid(tiles, 15, 10, "geometry"), 3, ["p_partkey"])
+    one = tiling.collated(dealt, ["p_partkey"], ["patch_seq"])
+    return one.select("p_partkey", "batch_ix", "n", F.array_join(F.transform("patch_seq", lambda x: x.cast("string")), ",").alias("patches"))
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES}, n AS (SELECT patch_seq, row_number() OVER (PARTITION BY patch_seq ORDER BY x0, y0, x1, y1, {K}) - 1 AS k FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1)
  SELECT patch_seq, (k // 50)::INT AS sub_ix, count(*) AS n_boxes FROM n GROUP BY ALL""")
 def q_sub_batches(spark, d):
     """Queries of 50 boxes at most for each patch."""
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE)
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE, size_b=fx.BOX_SIZE)
     return tiling.sub_batches(met, 50, ["patch_seq"], ["x0", "y0", "x1", "y1", *fx.KEY]).groupBy("patch_seq", "sub_ix").agg(F.count("*").alias("n_boxes"))
 
 
@@ -225,7 +235,7 @@ def q_model_input(spark, d):
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES} SELECT patch_seq, {K}, patch_seq * 0.5::DOUBLE + (x1 - x0) AS v FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 WHERE class = 'tree'""")
 def q_embed_decode(spark, d):
     """A patch is embedded once for all of its boxes, by stand-ins for the models."""
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d).where("class = 'tree'"), patch(), box(), fx.SIZE, size_a=fx.SIZE)
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d).where("class = 'tree'"), patch(), box(), fx.SIZE, size_a=fx.SIZE, size_b=fx.BOX_SIZE)
     keys = ["patch_seq", *fx.KEY]
     return infer.embed_once(met.select(*keys, "x0", "x1"), ["patch_seq"], infer.stub_embedder, f"patch_seq int, {', '.join(f'{k} {t}' for k, t in met.select(*fx.KEY).dtypes)}, v double")
 
@@ -282,9 +292,9 @@ def q_mosaic_items_file(spark, d):
     """Items of collections, one collection a file."""
     text = F.concat_ws(",", *((c).cast("string") for c in (F.col("p_partkey") % 50, F.col("p_partkey") % 37, F.col("p_partkey") % 50 + F.col("p_size"), F.col("p_partkey") % 37 + 1)))
     item = F.struct(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("quadkey"), text.alias("proj:bbox"), F.lit(32633).alias("proj:epsg"))
-    features = fx.read(spark, d, "part").groupBy((F.col("p_partkey") % 3).alias("_f")).agg(F.collect_list(F.struct(item.alias("properties"))).alias("features"))  # a collection is a document
+    features = fx.read(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("_f")).agg(F.collect_list(F.struct(item.alias("properties"))).alias("features"))  # a collection is a document
     at = writers.folder(spark, "items")
-    features.select(F.to_json(F.struct("features")).alias("value")).repartition(3).write.text(at)
+    features.select("_f", F.to_json(F.struct("features")).alias("value")).write.partitionBy("_f").text(at)
     return readers.mosaic_items(spark, at).select("quadkey", "x0", "y0", "x1", "y1", "srid")
 
 

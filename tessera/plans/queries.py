@@ -15,6 +15,7 @@ from tessera.functions import utm
 from tessera.functions.boxes import Corners, area_between, edge_ratio_over, rescaled
 from tessera.operators import catalog, raster, tiling
 from tessera.operators import spatial_join as sj
+from tessera.operators.nearest import nearest
 from tessera.plans import fixtures as fx
 from tessera.plans.segmentation import tile_masks
 
@@ -76,7 +77,7 @@ def q_box_area_px(spark, d):
  (x1 + 1 - px0) / 0.5 AS right_px, (py1 - (y0 - 1)) / 0.5 AS bottom_px
  FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1""")
 def q_geo_to_patch(spark, d):
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE)
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE, size_b=fx.BOX_SIZE)
     return met.select(*fx.KEY, "patch_seq", *box().in_patch(F.col("px0"), F.col("py1"), 0.5, 2).columns("left_px", "top_px", "right_px", "bottom_px"))
 
 
@@ -91,15 +92,14 @@ def q_pixel_of_point(spark, d):
 # Tiling
 
 
-@query(f"WITH {fx.PATCHES} SELECT patch_seq, i, j, px0, py0, px1, py1 FROM patches")
+@query(f"WITH {fx.PLOTS} SELECT p_partkey, patch_seq, i, j, px0, py0, px1, py1 FROM patches")
 def q_patches(spark, d):
-    return fx.patches(spark)
+    return fx.plot_patches(spark, d)
 
 
-@query(f"WITH {fx.PATCHES} SELECT patch_seq, (patch_seq // 16)::INT AS batch_ix, (patch_seq % 16)::INT AS place FROM patches")
+@query(f"WITH {fx.PLOTS} SELECT p_partkey, patch_seq, (patch_seq // 4)::INT AS batch_ix, (patch_seq % 4)::INT AS place FROM patches")
 def q_patch_batches(spark, d):
-    one = fx.patches(spark).withColumn("tile", F.lit("t0"))
-    return tiling.batches(one, 16, ["tile"]).select("patch_seq", "batch_ix", "place")
+    return tiling.batches(fx.plot_patches(spark, d), 4, ["p_partkey"]).select("p_partkey", "patch_seq", "batch_ix", "place")
 
 
 @query(f"""WITH {fx.POLYGONS} SELECT p_partkey, (i * cols + j)::INT AS patch_seq, x + j * 10 AS px0, y + i * 10 AS py0
@@ -159,12 +159,12 @@ def q_prepost_overlap(spark, d):
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES} SELECT patch_seq, {K}, class FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1""")
 def q_patch_feature_join(spark, d):
-    return sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE).select("patch_seq", *fx.KEY, "class")
+    return sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE, size_b=fx.BOX_SIZE).select("patch_seq", *fx.KEY, "class")
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES} SELECT patch_seq, count(x0) AS n_boxes FROM patches LEFT JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq""")
 def q_boxes_per_patch(spark, d):
-    return sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"], fx.SIZE)
+    return sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"], fx.SIZE, fx.BOX_SIZE)
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES}, n AS (SELECT patch_seq, count(*) AS n_boxes FROM patches JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq HAVING count(*) > 10)
@@ -172,14 +172,14 @@ def q_boxes_per_patch(spark, d):
 def q_patches_over_10(spark, d):
     from pyspark.sql import Window as W
 
-    n = sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"], fx.SIZE).where("n_boxes > 10")
+    n = sj.counts_of(fx.patches(spark), fx.boxes(spark, d), patch(), box(), ["patch_seq"], fx.SIZE, fx.BOX_SIZE).where("n_boxes > 10")
     return n.withColumn("k", F.row_number().over(W.partitionBy(F.lit("t0")).orderBy("patch_seq")))  # of the one tile
 
 
 @query(f"""WITH {fx.BOXES}, {fx.PATCHES}, n AS (SELECT patch_seq, count(*) FILTER (class = 'tree') AS t, count(*) FILTER (class = 'building') AS b FROM patches JOIN boxes ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 GROUP BY patch_seq)
  SELECT (patch_seq // 16)::INT AS batch_ix, max(t + b) AS max_detections FROM n GROUP BY 1""")
 def q_max_detections(spark, d):
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE)
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d), patch(), box(), fx.SIZE, size_a=fx.SIZE, size_b=fx.BOX_SIZE)
     n = met.groupBy("patch_seq").agg(F.count_if(F.col("class") == "tree").alias("t"), F.count_if(F.col("class") == "building").alias("b"))
     return n.groupBy(F.floor(F.col("patch_seq") / 16).cast("int").alias("batch_ix")).agg(F.max(F.col("t") + F.col("b")).alias("max_detections"))
 
@@ -188,10 +188,10 @@ HIT = """abs((ax + bx) / 2 - (qx + 20)) <= 20 + abs(bx - ax) / 2 AND abs((ay + "
  AND abs((bx - ax) / 2 * ((ay + "by") / 2 - (qy + 20)) - ("by" - ay) / 2 * ((ax + bx) / 2 - (qx + 20))) <= 20 * abs("by" - ay) / 2 + 20 * abs(bx - ax) / 2"""
 
 
-@query(f"""WITH {fx.LINES}, {fx.EDGES}, q AS (SELECT (r * 97 % 900)::DOUBLE AS qx, (r * 61 % 900)::DOUBLE AS qy, r::INT AS q FROM range(40) t(r))
+@query(f"""WITH {fx.LINES}, {fx.EDGES}, q AS (SELECT (s_suppkey * 97 % 900)::DOUBLE AS qx, (s_suppkey * 61 % 900)::DOUBLE AS qy, s_suppkey AS q FROM supplier)
  SELECT q, count(DISTINCT o_orderkey) AS n_lines FROM q JOIN edges ON {HIT} GROUP BY q""")
 def q_line_hits_box(spark, d):
-    boxes = spark.range(40).selectExpr("cast(id as int) q", "cast(id * 97 % 900 as double) qx", "cast(id * 61 % 900 as double) qy")
+    boxes = fx.read(spark, d, "supplier").selectExpr("s_suppkey q", "cast(s_suppkey * 97 % 900 as double) qx", "cast(s_suppkey * 61 % 900 as double) qy")
     asked = Corners(F.col("qx"), F.col("qy"), F.col("qx") + 40, F.col("qy") + 40)
     met = sj.lines_in_boxes(boxes, fx.lines(spark, d).select("o_orderkey", "geometry"), asked, "geometry", 40)
     return met.groupBy("q").agg(F.count_distinct("o_orderkey").alias("n_lines"))
@@ -203,16 +203,16 @@ def q_point_in_poly(spark, d):
     points = fx.read(spark, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 499 * 10 + 3 as double) px", "cast(o_custkey % 367 * 10 + 3 as double) py")
     polygons = fx.polygons(spark, d).select("p_partkey", "geometry", *g.envelope(F.col("geometry")).columns())
     spot = Corners(F.col("px"), F.col("py"), F.col("px"), F.col("py"))
-    met = sj.overlap_join(points, polygons, spot, box(), cell=100).where(g.in_ring(F.col("px"), F.col("py"), F.col("geometry")))
+    met = sj.overlap_join(points, polygons, spot, box(), size_a=0, size_b=53).where(g.in_ring(F.col("px"), F.col("py"), F.col("geometry")))
     return met.select("o_orderkey", "p_partkey").distinct()
 
 
-@query(f"""WITH {fx.LINES}, {fx.EDGES}, e AS (SELECT DISTINCT ax, ay, bx, "by" FROM edges), p AS (SELECT (r % 100 * 10 + 5)::DOUBLE AS x, (r // 100 * 10 + 7)::DOUBLE AS y, r::INT AS id FROM range(10000) t(r)),
+@query(f"""WITH {fx.LINES}, {fx.EDGES}, e AS (SELECT DISTINCT ax, ay, bx, "by" FROM edges), p AS (SELECT (p_partkey % 100 * 10 + 5)::DOUBLE AS x, (p_partkey // 100 * 10 + 7)::DOUBLE AS y, p_partkey AS id FROM part),
  t AS (SELECT id, x, y, ax, ay, bx - ax AS dx, "by" - ay AS dy, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * ("by" - ay)) / ((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)))) AS t
   FROM p JOIN e ON x >= least(ax, bx) - 1 AND x <= greatest(ax, bx) + 1 AND y >= least(ay, "by") - 1 AND y <= greatest(ay, "by") + 1)
  SELECT id, x, y FROM p WHERE id NOT IN (SELECT id FROM t WHERE (x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy) <= 1) AND x < 900 AND y < 900""")
 def q_bg_points(spark, d):
-    points = spark.range(10000).selectExpr("cast(id as int) id", "cast(id % 100 * 10 + 5 as double) x", "cast(id div 100 * 10 + 7 as double) y")
+    points = fx.read(spark, d, "part").selectExpr("p_partkey id", "cast(p_partkey % 100 * 10 + 5 as double) x", "cast(p_partkey div 100 * 10 + 7 as double) y")
     points = points.where((F.col("x") >= 0) & (F.col("x") < 900) & (F.col("y") >= 0) & (F.col("y") < 900))
     return sj.beyond_lines(points, fx.lines(spark, d), "x", "y", ["id"], "geometry", 1.0).select("id", "x", "y")
 
@@ -221,7 +221,7 @@ def q_bg_points(spark, d):
  SELECT c_custkey, min((lon - clon) * (lon - clon) + (lat - clat) * (lat - clat)) AS distance2, arg_min(city, ((lon - clon) * (lon - clon) + (lat - clat) * (lat - clat), city)) AS city FROM points, city GROUP BY c_custkey""")
 def q_nearest_city(spark, d):
     cities = fx.read(spark, d, "supplier").selectExpr("concat('c', s_suppkey) city", "cast(s_suppkey * 37 % 360 - 180 as double) clon", "cast(s_suppkey * 23 % 160 - 80 as double) clat")
-    return sj.nearest(fx.points(spark, d), cities, "lon", "lat", "clon", "clat", ["c_custkey"], "city", 8.0).select("c_custkey", "distance2", "city")
+    return nearest(fx.points(spark, d), cities, "lon", "lat", "clon", "clat", ["c_custkey"], "city").select("c_custkey", "distance2", "city")
 
 
 # Catalogue
@@ -492,7 +492,7 @@ def q_mask_opening(spark, d):
 @query()
 def q_prompts(spark, d):
     """Corner points of each patch's boxes, trees first, padded to the longest."""
-    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d).where("class <> 'road'"), patch(), box(), fx.SIZE, size_a=fx.SIZE)
+    met = sj.overlap_join(fx.patches(spark), fx.boxes(spark, d).where("class <> 'road'"), patch(), box(), fx.SIZE, size_a=fx.SIZE, size_b=fx.BOX_SIZE)
     point = F.array(F.array("x0", "y0"), F.array("x1", "y1"))
     grouped = met.groupBy("patch_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("class") == "building").alias("b"), *fx.KEY, point.alias("p")))), lambda s: s["p"]).alias("points"))
     most = grouped.agg(F.max(F.size("points")).alias("_most"))
@@ -502,6 +502,18 @@ def q_prompts(spark, d):
     return padded.select("patch_seq", F.concat("points", F.array_repeat(none, F.col("_pad"))).alias("points"), labels.alias("labels"))
 
 
+@query(f"""WITH {fx.BOXES}, {fx.PATCHES}, met AS (SELECT patch_seq, x0, y0, x1, y1, row_number() OVER (PARTITION BY patch_seq ORDER BY class = 'building', {K}, x0, y0, x1, y1) - 1 AS k FROM boxes JOIN patches ON x0 <= px1 AND px0 <= x1 AND y0 <= py1 AND py0 <= y1 WHERE class <> 'road'),
+ most AS (SELECT max(k) + 1 AS n FROM met)
+ SELECT p.patch_seq, r.k::INT AS k, coalesce(x0, -10) AS x0, coalesce(y0, -10) AS y0, coalesce(x1, -10) AS x1, coalesce(y1, -10) AS y1, CASE WHEN x0 IS NULL THEN 0 ELSE 2 END::INT AS label
+ FROM (SELECT DISTINCT patch_seq FROM met) p CROSS JOIN (SELECT unnest(range(n)) AS k FROM most) r LEFT JOIN met ON met.patch_seq = p.patch_seq AND met.k = r.k""")
+def q_prompt_rows(spark, d):
+    """The padded prompts, a row a box."""
+    label = F.get("labels", F.col("k"))[0].alias("label")
+    at = lambda i, j: F.get(F.get("_b", F.lit(i)), F.lit(j))
+    rows = q_prompts(spark, d).select("patch_seq", F.posexplode("points").alias("k", "_b"), "labels")
+    return rows.select("patch_seq", "k", at(0, 0).alias("x0"), at(0, 1).alias("y0"), at(1, 0).alias("x1"), at(1, 1).alias("y1"), label)
+
+
 # Ranks, buckets and sweeps
 
 
@@ -607,9 +619,9 @@ def q_kth_tile(spark, d):
     return fx.tiles(spark, d).select("event", F.col("img").alias("tile")).distinct().withColumn("k", k).where("k = 18")
 
 
-@query(f"""WITH {fx.BOXES}, {fx.PATCHES}, first AS (SELECT patch_seq, (px0 + px1) / 2 AS cx, (py0 + py1) / 2 AS cy FROM patches)
- SELECT patch_seq, cx, cy FROM first WHERE cx >= 1000 AND cx < 7000 AND cy >= 1000 AND cy < 5000""")
+@query(f"""WITH {fx.PLOTS}, first AS (SELECT p_partkey, patch_seq, (px0 + px1) / 2 AS cx, (py0 + py1) / 2 AS cy FROM patches)
+ SELECT p_partkey, patch_seq, cx, cy FROM first WHERE cx >= 1000 AND cx < 27000 AND cy >= 1000 AND cy < 25000""")
 def q_patches_by_center(spark, d):
     x, y = patch().center()
-    ring = Corners(F.lit(1000.0), F.lit(1000.0), F.lit(7000.0), F.lit(5000.0)).ring()
-    return fx.patches(spark).select("patch_seq", x.alias("cx"), y.alias("cy")).where(g.in_ring(F.col("cx"), F.col("cy"), ring))
+    ring = Corners(F.lit(1000.0), F.lit(1000.0), F.lit(27000.0), F.lit(25000.0)).ring()
+    return fx.plot_patches(spark, d).select("p_partkey", "patch_seq", x.alias("cx"), y.alias("cy")).where(g.in_ring(F.col("cx"), F.col("cy"), ring))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import line_from_json
+from tessera.functions.geometry import line_from_json, parts_from_json
 from tessera.operators.catalog import path_parts
 
 EVENT_DATES = "event string, aligned string, date string, month int, day int, year int, date2 string"
@@ -13,7 +13,7 @@ EVENT_REGIONS = "event_id string, state string, region string"
 REGION_COUNTRIES = "region_name string, countries string"
 ROAD_LINKS = "region string, link string"
 BUILDING_LINKS = "Location string, QuadKey string, Url string"
-FOOTPRINTS = "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties map<string,string>"
+FOOTPRINTS = "type string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
 MOSAIC_ITEM = "quadkey string, `proj:bbox` string, `proj:epsg` int, `tile:data_area` double, datetime string, catalog_id string, visual string"
 
 
@@ -47,12 +47,13 @@ def roads(spark: SparkSession, paths: list[str], with_country: bool = True) -> D
 
 def footprints(spark: SparkSession, links: DataFrame, quadkeys: DataFrame) -> DataFrame:
     """Buildings from the files that links name for some quadkeys, in one read. Without any
-    such file, an empty table."""
+    such file, an empty table. parts has all polygons and holes of a feature, geometry the first
+    outer ring."""
     urls = links.join(quadkeys, "QuadKey", "left_semi").select("Url").distinct()
     paths = [r.Url for r in urls.collect()]  # a path each, as the reader takes them
     raw = spark.read.schema(FOOTPRINTS).json(paths) if paths else spark.createDataFrame([], FOOTPRINTS)
-    ring = F.transform(F.get("geometry.coordinates", F.lit(0)), lambda c: F.struct(F.get(c, 0).alias("x"), F.get(c, 1).alias("y")))
-    return raw.select(ring.alias("geometry"), "properties")
+    shaped = raw.select(parts_from_json(F.col("geometry.type"), F.col("geometry.coordinates")).alias("parts"), "properties")
+    return shaped.select(F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("geometry"), "parts", "properties")
 
 
 def mosaic_items(spark: SparkSession, path: str) -> DataFrame:

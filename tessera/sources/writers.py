@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def mode(overwrite: bool) -> str:
@@ -25,12 +26,15 @@ def csv(rows: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def geojson_lines(features: DataFrame, path: str, key: str = "QuadKey", overwrite: bool = False) -> None:
-    """A JSON feature a line, in a folder for each key. geometry is a closed ring."""
-    coordinates = F.array(F.transform("geometry", lambda v: F.array(v["x"], v["y"])))
+    """A JSON feature a line, in a folder for each key. geometry is a closed ring, or parts of
+    such rings."""
+    ring = lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))
+    parts = isinstance(features.schema["geometry"].dataType.elementType, ArrayType)
+    coordinates = F.transform("geometry", lambda p: F.transform(p, ring)) if parts else F.array(ring("geometry"))
     others = [c for c in features.columns if c not in ("geometry", key)]
     feature = F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+        F.struct(F.lit("MultiPolygon" if parts else "Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
         F.struct(*others).alias("properties") if others else F.create_map().alias("properties"),
     )
     features.select(key, F.to_json(feature).alias("value")).write.mode(mode(overwrite)).partitionBy(key).text(path)

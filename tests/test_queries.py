@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.config import PRESETS
 from tessera.functions import geometry
 from tessera.operators import catalog, tiling
-from tessera.plans import fixtures, more_queries, queries, segmentation  # noqa: F401
+from tessera.plans import fixtures, more_queries, queries, raster_queries, segmentation  # noqa: F401
 
 from tests.compare import assert_same
 from tests.conftest import DATA
