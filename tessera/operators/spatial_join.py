@@ -73,14 +73,15 @@ def overlap_join(left: DataFrame, right: DataFrame, a: Corners, b: Corners, cell
 
 
 def corner_join(large: DataFrame, small: DataFrame, a: Corners, b: Corners, size_a: float, size_b: float) -> DataFrame:
-    """Pairs with common points, of boxes that are no larger than those sizes."""
-    width = float(max(size_a, size_b)) or 1.0
+    """Pairs with common points, of boxes that are no larger than those sizes. Cells of a third of
+    the larger size leave few pairs to compare."""
+    width = float(max(size_a / 3, size_b)) or 1.0
     at = lambda c: F.floor(c / width)
     key = lambda x, y: x * F.lit(1 << 32) + y
     spread = large.withColumn("_cx", F.explode(F.sequence(at(a.x0 - size_b), at(a.x1)))).withColumn("_cy", F.explode(F.sequence(at(a.y0 - size_b), at(a.y1))))
     spread = spread.withColumn("_cell", key(F.col("_cx"), F.col("_cy"))).drop("_cy")
     whole = small.where(b.x0.isNotNull() & b.y0.isNotNull()).withColumn("_spot", key(at(b.x0), at(b.y0)))
-    return spread.join(whole, (F.col("_cell") == F.col("_spot")) & a.overlaps(b) & (F.col("_cx") == at(b.x0)))
+    return spread.join(whole, (F.col("_cell") == F.col("_spot")) & a.overlaps(b) & (F.abs(F.col("_cx") - at(b.x0)) < 1))
 
 
 def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, by: list[str], size: float | None = None, size_b: float | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ def boxes_rel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile(spark: SparkSession) -> DataFrame:
-    return spark.range(1).selectExpr("'t0' tile", "0D x0", "0D y0", f"{EXTENT}D x1", f"{EXTENT}D y1")
+    return spark.range(0, 1, 1, 1).selectExpr("'t0' tile", "0D x0", "0D y0", f"{EXTENT}D x1", f"{EXTENT}D y1")
 
 
 def patches(spark: SparkSession) -> DataFrame:
