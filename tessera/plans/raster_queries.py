@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions import quadkey as qk
-from tessera.operators import offsets, raster, regions, resample, tiling
+from tessera.operators import offsets, raster, regions, resample, sampling, tiling
 from tessera.operators import spatial_join as sj
 from tessera.operators.nearest import nearest
 from tessera.plans import fixtures as fx
 from tessera.plans.queries import box, canvas, drawn, patch, query
-from tessera.sources import rasters, readers, writers
+from tessera.sources import rasters, readers, shapefiles, writers
 from tessera.sources.writers import folder
 
 # Connected regions
@@ -303,3 +303,37 @@ def q_offset_curves(spark, d):
     made = offsets.offset_lines(fx.lines(spark, d).select("o_orderkey", "geometry"), "geometry", [5.0, -5.0])
     end = lambda i, c: F.round(F.element_at("geometry", i)[c], 6)
     return made.select("o_orderkey", "distance", F.size("geometry").alias("n_vertices"), F.round(g.length(F.col("geometry")), 6).alias("length"), end(1, "x").alias("x0"), end(1, "y").alias("y0"), end(-1, "x").alias("x1"), end(-1, "y").alias("y1"))
+
+
+# Shapefiles
+
+
+@query(f"""WITH {SHAPES} SELECT p_partkey, p_name, p_retailprice AS price, p_size > 25 AS large, 2::INT AS n_parts, 3::INT AS n_rings, s * s - 16 + 450 AS area FROM shapes JOIN part USING (p_partkey)""")
+def q_shapefile(spark, d):
+    """Polygons and attributes written as shapefiles and read back."""
+    at = folder(spark, "shapes")
+    own = fx.read(spark, d, "part").selectExpr("p_partkey", "p_name", "p_retailprice price", "p_size > 25 large")
+    shapefiles.write(shapes(spark, d).join(own, "p_partkey"), at)
+    area, sizes = g.parts_area(F.col("parts")), (F.size("parts"), F.size(F.flatten("parts")))
+    return shapefiles.shapes(spark, at).select("p_partkey", "p_name", "price", "large", sizes[0].alias("n_parts"), sizes[1].alias("n_rings"), area.alias("area"))
+
+
+# Exact samples
+
+DRAWS, DRAWN_SIZE = 500, 5
+
+
+def shared_sql(seed: str, i: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {i}), 1, 13))::BIGINT::DOUBLE / {1 << 52}"
+
+
+@query(f"""WITH {fx.POLYGONS}, rooms AS (SELECT p_partkey, x + CASE WHEN p_size > 5 THEN 2.5 ELSE 0 END AS l, x + p_size - CASE WHEN p_size > 5 THEN 2.5 ELSE 0 END AS r,
+  y + CASE WHEN p_size + 3 > 5 THEN 2.5 ELSE 0 END AS b, y + p_size + 3 - CASE WHEN p_size + 3 > 5 THEN 2.5 ELSE 0 END AS t FROM polygons),
+ weighed AS (SELECT *, floor((r - l) * (t - b) / (SELECT sum(((r - l) * (t - b))::DECIMAL(38, 12))::DOUBLE FROM rooms) * {1 << 52}::DOUBLE)::BIGINT AS w FROM rooms),
+ lined AS (SELECT *, (sum(w) OVER (ORDER BY ('0x' || substr(md5(p_partkey || '|0'), 1, 2))::INT, p_partkey))::BIGINT AS e, (sum(w) OVER ())::BIGINT AS total FROM weighed WHERE w > 0),
+ drawn AS (SELECT i, floor({shared_sql("3", "i")} * (SELECT max(total) FROM lined))::BIGINT AS d FROM range({DRAWS}) t(i))
+ SELECT p_partkey, l + (r - l) * {shared_sql("3u", "i")} - 2.5 AS px0, b + (t - b) * {shared_sql("3v", "i")} - 2.5 AS py0 FROM drawn JOIN lined ON e - w <= d AND d < e""")
+def q_exact_patches(spark, d):
+    """As many patches as wanted, with their centres spread evenly over polygons, in one join."""
+    tiles = fx.polygons(spark, d).select("p_partkey", "geometry", *g.envelope(F.col("geometry")).columns())
+    return sampling.patches_in(tiles, DRAWN_SIZE, DRAWS, 3, "p_partkey", ("geometry",)).select("p_partkey", "px0", "py0")

@@ -8,8 +8,6 @@ opens no block, and conditions on path, top and left leave out files and blocks.
 
 from __future__ import annotations
 
-import fnmatch
-import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -18,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from tessera.functions.boxes import Corners
 from tessera.operators.spatial_join import overlap_join
 from tessera.sources import geotiff
+from tessera.sources.staging import StagedWriter, Written, listed, opened
 
 FILES = "path string, height int, width int, bands int, dtype string, block_height int, block_width int, n_blocks int, transform array<double>, epsg int, nodata double"
 BLOCKS = "path string, band int, bands int, top int, left int, height int, width int, dtype string, pixels binary"
@@ -35,12 +34,6 @@ KEPT = 64 << 20
 TILE = 256
 
 
-def opened(path: str) -> tuple[object, str]:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def reader(path: str) -> geotiff.Reader:
     """Reads ranges of a file in whatever store its address names."""
     files, at = opened(path)
@@ -61,7 +54,7 @@ TESTS: dict[type, Callable] = {EqualTo: lambda a, b: a == b, In: lambda a, b: a
 class RasterReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.columns, self.root = schema.names, options["path"]
-        self.pattern, self.files_only = options.get("pattern", "*.tif"), options.get("rows", "blocks") == "files"
+        self.ending, self.files_only = options.get("ending", ".tif"), options.get("rows", "blocks") == "files"
         self.size, self.tests = int(options.get("part_bytes", PART)), []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -76,17 +69,9 @@ class RasterReader(DataSourceReader):
         return all(test(value, v) for n, test, v in self.tests if n == name)
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        files, at = opened(self.root)
-        scheme = self.root[: self.root.index(at)] if at in self.root else ""
-        found = [files.get_file_info(at)]
-        if found[0].type == fs.FileType.Directory:
-            found = [i for i in files.get_file_info(fs.FileSelector(at, recursive=True)) if i.is_file and fnmatch.fnmatch(i.base_name, self.pattern) and "/." not in i.path[len(at) :]]
-        if found and found[0].type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.root)
+        _, scheme, found = listed(self.root, self.ending)
         out, some, size = [], [], 0
-        for info in sorted(found, key=lambda i: i.path):
+        for info in found:
             path, own = scheme + info.path, 0 if self.files_only or "pixels" not in self.columns else info.size
             if not self.passes("path", path):
                 continue
@@ -133,60 +118,32 @@ def file_row(path: str, layout: geotiff.Layout) -> dict:
     return own | {"path": path, "dtype": layout.dtype.lstrip("<>"), "n_blocks": len(layout.offsets)}
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]) -> None:
-        self.files = files
-
-
-class RasterWriter(DataSourceWriter):
-    """Tasks write files beside their place; they are moved there when all tasks are done."""
-
-    def __init__(self, root: str, overwrite: bool) -> None:
-        self.root, self.overwrite, self.staging = root.rstrip("/"), overwrite, f".staging-{uuid.uuid4().hex}"
+class RasterWriter(StagedWriter):
+    """Rows of one file have to follow each other."""
 
     def write(self, iterator: Iterator) -> Written:
-        files, at = opened(self.root)
-        stage, done = f"{at}/{self.staging}/{uuid.uuid4().hex}", []
-        name, head, blocks = None, None, {}
+        files, at, stage = self.stage()
+        done: list[tuple[str, str]] = []
+        head, blocks = None, {}
 
         def close() -> None:
-            if name is None:
+            if head is None:
                 return
             to = f"{stage}/{len(done)}.tif"
-            files.create_dir(to.rpartition("/")[0], recursive=True)
             with files.open_output_stream(to) as out:
                 for part in geotiff.file_of(head.height, head.width, TILE, blocks, head.transform, head.epsg):
                     out.write(part)
-            done.append((to, f"{at}/{name}"))
+            done.append((to, f"{at}/{head.file}"))
 
         for row in iterator:
-            if row.file != name:
+            if head is None or row.file != head.file:
                 close()
-                name, head, blocks = row.file, row, {}
+                head, blocks = row, {}
             if row.number is not None:
                 blocks[row.number] = bytes(row.pixels)
         close()
         return Written(done)
 
-    def commit(self, messages: list) -> None:
-        from pyarrow import fs
-
-        files, at = opened(self.root)
-        moves = [m for message in messages if message for m in message.files]
-        exist = [i.path for i in files.get_file_info([to for _, to in moves]) if i.type != fs.FileType.NotFound]
-        if exist and not self.overwrite:
-            self.abort(messages)
-            raise FileExistsError(f"{len(exist)} files exist, such as {exist[0]}")
-        for start, to in moves:
-            files.create_dir(to.rpartition("/")[0], recursive=True)
-            files.move(start, to)
-        self.abort(messages)
-
-    def abort(self, messages: list) -> None:
-        files, at = opened(self.root)
-        if files.get_file_info(f"{at}/{self.staging}").type.name == "Directory":
-            files.delete_dir(f"{at}/{self.staging}")
-
 
 class RasterSource(DataSource):
     @classmethod
