@@ -60,6 +60,11 @@ def edge_crossing(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by:
     return F.when(on, F.lit(1 << 40).cast("long")).when(right, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def ray_crossing(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """1 if a ray from a point to the right crosses an edge, else 0."""
+    return F.when(((ay > y) != (by > y)) & (x < ax + F.try_divide((y - ay) * (bx - ax), by - ay)), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def inside(crossings: Column) -> Column:
     """Whether the sum of edge_crossing over all rings is of a point inside or on the border."""
     return (crossings >= 1 << 40) | (crossings % 2 == 1)
@@ -164,25 +169,19 @@ def distance_squared(x: Column, y: Column, g: Column) -> Column:
     return F.array_min(F.transform(edges(g), lambda e: segment_distance_squared(x, y, e)))
 
 
-def point_at(g: Column, d: Column) -> Column:
-    """The point of a line at distance d from its start."""
-    start = F.struct(d.cast("double").alias("left"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
-
-    def step(acc: Column, e: Column) -> Column:
-        n = F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
-        t = F.coalesce(F.try_divide(acc["left"], n), F.lit(0.0))
-        here = vertex(e["a"]["x"] + t * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + t * (e["b"]["y"] - e["a"]["y"]))
-        found = acc["at"].isNull() & (acc["left"] <= n)
-        return F.struct((acc["left"] - n).alias("left"), F.when(found, here).otherwise(acc["at"]).alias("at"))
-
-    return F.aggregate(edges(g), start, step)["at"]
-
-
 def points_along(g: Column, every: float) -> Column:
-    """Points from the start on, ``every`` apart; the end is not one of them."""
-    n = F.greatest(F.lit(0), F.ceil(length(g) / every).cast("int"))
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: point_at(g, i * F.lit(float(every))))
+    """Points from the start on, ``every`` apart; the end is not one of them. Each edge has the
+    points that fall on it, from where it starts along the line."""
+    size = lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
+    starts = F.aggregate(edges(g), F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + size(e))))
+
+    def on(e: Column, i: Column) -> Column:
+        first, last = (F.ceil(F.get(starts, i + k) / every).cast("int") for k in (0, 1))
+        t = lambda k: (k * F.lit(float(every)) - F.get(starts, i)) / size(e)
+        at = lambda k: vertex(e["a"]["x"] + t(k) * (e["b"]["x"] - e["a"]["x"]), e["a"]["y"] + t(k) * (e["b"]["y"] - e["a"]["y"]))
+        return F.when(last > first, F.transform(F.sequence(first, last - 1), at)).otherwise(F.array().cast(VERTICES))
+
+    return F.flatten(F.transform(edges(g), on))
 
 
 def offset(g: Column, d: float) -> Column:

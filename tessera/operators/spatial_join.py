@@ -14,15 +14,17 @@ can be.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import between_squared, edge_crossing, edges, envelope, inside, parts_envelope, ring_edges, segment_hits_box, segment_hits_ring, vertex
+from tessera.functions.geometry import between_squared, edge_crossing, edges, envelope, inside, parts_envelope, ray_crossing, ring_edges, segment_hits_box, segment_hits_ring, vertex
 
 CELL = 400.0
 EDGE = ("_ax", "_ay", "_bx", "_by")
+OUTER = ("_px0", "_py0", "_px1", "_py1")
 
 
 def level_of(box: Corners, cell: float) -> Column:
@@ -133,15 +135,30 @@ def lines_in_polygons(polygons: DataFrame, lines: DataFrame, ring: str, geometry
 
 def points_in_parts(points: DataFrame, polygons: DataFrame, x: str, y: str, parts: str, by: list[str], cell: float = CELL, size: float | None = None) -> DataFrame:
     """Distinct ``by`` (columns of both sides that tell points and polygons apart) of points in
-    the parts of a polygon, borders included. A pair that the envelopes leave open is a row for
-    each edge, summed where it is made. ``size``: of all polygons, if known."""
-    shaped = polygons.select(*(c for c in polygons.columns if c in by), ring_edges(F.col(parts)).alias("_edges"), *parts_envelope(F.col(parts)).columns("_px0", "_py0", "_px1", "_py1"))
+    the parts of a polygon, borders included. ``size``: of all polygons, if known."""
+    outline = polygons.select(*(c for c in polygons.columns if c in by), ring_edges(F.col(parts)).alias("_edges"), *parts_envelope(F.col(parts)).columns(*OUTER))
+    met = edges_beside(points, outline, x, y, by, cell, size, edge_crossing)
+    return met.where(inside(F.col("_n"))).select(*by).distinct()
+
+
+def points_in_rings(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, by: list[str], cell: float = CELL, size: float | None = None) -> DataFrame:
+    """The same for polygons of one ring, with borders as in ``in_ring``."""
+    outline = polygons.select(*(c for c in polygons.columns if c in by), edges(F.col(ring)).alias("_edges"), *envelope(F.col(ring)).columns(*OUTER))
+    met = edges_beside(points, outline, x, y, by, cell, size, ray_crossing)
+    return met.where("_n % 2 = 1").select(*by).distinct()
+
+
+def edges_beside(points: DataFrame, outline: DataFrame, x: str, y: str, by: list[str], cell: float, size: float | None, crossing: Callable[..., Column]) -> DataFrame:
+    """For each point and polygon (its _edges and envelope) that may have it, as _n, what the
+    polygon's edges at the point's height say of it. A pair is a row for each such edge, summed
+    where it is made."""
     spot = Corners(F.col(x), F.col(y), F.col(x), F.col(y))
-    own = points.select(*dict.fromkeys([*(c for c in points.columns if c in by), x, y]))
-    met = overlap_join(own, shaped, spot, Corners.named("_px0", "_py0", "_px1", "_py1"), cell, size_a=0, size_b=size)
-    single = met.select(*dict.fromkeys([*by, x, y]), F.explode("_edges").alias("_e")).where((F.greatest("_e.a.y", "_e.b.y") >= F.col(y)) & (F.least("_e.a.y", "_e.b.y") <= F.col(y)))
-    crossing = edge_crossing(F.col(x), F.col(y), *(F.col(f"_e.{p}.{c}") for p in "ab" for c in "xy"))
-    return single.groupBy(*dict.fromkeys([*by, x, y])).agg(F.sum(crossing).alias("_n")).where(inside(F.col("_n"))).select(*by).distinct()
+    keys = list(dict.fromkeys([*by, x, y]))
+    own = points.select(*(c for c in points.columns if c in keys))
+    met = overlap_join(own, outline, spot, Corners.named(*OUTER), cell, size_a=0, size_b=size)
+    single = met.select(*keys, F.explode("_edges").alias("_e")).where((F.greatest("_e.a.y", "_e.b.y") >= F.col(y)) & (F.least("_e.a.y", "_e.b.y") <= F.col(y)))
+    said = crossing(F.col(x), F.col(y), *(F.col(f"_e.{p}.{c}") for p in "ab" for c in "xy"))
+    return single.groupBy(*keys).agg(F.sum(said).alias("_n"))
 
 
 def edge_rows(lines: DataFrame, geometry: str, keep: list[str]) -> DataFrame:

@@ -46,6 +46,23 @@ def patches(spark: SparkSession) -> DataFrame:
     return grid(tile(spark), SIZE, STRIDE).select("patch_seq", "i", "j", "px0", "py0", "px1", "py1")
 
 
+def marks(paths: DataFrame, root: str) -> None:
+    """Makes a file of one byte for each path below a folder, as a mark of what exists (Spark's
+    readers pass over empty files)."""
+    def run(frames):
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            for path in frame["path"]:
+                files.create_dir(f"{at}/{path.rpartition('/')[0]}", recursive=True)
+                with files.open_output_stream(f"{at}/{path}") as out:
+                    out.write(b"\0")
+            yield frame[:0]
+
+    paths.select("path").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def plots(spark: SparkSession, d: str) -> DataFrame:
     """A tile for each part, of different sizes."""
     return expr(

@@ -313,5 +313,5 @@ def q_listing(spark, d):
     """Files below a folder and the columns of their paths."""
     at = writers.folder(spark, "tree")
     rows = fx.read(spark, d, "region").selectExpr("r_name event", "'pre' `when`", "concat('m', r_regionkey) mosaic", "concat('t', r_regionkey) tile")
-    writers.marks(rows.select(F.concat_ws("/", "event", "when", "mosaic", F.concat("tile", F.lit(".tif"))).alias("path")), at)
+    fx.marks(rows.select(F.concat_ws("/", "event", "when", "mosaic", F.concat("tile", F.lit(".tif"))).alias("path")), at)
     return readers.tiles(spark, at).drop("path")

@@ -201,10 +201,7 @@ def q_line_hits_box(spark, d):
  SELECT DISTINCT o_orderkey, p_partkey FROM p JOIN polygons ON px >= x AND px < x + p_size AND py >= y AND py < y + p_size + 3""")
 def q_point_in_poly(spark, d):
     points = fx.read(spark, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 499 * 10 + 3 as double) px", "cast(o_custkey % 367 * 10 + 3 as double) py")
-    polygons = fx.polygons(spark, d).select("p_partkey", "geometry", *g.envelope(F.col("geometry")).columns())
-    spot = Corners(F.col("px"), F.col("py"), F.col("px"), F.col("py"))
-    met = sj.overlap_join(points, polygons, spot, box(), size_a=0, size_b=53).where(g.in_ring(F.col("px"), F.col("py"), F.col("geometry")))
-    return met.select("o_orderkey", "p_partkey").distinct()
+    return sj.points_in_rings(points, fx.polygons(spark, d), "px", "py", "geometry", ["o_orderkey", "p_partkey"], size=53)
 
 
 @query(f"""WITH {fx.LINES}, {fx.EDGES}, e AS (SELECT DISTINCT ax, ay, bx, "by" FROM edges), p AS (SELECT (p_partkey % 100 * 10 + 5)::DOUBLE AS x, (p_partkey // 100 * 10 + 7)::DOUBLE AS y, p_partkey AS id FROM part),

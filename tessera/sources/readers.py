@@ -65,10 +65,14 @@ def mosaic_items(spark: SparkSession, path: str) -> DataFrame:
     return items.withColumns({n: F.get(box, i) for i, n in enumerate(("x0", "y0", "x1", "y1"))}).withColumnRenamed("proj:epsg", "srid")
 
 
+def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files below a folder; content is read if it is asked for."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:
     """Files below a folder as a table; their content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length", "modificationTime")
+    return files(spark, root, pattern).select("path", "length", "modificationTime")
 
 
 def tiles(spark: SparkSession, root: str) -> DataFrame:
@@ -99,6 +103,24 @@ def windows(tiles_: DataFrame, patches: DataFrame, decode, schema: str) -> DataF
 
 
 def rasters(spark: SparkSession, root: str, pattern: str = "*.tif") -> DataFrame:
-    """Raster files with their content, to go through ``windows``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "content", *path_parts(F.col("path")))
+    """Image files of any kind with their content, to go through ``windows`` (tiles that can be
+    read by ranges go through ``sources.rasters``)."""
+    return files(spark, root, pattern).select("path", "content", *path_parts(F.col("path")))
+
+
+def images(spark: SparkSession, root: str, top: int, left: int, height: int, width: int) -> DataFrame:
+    """Plain images (PNG, JPEG) below a folder, cut to a window: path, the height and width of what
+    is left of it, and as pixels the bytes of red, green and blue, pixel by pixel. Images without
+    three or four channels, and those that the window misses, are left out."""
+    found = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root).select("image.*")
+    own = found.where(f"nChannels >= 3 and height > {top} and width > {left}")
+
+    def run(frames):
+        import numpy as np
+
+        for frame in frames:
+            whole = [np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels) for r in frame.itertuples()]
+            cut = [x[top : top + height, left : left + width, 2::-1] for x in whole]  # stored as blue, green, red
+            yield frame[["origin"]].assign(height=[x.shape[0] for x in cut], width=[x.shape[1] for x in cut], pixels=[x.tobytes() for x in cut])
+
+    return own.mapInPandas(run, "origin string, height int, width int, pixels binary").withColumnRenamed("origin", "path")

@@ -102,3 +102,24 @@ def test_parts_from_json(spark):
     texts = [("Polygon", "[[[0,0],[1,0],[0,1],[0,0]]]"), ("MultiPolygon", "[[[[0,0],[1,0],[0,1],[0,0]],[[0,0],[0.1,0],[0,0.1],[0,0]]],[[[5,5],[6,5],[5,6],[5,5]]]]"), ("Point", "[1,2]"), ("Polygon", "broken"), (None, None)]
     rows = spark.createDataFrame(texts, "kind string, text string").select(g.parts_from_json(F.col("kind"), F.col("text")).alias("p")).collect()
     assert [[len(p) for p in r.p] for r in rows] == [[1], [2, 1], [], [], []]
+
+
+def test_plain_images_are_cut(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tessera.sources import readers
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def png(h, w, pixel):
+        lines = b"".join(b"\0" + b"".join(bytes(pixel(y, x)) for x in range(w)) for y in range(h))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.png").write_bytes(png(5, 7, lambda y, x: (y, x, 9)))
+    (tmp_path / "two.png").write_bytes(png(2, 2, lambda y, x: (1, 2, 3)))
+    (tmp_path / "no.png").write_bytes(b"no image")
+    rows = readers.images(spark, str(tmp_path), 3, 2, 600, 4).collect()
+    assert [(r.path.rpartition("/")[2], r.height, r.width, list(r.pixels)) for r in rows] == [("one.png", 2, 4, [v for y in (3, 4) for x in range(2, 6) for v in (y, x, 9)])]
