@@ -14,7 +14,7 @@ from tessera.operators import spatial_join as sj
 from tessera.operators.nearest import nearest
 from tessera.plans import fixtures as fx
 from tessera.plans.queries import box, canvas, drawn, patch, query
-from tessera.sources import rasters, readers, shapefiles, writers
+from tessera.sources import arrays, rasters, readers, shapefiles, writers
 from tessera.sources.writers import folder
 
 # Connected regions
@@ -337,3 +337,19 @@ def q_exact_patches(spark, d):
     """As many patches as wanted, with their centres spread evenly over polygons, in one join."""
     tiles = fx.polygons(spark, d).select("p_partkey", "geometry", *g.envelope(F.col("geometry")).columns())
     return sampling.patches_in(tiles, DRAWN_SIZE, DRAWS, 3, "p_partkey", ("geometry",)).select("p_partkey", "px0", "py0")
+
+
+# Array files
+
+
+@query("SELECT vec_id, label, 8::INT AS n_rows, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 6) AS total, round(embedding[10]::DOUBLE, 6) AS v9 FROM embeddings")
+def q_arrays_file(spark, d):
+    """Vectors written as array files of 8 x 8 numbers and read back."""
+    at = folder(spark, "arrays")
+    named = F.concat(F.lit("l"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".npy"))
+    own = fx.read(spark, d, "embeddings").select(named.alias("path"), F.lit("<f4").alias("dtype"), F.array(F.lit(8), F.lit(8)).alias("shape"), "embedding")
+    arrays.write(arrays.packed(own, "embedding", "<f4"), at)
+    back = arrays.unpacked(arrays.arrays(spark, at), ["path", "shape"])
+    part = lambda i: F.regexp_extract("path", r"/l(\d+)/(\d+)\.npy$", i)
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return back.select(part(2).cast("long").alias("vec_id"), part(1).cast("int").alias("label"), F.get("shape", F.lit(0)).alias("n_rows"), F.round(total, 6).alias("total"), F.round(F.get("values", F.lit(9)), 6).alias("v9"))
