@@ -170,7 +170,8 @@ def files_of(rows: DataFrame, files: DataFrame, column: str, ending: str) -> Dat
 
 
 def not_empty(rows: DataFrame, what: str) -> DataFrame:
-    """The rows; an error if there are none."""
-    if rows.isEmpty():
-        raise LookupError(f"there are no {what}")
-    return rows
+    """The rows; when they are read and there are none, an error."""
+    n = rows.limit(1).agg(F.count("*").alias("n")).scalar()
+    none = F.raise_error(F.lit(f"there are no {what}")).cast("boolean")
+    guard = rows.sparkSession.range(0, 1, 1, 1).where(F.when(n == 0, none).otherwise(F.lit(False)))
+    return rows.unionByName(guard.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)))

@@ -52,7 +52,8 @@ def sides(spark: SparkSession, d: str) -> DataFrame:
     a, b = (Corners(F.col(f"{p}_x"), F.col(f"{p}_y"), F.col(f"{p}_x") + 150, F.col(f"{p}_y") + 150) for p in "ab")
     met = sj.overlap_join_in_time(side("pre", "a"), side("post", "b"), a, b, ("a_mint", "a_maxt"), ("b_mint", "b_maxt"), cell=200, size=150).where("a_event = b_event")
     ring = lambda p: g.ring([(F.col(f"{p}_x"), F.col(f"{p}_y")), (F.col(f"{p}_x") + 150, F.col(f"{p}_y")), (F.col(f"{p}_x"), F.col(f"{p}_y") + 150)])
-    return met.select(F.col("a_event").alias("event"), *a.common(b).columns(), "mint", "maxt", ring("a").alias("pre"), ring("b").alias("post"), "a_x", "a_y", "b_x", "b_y").distinct()
+    own = met.select(F.col("a_event").alias("event"), *a.common(b).columns(), "mint", "maxt", ring("a").alias("pre"), ring("b").alias("post"), "a_x", "a_y", "b_x", "b_y").distinct()
+    return catalog.not_empty(own, "overlaps of tiles before and after an event")
 
 
 SIDES = """placed AS (SELECT DISTINCT event, "when", (event_id % 40 * 100)::DOUBLE AS x, (event_id % 23 * 100)::DOUBLE AS y, (event_id % 30)::DOUBLE AS mint, (event_id % 30 + 12)::DOUBLE AS maxt FROM tiles),

@@ -123,3 +123,13 @@ def test_plain_images_are_cut(spark, tmp_path):
     (tmp_path / "no.png").write_bytes(b"no image")
     rows = readers.images(spark, str(tmp_path), 3, 2, 600, 4).collect()
     assert [(r.path.rpartition("/")[2], r.height, r.width, list(r.pixels)) for r in rows] == [("one.png", 2, 4, [v for y in (3, 4) for x in range(2, 6) for v in (y, x, 9)])]
+
+
+def test_an_empty_overlap_is_an_error_when_it_is_read(spark):
+    from tessera.operators import catalog
+
+    rows = spark.range(3).withColumn("v", F.col("id") * 2)
+    assert sorted(tuple(r) for r in catalog.not_empty(rows, "rows").collect()) == [(0, 0), (1, 2), (2, 4)]
+    nothing = catalog.not_empty(rows.where("id > 7"), "large rows")
+    with pytest.raises(Exception, match="there are no large rows"):
+        nothing.collect()
