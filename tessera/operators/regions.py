@@ -156,7 +156,7 @@ def regions(pixels: DataFrame, by: list[str], frame: DataFrame | None = None, bl
         sized = sized.unionByName(whole.withColumn("row", starts("height")).withColumn("col", starts("width")))
     dealt = sized.withColumns({"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block)})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*by).schema)
-    runs = stored(dealt.select(*by, "_br", "_bc", "row", "col", "height", "width").groupBy(*by, "_br", "_bc").applyInArrow(block_runs(len(by), block, frame is not None), f"{kinds}, row long, start long, end long, region long"), "runs")
+    runs = stored(dealt.select(*by, "_br", "_bc", "row", "col", "height", "width").distinct().groupBy(*by, "_br", "_bc").applyInArrow(block_runs(len(by), block, frame is not None), f"{kinds}, row long, start long, end long, region long"), "runs")
     named = {c: f"_by{i}" for i, c in enumerate(by)}  # nulls in them are values here
     keyed = runs.select(*(F.to_json(F.struct(F.col(c).alias("v"))).alias(n) for c, n in named.items()), "row", "start", "end", "region")
     keys = list(named.values())
