@@ -176,7 +176,7 @@ def q_parts_measures(spark, d):
  SELECT p_partkey, i, j FROM c WHERE ((a <= s AND b <= s AND NOT (a > 4 AND a + 2 < 8 AND b > 4 AND b + 2 < 8)) OR (a + 2 >= 60 AND greatest(a, 60) - 60 + b <= 30))""")
 def q_parts_grid(spark, d):
     """Small patches that meet a polygon, but not those within its hole."""
-    tiles = shapes(spark, d).select("p_partkey", "parts", *g.parts_envelope(F.col("parts")).columns())
+    tiles = raster.spread(shapes(spark, d).select("p_partkey", "parts", *g.parts_envelope(F.col("parts")).columns()))  # few rows, many patches
     return tiling.grid(tiles, 2, 2, "parts").select("p_partkey", "i", "j")
 
 
