@@ -133,32 +133,64 @@ def lines_in_polygons(polygons: DataFrame, lines: DataFrame, ring: str, geometry
     return met.where(segment_hits_ring(ax, ay, bx, by, F.col(ring))).drop(*EDGE, "_px0", "_py0", "_px1", "_py1")
 
 
+def numbered(rows: DataFrame, by: list[str], shape: Column, number: str) -> tuple[DataFrame, DataFrame]:
+    """``by`` and a number for the shapes of rows with equal ``by``, and each number's shapes (as
+    _shape): what many keys have in common is looked at once. The numbers are written, so that they
+    stay the same."""
+    from tessera.sources.writers import stored
+
+    own = rows.groupBy(*by).agg(F.array_sort(F.collect_set(shape)).alias("_shapes"))  # mostly one a key
+    kinds = stored(own.select("_shapes").distinct().withColumn(number, F.monotonically_increasing_id()), "shapes")
+    return own.join(kinds, "_shapes").select(*by, number), kinds.select(number, F.explode("_shapes").alias("_shape"))
+
+
+def expanded(left: DataFrame, right: DataFrame, met: DataFrame) -> DataFrame:
+    """From pairs of numbers (_na, _nb) to the keys that have them; distinct, as those are."""
+    return left.join(met.select("_na", "_nb").distinct(), "_na").join(right, "_nb").drop("_na", "_nb")
+
+
 def points_in_parts(points: DataFrame, polygons: DataFrame, x: str, y: str, parts: str, by: list[str], cell: float = CELL, size: float | None = None) -> DataFrame:
     """Distinct ``by`` (columns of both sides that tell points and polygons apart) of points in
     the parts of a polygon, borders included. ``size``: of all polygons, if known."""
-    outline = polygons.select(*(c for c in polygons.columns if c in by), ring_edges(F.col(parts)).alias("_edges"), *parts_envelope(F.col(parts)).columns(*OUTER))
-    met = edges_beside(points, outline, x, y, by, cell, size, edge_crossing)
-    return met.where(inside(F.col("_n"))).select(*by).distinct()
+    return points_inside(points, polygons, x, y, parts, by, cell, size, ring_edges, parts_envelope, edge_crossing, inside)
 
 
 def points_in_rings(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, by: list[str], cell: float = CELL, size: float | None = None) -> DataFrame:
     """The same for polygons of one ring, with borders as in ``in_ring``."""
-    outline = polygons.select(*(c for c in polygons.columns if c in by), edges(F.col(ring)).alias("_edges"), *envelope(F.col(ring)).columns(*OUTER))
-    met = edges_beside(points, outline, x, y, by, cell, size, ray_crossing)
-    return met.where("_n % 2 = 1").select(*by).distinct()
-
-
-def edges_beside(points: DataFrame, outline: DataFrame, x: str, y: str, by: list[str], cell: float, size: float | None, crossing: Callable[..., Column]) -> DataFrame:
-    """For each point and polygon (its _edges and envelope) that may have it, as _n, what the
-    polygon's edges at the point's height say of it. A pair is a row for each such edge, summed
-    where it is made."""
-    spot = Corners(F.col(x), F.col(y), F.col(x), F.col(y))
-    keys = list(dict.fromkeys([*by, x, y]))
-    own = points.select(*(c for c in points.columns if c in keys))
-    met = overlap_join(own, outline, spot, Corners.named(*OUTER), cell, size_a=0, size_b=size)
-    single = met.select(*keys, F.explode("_edges").alias("_e")).where((F.greatest("_e.a.y", "_e.b.y") >= F.col(y)) & (F.least("_e.a.y", "_e.b.y") <= F.col(y)))
-    said = crossing(F.col(x), F.col(y), *(F.col(f"_e.{p}.{c}") for p in "ab" for c in "xy"))
-    return single.groupBy(*keys).agg(F.sum(said).alias("_n"))
+    return points_inside(points, polygons, x, y, ring, by, cell, size, edges, envelope, ray_crossing, lambda n: n % 2 == 1)
+
+
+def points_inside(points: DataFrame, polygons: DataFrame, x: str, y: str, shape: str, by: list[str], cell: float, size: float | None, edges_of: Callable, around: Callable, crossing: Callable[..., Column], within: Callable[[Column], Column]) -> DataFrame:
+    """Distinct places meet distinct polygons, whose edges' crossings are summed where a pair is
+    made; then the pairs get their keys. Polygons aren't sent whole to all tasks."""
+    left, spots = numbered(points, [c for c in points.columns if c in by], F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "_na")
+    right, kinds = numbered(polygons, [c for c in polygons.columns if c in by], F.col(shape), "_nb")
+    spots = spots.select("_na", F.col("_shape.x").alias("_x"), F.col("_shape.y").alias("_y"))
+    outline = kinds.select("_nb", edges_of(F.col("_shape")).alias("_edges"), *around(F.col("_shape")).columns(*OUTER)).hint("merge")
+    x_, y_ = F.col("_x"), F.col("_y")
+    met = overlap_join(spots, outline, Corners(x_, y_, x_, y_), Corners.named(*OUTER), cell, size_a=0, size_b=size)
+    said = F.aggregate("_edges", F.lit(0).cast("long"), lambda n, e: n + crossing(x_, y_, *(e[p][c] for p in "ab" for c in "xy")))
+    return expanded(left, right, met.where(within(said))).select(*by)
+
+
+def lines_per_box(boxes: DataFrame, lines: DataFrame, corners: tuple[str, str, str, str], geometry: str, by: list[str], key: str, size: float | None = None) -> DataFrame:
+    """``by`` of boxes and, as n_lines, how many different ``key`` of lines truly meet one of their
+    boxes; those that none meets are left out. Equal lines are counted, not listed: keys with the
+    same lines have one number."""
+    left, spots = numbered(boxes, by, F.struct(*(F.col(c).cast("double").alias(p) for c, p in zip(corners, OUTER, strict=True))), "_na")
+    right, kinds = numbered(lines.where(F.col(key).isNotNull()), [key], F.col(geometry), "_nb")
+    met = lines_in_boxes(spots.select("_na", "_shape.*"), kinds, Corners.named(*OUTER), "_shape", size).select("_na", "_nb").distinct()
+    n = met.join(right.groupBy("_nb").agg(F.count("*").alias("_n")), "_nb").groupBy("_na").agg(F.sum("_n").alias("n_lines"))
+    return left.join(n, "_na").select(*by, "n_lines")
+
+
+def lines_and_polygons(polygons: DataFrame, lines: DataFrame, ring: str, geometry: str, by: list[str], size: float | None = None) -> DataFrame:
+    """Distinct ``by`` (columns of both sides) of lines that meet a polygon, its border included.
+    ``size``: of all polygons, if known."""
+    left, rings = numbered(polygons, [c for c in polygons.columns if c in by], F.col(ring), "_na")
+    right, kinds = numbered(lines, [c for c in lines.columns if c in by], F.col(geometry), "_nb")
+    met = lines_in_polygons(rings.withColumnRenamed("_shape", "_ring"), kinds, "_ring", "_shape", size)
+    return expanded(left, right, met).select(*by)
 
 
 def edge_rows(lines: DataFrame, geometry: str, keep: list[str]) -> DataFrame:

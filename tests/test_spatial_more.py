@@ -133,3 +133,17 @@ def test_an_empty_overlap_is_an_error_when_it_is_read(spark):
     nothing = catalog.not_empty(rows.where("id > 7"), "large rows")
     with pytest.raises(Exception, match="there are no large rows"):
         nothing.collect()
+
+
+def ring_of(x, y, s):
+    return [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+
+
+def test_equal_keys_and_equal_shapes(spark):
+    """Two rings of a key that both have a point are one pair; what many keys share is expanded."""
+    polygons = spark.createDataFrame([(k, ring_of(x, 0, 10)) for k, x in (("a", 0), ("a", 2), ("b", 0), ("c", 0), ("d", 50))], f"name string, ring {g.VERTICES}")
+    points = spark.createDataFrame([(i, 5.0, 5.0) for i in range(40)] + [(1, 52.0, 1.0), (90, 11.0, 1.0), (91, None, 1.0)], "id int, x double, y double")
+    expected = sorted([(i, n) for i in range(40) for n in "abc"] + [(1, "d"), (90, "a")])
+    assert sorted(tuple(r) for r in sj.points_in_rings(points, polygons, "x", "y", "ring", ["id", "name"], size=10).collect()) == expected
+    parted = polygons.withColumn("parts", F.array(F.array("ring"))).drop("ring")
+    assert sorted(tuple(r) for r in sj.points_in_parts(points, parted, "x", "y", "parts", ["id", "name"], 7.0).collect()) == expected
