@@ -192,9 +192,8 @@ HIT = """abs((ax + bx) / 2 - (qx + 20)) <= 20 + abs(bx - ax) / 2 AND abs((ay + "
  SELECT q, count(DISTINCT o_orderkey) AS n_lines FROM q JOIN edges ON {HIT} GROUP BY q""")
 def q_line_hits_box(spark, d):
     boxes = fx.read(spark, d, "supplier").selectExpr("s_suppkey q", "cast(s_suppkey * 97 % 900 as double) qx", "cast(s_suppkey * 61 % 900 as double) qy")
-    asked = Corners(F.col("qx"), F.col("qy"), F.col("qx") + 40, F.col("qy") + 40)
-    met = sj.lines_in_boxes(boxes, fx.lines(spark, d).select("o_orderkey", "geometry"), asked, "geometry", 40)
-    return met.groupBy("q").agg(F.count_distinct("o_orderkey").alias("n_lines"))
+    asked = boxes.selectExpr("q", "qx", "qy", "qx + 40 qx1", "qy + 40 qy1")
+    return sj.lines_per_box(asked, fx.lines(spark, d), ("qx", "qy", "qx1", "qy1"), "geometry", ["q"], "o_orderkey", 40)
 
 
 @query(f"""WITH {fx.POLYGONS}, p AS (SELECT o_orderkey, (o_orderkey % 499 * 10 + 3)::DOUBLE AS px, (o_custkey % 367 * 10 + 3)::DOUBLE AS py FROM orders)

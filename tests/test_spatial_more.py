@@ -147,3 +147,15 @@ def test_equal_keys_and_equal_shapes(spark):
     assert sorted(tuple(r) for r in sj.points_in_rings(points, polygons, "x", "y", "ring", ["id", "name"], size=10).collect()) == expected
     parted = polygons.withColumn("parts", F.array(F.array("ring"))).drop("ring")
     assert sorted(tuple(r) for r in sj.points_in_parts(points, parted, "x", "y", "parts", ["id", "name"], 7.0).collect()) == expected
+
+
+def lines_of(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [(i, line((0, 0), (10, 10))) for i in range(30)] + [(30, line((20, 0), (30, 0), (30, 5))), (30, line((0, 1), (5, 6))), (None, line((0, 0), (1, 1))), (31, None)]
+    return spark.createDataFrame(rows, f"id int, g {g.VERTICES}")
+
+
+def test_lines_are_counted_by_shape(spark):
+    boxes = spark.createDataFrame([(q, x, y, x + 4, y + 4) for q, x, y in (("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 28.0, 3.0), ("d", 6.0, 0.0), ("e", 2.0, 4.5))], "q string, x0 double, y0 double, x1 double, y1 double")
+    rows = sj.lines_per_box(boxes, lines_of(spark), ("x0", "y0", "x1", "y1"), "g", ["q"], "id", 4).collect()
+    assert {r.q: r.n_lines for r in rows} == {"a": 31, "b": 31, "c": 1, "e": 31}
