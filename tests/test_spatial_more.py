@@ -159,3 +159,9 @@ def test_lines_are_counted_by_shape(spark):
     boxes = spark.createDataFrame([(q, x, y, x + 4, y + 4) for q, x, y in (("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 28.0, 3.0), ("d", 6.0, 0.0), ("e", 2.0, 4.5))], "q string, x0 double, y0 double, x1 double, y1 double")
     rows = sj.lines_per_box(boxes, lines_of(spark), ("x0", "y0", "x1", "y1"), "g", ["q"], "id", 4).collect()
     assert {r.q: r.n_lines for r in rows} == {"a": 31, "b": 31, "c": 1, "e": 31}
+
+
+def test_lines_and_polygons_by_shape(spark):
+    polygons = spark.createDataFrame([(k, ring_of(x, y, 4)) for k, x, y in (("a", 0, 0), ("b", 0, 0), ("c", 28, 3), ("c", 22, -1), ("d", 6, 0))], f"name string, ring {g.VERTICES}")
+    rows = sj.lines_and_polygons(polygons, lines_of(spark).where("id is not null"), "ring", "g", ["id", "name"], 4).collect()
+    assert sorted(tuple(r) for r in rows) == sorted([(i, n) for i in range(31) for n in "ab"] + [(30, "c")])
