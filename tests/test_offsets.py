@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tessera.functions.geometry import VERTICES
 from tessera.operators import offsets
 
@@ -67,3 +68,12 @@ def test_offset_lines(spark):
     rows = spark.createDataFrame([(1, v((0, 0), (10, 0), (10, 10))), (2, None), (3, [])], f"id int, g {VERTICES}")
     out = offsets.offset_lines(rows, "g", [2.0, -2.0], mitre=True).orderBy("distance").collect()
     assert [(r.id, r.distance, r.piece, [(p.x, p.y) for p in r.g]) for r in out] == [(1, -2.0, 0, [(0.0, -2.0), (12.0, -2.0), (12.0, 10.0)]), (1, 2.0, 0, [(0.0, 2.0), (8.0, 2.0), (8.0, 10.0)])]
+
+
+def test_equal_lines_are_one(spark):
+    many = spark.range(3000).selectExpr("id", "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 10D, 'y', 0D), null, named_struct('x', 10D, 'y', id % 3 + 1D)) g")
+    made = offsets.offset_lines(many, "g", [0.25, -0.25])
+    out = made.groupBy((F.col("id") % 3).alias("k"), "distance").agg(F.count("*").alias("n"), F.min(F.hash("g")), F.max(F.hash("g"))).collect()
+    assert len(out) == 6 and all(r.n == 1000 and r[3] == r[4] for r in out)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_line" in plan[plan.index("MapInPandas") :]  # curves are made of distinct lines
