@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions.boxes import Corners
-from tessera.functions.geometry import in_parts, in_ring, parts_hit_box, polygon_hits_box
+from tessera.functions.geometry import edges, in_parts, in_ring, ring_edges
+from tessera.operators.raster import spread
+
+#: Patches times edges that are tested at once, and patches that are sent on at once; tiles with so
+#: few are tested together.
+AT_ONCE, FEW = 1 << 20, 1000
 
 
 def steps(extent: Column, size: float, stride: float) -> Column:
@@ -23,13 +31,92 @@ def grid(tiles: DataFrame, size: float, stride: float, polygon: str | None = Non
     px1, py1. Row-major from the bottom. With ``polygon`` (a ring, or parts), those that meet it."""
     t = Corners.named()
     rows, cols = steps(t.height(), size, stride), steps(t.width(), size, stride)
-    cells = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), cols - 1)))
-    x, y = t.x0 + F.col("j") * stride, t.y0 + F.col("i") * stride
-    out = cells.withColumns({"patch_seq": F.col("i") * cols + F.col("j"), "px0": x, "py0": y, "px1": x + size, "py1": y + size})
     if polygon:
-        hits = parts_hit_box if has_parts(tiles, polygon) else polygon_hits_box
-        out = out.where(hits(F.col(polygon), Corners.named("px0", "py0", "px1", "py1")))
-    return out
+        hit = patches_on(tiles.withColumns({"_rows": rows, "_cols": cols}), size, stride, polygon).withColumn("patch_seq", F.explode("_hits"))
+        cells = hit.withColumns({"i": F.floor(F.col("patch_seq") / F.col("_cols")).cast("int"), "j": F.col("patch_seq") % F.col("_cols")}).select(*tiles.columns, "i", "j")
+    else:
+        cells = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), cols - 1)))
+    x, y = t.x0 + F.col("j") * stride, t.y0 + F.col("i") * stride
+    return cells.withColumns({"patch_seq": F.col("i") * cols + F.col("j"), "px0": x, "py0": y, "px1": x + size, "py1": y + size})
+
+
+def patches_on(tiles: DataFrame, size: float, stride: float, polygon: str) -> DataFrame:
+    """Tiles with the numbers (_hits) of those of their _rows x _cols patches that meet their polygon;
+    a tile of many patches has several rows. Tests are those of ``polygon_hits_box`` and
+    ``parts_hit_box``, for many patches at once. Few tiles may have many patches: they are dealt out."""
+    parts = has_parts(tiles, polygon)
+    of = F.transform((ring_edges if parts else edges)(F.col(polygon)), lambda e: F.array(*(e[p][c].cast("double") for p in "ab" for c in "xy")))
+    whole = lambda e: ~F.exists(e, lambda v: v.isNull() | F.isnan(v))
+    names = [c for c in tiles.columns if c not in ("_rows", "_cols")]
+    own = tiles.where("_rows is not null and _cols is not null").withColumn("_edges", F.flatten(F.filter(of, whole))).where("size(_edges) > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            kept = batch.select([*names, "_rows", "_cols"])
+            at, found, n = [], [], 0
+            x0, y0, rows, cols = (column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "_rows", "_cols"))
+            edged = column("_edges").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            ends = np.cumsum(column("_edges").value_lengths().to_numpy(zero_copy_only=False)) // 4
+            sizes = np.diff(ends, prepend=0)
+            small = np.int64(rows) * cols * sizes <= FEW
+            for m in np.unique(sizes[small]):  # many tiles at once
+                mine = np.flatnonzero(small & (sizes == m))
+                for some in np.array_split(mine, -(-len(mine) * FEW // AT_ONCE)):
+                    n_of = rows[some] * cols[some]
+                    of = np.repeat(np.arange(len(some)), n_of)
+                    seq = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+                    i, j = seq // cols[some][of], seq % cols[some][of]
+                    e = np.stack([edged[ends[some] - m + v] for v in range(m)], 1)[of]
+                    hit = hits_of(e[:, None, None], (x0[some][of] + j * stride)[:, None], (y0[some][of] + i * stride)[:, None], size, parts)[:, 0, 0]
+                    of, seq = of[hit], seq[hit].astype(np.int32)
+                    first = np.flatnonzero(np.diff(of, prepend=-1))
+                    if len(of):
+                        yield listed(kept, some[of[first]].tolist(), np.split(seq, first[1:]))
+            for k in np.flatnonzero(~small):
+                e = edged[ends[k] - sizes[k] : ends[k]]
+                step = max(1, AT_ONCE // max(1, cols[k] * len(e)))
+                for first in range(0, rows[k], step):
+                    i = np.arange(first, min(rows[k], first + step))
+                    hits = np.flatnonzero(hits_of(e, x0[k] + np.arange(cols[k]) * stride, y0[k] + i * stride, size, parts)) + first * cols[k]
+                    if len(hits):
+                        at.append(k)
+                        found.append(hits.astype(np.int32))
+                        n += len(hits)
+                    if n >= AT_ONCE:
+                        yield listed(kept, at, found)
+                        at, found, n = [], [], 0
+            if at:
+                yield listed(kept, at, found)
+
+    schema = own.drop("_edges").schema.add("_hits", ArrayType(IntegerType()))
+    return spread(own).mapInArrow(run, schema)
+
+
+def listed(batch: pa.RecordBatch, at: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+    """Some of a batch's rows, with lists beside them."""
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+    return pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, lists], [*batch.schema.names, "_hits"])
+
+
+def hits_of(e: np.ndarray, x: np.ndarray, y: np.ndarray, size: float, parts: bool) -> np.ndarray:
+    """Whether the boxes with those left and lower borders meet a polygon, given by its edges."""
+    ax, ay, bx, by = (e[..., k] for k in range(4))
+    x, y = x[..., None, :, None], y[..., :, None, None]  # rows, columns, edges
+    ex, ey, mx, my = (x + size - x) / 2, (y + size - y) / 2, (ax + bx) / 2 - (x + (x + size)) / 2, (ay + by) / 2 - (y + (y + size)) / 2
+    dx, dy = (bx - ax) / 2, (by - ay) / 2
+    near = (np.abs(my) <= ey + np.abs(dy)) & (np.abs(mx) <= ex + np.abs(dx))
+    hit = (near & (np.abs(dx * my - dy * mx) <= ex * np.abs(dy) + ey * np.abs(dx))).any(-1)
+    spans = (ay > y) != (by > y)
+    if not parts:
+        with np.errstate(all="ignore"):
+            right = ax + (y - ay) * (bx - ax) / (by - ay)
+        return hit | ((spans & (x < right)).sum(-1) % 2 == 1)
+    across = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    level = (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by))
+    on = (across == 0) & level & (np.minimum(ax, bx) <= x) & (x <= np.maximum(ax, bx))
+    return hit | on.any(-1) | ((spans & ((across > 0) == (by > ay))).sum(-1) % 2 == 1)
 
 
 def has_parts(rows: DataFrame, polygon: str) -> bool:

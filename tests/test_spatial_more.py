@@ -165,3 +165,20 @@ def test_lines_and_polygons_by_shape(spark):
     polygons = spark.createDataFrame([(k, ring_of(x, y, 4)) for k, x, y in (("a", 0, 0), ("b", 0, 0), ("c", 28, 3), ("c", 22, -1), ("d", 6, 0))], f"name string, ring {g.VERTICES}")
     rows = sj.lines_and_polygons(polygons, lines_of(spark).where("id is not null"), "ring", "g", ["id", "name"], 4).collect()
     assert sorted(tuple(r) for r in rows) == sorted([(i, n) for i in range(31) for n in "ab"] + [(30, "c")])
+
+
+def test_tiles_of_many_patches_in_pieces(spark, monkeypatch):
+    """Patches of a polygon as by testing each; tiles without a polygon or its edges have none."""
+    rows = [("a", parts([SQUARE, HOLE], [FAR]), 0.0, 0.0, 30.0, 10.0), ("b", parts([FAR]), 19.5, -1.0, 31.0, 12.0), ("none", [], 0.0, 0.0, 9.0, 9.0), ("null", None, 0.0, 0.0, 9.0, 9.0)]
+    tiles = spark.createDataFrame(rows, f"name string, parts {g.PARTS}, x0 double, y0 double, x1 double, y1 double")
+    monkeypatch.setattr(tiling, "AT_ONCE", 40)
+    monkeypatch.setattr(tiling, "FEW", 700)
+    made = tiling.grid(tiles, 0.7, 0.5, "parts")
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()  # edges are made once a tile
+    plain = tiling.grid(tiles, 0.7, 0.5).where(g.parts_hit_box(F.col("parts"), Corners.named("px0", "py0", "px1", "py1")))
+    columns = ["name", "patch_seq", "i", "j", "px0", "py0", "px1", "py1"]
+    found = sorted(tuple(r) for r in made.select(*columns).collect())
+    assert found == sorted(tuple(r) for r in plain.select(*columns).collect()) and {r[0] for r in found} == {"a", "b"}
+    rings = tiles.where("name = 'b'").withColumn("parts", F.col("parts")[0][0])
+    ringed = tiling.grid(rings, 0.7, 0.5).where(g.polygon_hits_box(F.col("parts"), Corners.named("px0", "py0", "px1", "py1")))
+    assert sorted(r.patch_seq for r in tiling.grid(rings, 0.7, 0.5, "parts").collect()) == sorted(r.patch_seq for r in ringed.collect())
