@@ -59,3 +59,11 @@ def test_other_shapes():
     assert shapefiles.shape_of(struct.pack("<i4di4d", 8, 0, 0, 1, 1, 2, 0, 0, 1, 1)) == ("points", [[[(0, 0)], [(1, 1)]]])
     with pytest.raises(ValueError, match="kind 31"):
         shapefiles.shape_of(struct.pack("<i", 31))
+
+
+def test_the_query_writes_in_many_tasks(spark, tmp_path, monkeypatch):
+    from tessera.plans import raster_queries
+
+    monkeypatch.setattr(raster_queries, "folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert raster_queries.q_shapefile(spark, "/root/testdata/sf0.001").count() == 200
+    assert len(list((tmp_path / "shapes").glob("*.shp"))) == 2  # as many as shuffle partitions
