@@ -226,7 +226,7 @@ def resized_sql(k: int) -> str:
 @query(f"""WITH {fx.LOGITS}, bytes AS (SELECT patch_seq, "row", col, (floor(abs(v) * 1000)::BIGINT % 256) AS v FROM pixels) {" UNION ALL ".join(resized_sql(k) for k in range(len(NEW_SIZES)))}""")
 def q_resized_images(spark, d):
     """Images of bytes, larger, smaller and stretched."""
-    own = raster.pixels_of(fx.patch_logits(spark, d), "embedding", 8, ["patch_seq"]).withColumn("v", F.floor(F.abs(F.col("v").cast("double")) * 1000) % 256)
+    own = raster.pixels_of(fx.patch_logits(spark, d), "embedding", 8, ["patch_seq"]).withColumn("v", F.floor(F.abs(F.col("v").cast("float")) * F.lit(1000).cast("float")) % 256)  # as SQL: products of floats
     size = lambda i: F.get(F.array(*(F.lit(s[i]) for s in NEW_SIZES)), (F.col("patch_seq") % 3).cast("int"))
     frame = fx.patch_logits(spark, d).select("patch_seq", F.lit(8).alias("height"), F.lit(8).alias("width"), size(1).alias("new_height"), size(2).alias("new_width"))
     return resample.resized(own, ["patch_seq"], frame)

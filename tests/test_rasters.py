@@ -235,3 +235,18 @@ def test_sink_writes_nothing_when_a_task_fails(spark, tmp_path):
     with pytest.raises(Exception):
         rasters.write(spark.createDataFrame([], "file string, row int, col int, v int"), frame, f"file://{tmp_path}/out")
     assert not list(tmp_path.rglob("*.tif"))
+
+
+def test_bytes_of_floats_as_in_sql(spark, tmp_path):
+    """0.159 and 0.072 as floats, 1,000 times: the product as a float is rounded up to a whole number."""
+    import duckdb
+
+    from tests.compare import assert_same
+
+    from tessera.plans import queries, raster_queries  # noqa: F401
+
+    rows = [(i, 1, [v] * 64) for i, v in enumerate((-0.159, 0.072, 0.5))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert_same(queries.QUERIES["q_resized_images"](spark, str(tmp_path)).toPandas(), con.execute(queries.ORACLE_SQL["q_resized_images"]).df())
