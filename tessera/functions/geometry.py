@@ -104,6 +104,12 @@ def in_ring(x: Column, y: Column, g: Column) -> Column:
     return F.size(F.filter(edges(g), crosses)) % 2 == 1
 
 
+def in_fixed_ring(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """``in_ring`` for a known ring of few corners: plain arithmetic, without arrays a row."""
+    pairs = zip(corners, [*corners[1:], corners[0]], strict=True)
+    return sum((ray_crossing(x, y, *(F.lit(float(v)) for v in (*a, *b))) for a, b in pairs), F.lit(0)) % 2 == 1
+
+
 def segment_hits_box(a: Column, b: Column, box: Corners) -> Column:
     """Separating axes of a segment and a box."""
     cx, cy = box.center()

@@ -72,9 +72,10 @@ def plots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plot_patches(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.operators.raster import spread
     from tessera.operators.tiling import grid
 
-    return grid(plots(spark, d), SIZE, STRIDE).select("p_partkey", "patch_seq", "i", "j", "px0", "py0", "px1", "py1")
+    return grid(spread(plots(spark, d)), SIZE, STRIDE).select("p_partkey", "patch_seq", "i", "j", "px0", "py0", "px1", "py1")
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:

@@ -619,5 +619,5 @@ def q_kth_tile(spark, d):
  SELECT p_partkey, patch_seq, cx, cy FROM first WHERE cx >= 1000 AND cx < 27000 AND cy >= 1000 AND cy < 25000""")
 def q_patches_by_center(spark, d):
     x, y = patch().center()
-    ring = Corners(F.lit(1000.0), F.lit(1000.0), F.lit(27000.0), F.lit(25000.0)).ring()
-    return fx.plot_patches(spark, d).select("p_partkey", "patch_seq", x.alias("cx"), y.alias("cy")).where(g.in_ring(F.col("cx"), F.col("cy"), ring))
+    spots = [(1000.0, 1000.0), (27000.0, 1000.0), (27000.0, 25000.0), (1000.0, 25000.0)]
+    return fx.plot_patches(spark, d).select("p_partkey", "patch_seq", x.alias("cx"), y.alias("cy")).where(g.in_fixed_ring(F.col("cx"), F.col("cy"), spots))

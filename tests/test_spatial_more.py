@@ -182,3 +182,13 @@ def test_tiles_of_many_patches_in_pieces(spark, monkeypatch):
     rings = tiles.where("name = 'b'").withColumn("parts", F.col("parts")[0][0])
     ringed = tiling.grid(rings, 0.7, 0.5).where(g.polygon_hits_box(F.col("parts"), Corners.named("px0", "py0", "px1", "py1")))
     assert sorted(r.patch_seq for r in tiling.grid(rings, 0.7, 0.5, "parts").collect()) == sorted(r.patch_seq for r in ringed.collect())
+
+
+def test_a_fixed_ring(spark):
+    """As in_ring, borders too, without arrays in the plan."""
+    corners = [(0.0, 0.0), (10.0, 1.0), (9.0, 8.0), (5.0, 4.0), (0.0, 8.0)]
+    spots = spark.range(24 * 24).selectExpr("(id % 24 - 4) / 2D x", "(id div 24 - 4) / 2D y")
+    ring = g.ring([(F.lit(a), F.lit(b)) for a, b in corners])
+    both = spots.select(g.in_ring(F.col("x"), F.col("y"), ring).alias("a"), g.in_fixed_ring(F.col("x"), F.col("y"), corners).alias("b"))
+    assert both.where("a <> b or b is null").count() == 0 and 0 < both.where("b").count() < 24 * 24
+    assert "lambda" not in both.select("b")._jdf.queryExecution().optimizedPlan().toString()
