@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
 from tessera.functions.geometry import PARTS
+from tessera.operators.raster import spread
 from tessera.operators.tiling import has_parts
 
 #: Areas are shares of the whole in units of 2^-BITS; a trapezoid of less than one isn't drawn from.
@@ -78,7 +79,7 @@ def pieces(rows: DataFrame, polygons: list[str], size: float) -> DataFrame:
     """Each row's trapezoids: of its polygons, within its box (x0, y0, x1, y1) less half a patch on
     each side, where it has that much."""
     rings = [c for c in polygons if not has_parts(rows, c)]
-    own = rows.withColumns({c: F.array(F.array(c)).cast(PARTS) for c in rings})
+    own = spread(rows.withColumns({c: F.array(F.array(c)).cast(PARTS) for c in rings}))  # few bytes, much work
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
