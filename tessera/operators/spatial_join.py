@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Corners
 from tessera.functions.geometry import between_squared, edge_crossing, edges, envelope, inside, parts_envelope, ray_crossing, ring_edges, segment_hits_box, segment_hits_ring, vertex
+from tessera.operators import covering
 
 CELL = 400.0
 EDGE = ("_ax", "_ay", "_bx", "_by")
@@ -96,14 +97,27 @@ def counts_of(patches: DataFrame, features: DataFrame, a: Corners, b: Corners, b
 def without_covered(boxes: DataFrame, by: str, score: str, share: float, cell: float = CELL / 4) -> DataFrame:
     """Distinct boxes (``by``, x0, y0, x1, y1, ``score``) but those with a box of the same kind
     that has a better score (or the same and larger corners) and shares more than a part of
-    their union."""
-    other = boxes.select(*(F.col(c).alias(f"o_{c}") for c in boxes.columns))
-    a, b = Corners.named(), Corners.named("o_x0", "o_y0", "o_x1", "o_y1")
-    met = overlap_join(boxes, other, a, b, cell).where(F.col(by) == F.col(f"o_{by}"))
-    better = F.struct(F.col(f"o_{score}"), "o_x1", "o_y1") > F.struct(F.col(score), "x1", "y1")
-    common = a.common(b).area()
-    covered = met.where(better & (common > share * (a.area() + b.area() - common)))
-    return boxes.join(covered.select(by, "x0", "y0", "x1", "y1").distinct(), [by, "x0", "y0", "x1", "y1"], "left_anti")
+    their union. Boxes with a null among kind and corners stay and cover nothing."""
+    if not 0 < share < 1:
+        raise ValueError("a share is between 0 and 1")
+    a = Corners.named()
+    widest = F.greatest(F.abs(a.width()), F.abs(a.height())).cast("double")
+    level = lambda size: F.when(size <= cell, 0).otherwise(F.ceil(F.log2(size / cell))).cast("int")
+    known = F.coalesce(F.abs(a.x0 + a.y0 + a.x1 + a.y1) < float("inf"), F.lit(False)) & F.col(by).isNotNull()
+    levels = F.sequence(level(widest * (share * (1 - 1e-9))), level(widest * (1 + 1e-9) / share))
+    spread = boxes.withColumn("_level", F.explode(F.when(known, levels).otherwise(F.array(F.lit(-1)))))
+    cells = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    width = cells * covering.BLOCK
+    own, any_of = F.col("_level") == level(widest), F.pmod(F.xxhash64(*boxes.columns), F.lit(4096))
+    for axis, c, o in (("_bx", a.x0, a.x1), ("_by", a.y0, a.y1)):
+        low, high = F.least(c, o).cast("double"), F.greatest(c, o).cast("double")
+        slack = (cells + F.abs(low) + F.abs(high)) * 2e-9
+        first, last = low - F.least(cells, (high - low) / share) * (1 - share) - slack, high - (high - low) * share + slack
+        blocks = F.sequence(F.floor(first / width), F.greatest(F.floor(first / width), F.floor(last / width)))
+        spread = spread.withColumn(axis, F.explode(F.when(known, blocks).otherwise(F.array(any_of))))
+        own = own & (F.col(axis) == F.floor(low / width))
+    dealt = spread.withColumn("_own", own | (F.col("_level") < 0))
+    return dealt.groupBy(by, "_level", "_bx", "_by").applyInArrow(covering.uncovered(score, share, float(cell)), boxes.schema)
 
 
 def lines_in_boxes(boxes: DataFrame, lines: DataFrame, a: Corners, geometry: str, size: float | None = None) -> DataFrame:
