@@ -5,8 +5,9 @@ latitude, and so on, so its leaves have about as many places each wherever those
 are then dealt to leaves, and each leaf's own envelope and one of its places are known. A point
 takes the distance to the place of the leaf that it falls in as a bound, goes down the tree once
 more for the leaves that may have something nearer, and meets the places of those: an equi-join
-on the leaf. So however far away a point or a place is, there is one round, and no point meets
-all places.
+on the leaf, whose places are one row, so that a row for each leaf leaves the join. So however far
+away a point or a place is, there is one round, and no point meets all places. Points at one
+position look once; their keys are joined then.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.raster import spread
+
 #: Places a leaf, about; bounds of the tree (at 2^14 leaves, 1 MB is sent to tasks) and its sample.
 LEAF, MOST_LEVELS, A_LEAF = 32, 14, 8
 
@@ -128,7 +131,10 @@ def nearest(points: DataFrame, places: DataFrame, x: str, y: str, px: str, py: s
     spots = placed(places, px, py).groupBy(F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py")).agg(F.min(place).alias("_place"))
     tree, leaves = tree_of(spots, "_px", "_py")
     own = placed(points, x, y).select(*key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    met = dealt(own, tree, "_x", "_y", True).join(leaves, "_leaf")
-    dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
-    best = met.groupBy(*key).agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col("_place").alias("p"))).alias("_best"))
+    near = leaves.groupBy("_leaf").agg(F.collect_list(F.struct("_px", "_py", "_place")).alias("_spots"))  # a leaf's places
+    dx, dy = lambda s: F.col("_x") - s["_px"], lambda s: F.col("_y") - s["_py"]
+    first = F.array_min(F.transform("_spots", lambda s: F.struct((dx(s) * dx(s) + dy(s) * dy(s)).alias("d"), s["_place"].alias("p"))))
+    met = dealt(spread(own.select("_x", "_y").distinct()), tree, "_x", "_y", True).join(near, "_leaf").select("_x", "_y", first.alias("_first"))
+    found = met.groupBy("_x", "_y").agg(F.min("_first").alias("_first"))
+    best = own.join(found, ["_x", "_y"]).groupBy(*key).agg(F.min("_first").alias("_best"))
     return best.select(*key, F.col("_best.p").alias(place), F.col("_best.d").alias("distance2"))

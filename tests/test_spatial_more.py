@@ -192,3 +192,18 @@ def test_a_fixed_ring(spark):
     both = spots.select(g.in_ring(F.col("x"), F.col("y"), ring).alias("a"), g.in_fixed_ring(F.col("x"), F.col("y"), corners).alias("b"))
     assert both.where("a <> b or b is null").count() == 0 and 0 < both.where("b").count() < 24 * 24
     assert "lambda" not in both.select("b")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_looks_once_for_points_at_one_position(spark, monkeypatch):
+    """Each point met all places of its leaves by itself before, a row for each."""
+    asked, real = [], near.dealt
+
+    def dealt(rows, tree, x, y, to_all):
+        if to_all:
+            asked.append(rows.count())
+        return real(rows, tree, x, y, to_all)
+
+    monkeypatch.setattr(near, "dealt", dealt)
+    points = [(i, float(i % 3), 1.0) for i in range(300)]
+    places = [(f"p{k:03}", k % 40 / 4.0, k // 40 / 4.0) for k in range(400)]
+    assert found_nearest(spark, points, places) == slow_nearest(points, places) and asked == [3]
