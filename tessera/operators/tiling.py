@@ -150,10 +150,10 @@ def random_patches(tiles: DataFrame, size: float, count: int, seed: int, key: st
     """``count`` patches at random, tiles (named by ``key``) weighed by area; with polygons,
     patches with their centre in all of them. Each round a tile draws its share, and it goes on
     until there are enough; an error if they aren't after so many rounds. Without tiles there are
-    no patches."""
+    no patches. Each tile draws, however many there are: they are dealt out."""
     t = Corners.named()
     total = tiles.agg(F.sum(t.area()).alias("_total"))
-    shares = tiles.crossJoin(F.broadcast(total)).withColumn("_n", F.ceil(t.area() / F.col("_total") * count * (2 if polygons else 1)).cast("int") + 1)
+    shares = spread(tiles).crossJoin(F.broadcast(total)).withColumn("_n", F.ceil(t.area() / F.col("_total") * count * (2 if polygons else 1)).cast("int") + 1)
     found, drawn = None, 0
     for k in range(rounds):
         mine = shares.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_k", F.col("_k") + F.col("_n") * k)

@@ -220,3 +220,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.n) for r in spark.table("counted").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_random_patches_are_drawn_by_many_tasks(spark):
+    """All tiles of a small file drew in one task before."""
+    tiles = spark.range(50).selectExpr("id", "0D x0", "0D y0", "40D x1", "40D y1").coalesce(1)
+    found = tiling.random_patches(tiles, 5, 20, 1, "id")
+    assert found.count() == 20
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
