@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import SegmentConfig
 from tessera.functions.boxes import Corners, area_between, edge_ratio_over
-from tessera.operators.raster import best_mask, burn_lines, without_overlap
+from tessera.operators.raster import best_mask, burn_lines, spread, without_overlap
 from tessera.operators.spatial_join import overlap_join
 from tessera.operators.tiling import batches, grid, until
 from tessera.plans import infer
@@ -54,9 +54,12 @@ def tile_masks(tiles: DataFrame, features: DataFrame, roads: DataFrame, config:
     one. ``roads``: tile and geometry, in canvas cells."""
     masks = box_masks(tiles, features, config, **models)
     at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    cells = masks.select("tile", "patch_seq", "channel", "logit", F.explode(F.sequence(at("y0"), at("y1"))).alias("row"), at("x0").alias("_a"), at("x1").alias("_b"))
-    cells = cells.select("tile", "patch_seq", "channel", "logit", "row", F.explode(F.sequence("_a", "_b")).alias("col"))
-    logit = F.max("logit") if config.smooth_overlap else F.max(F.struct("patch_seq", "logit"))["logit"]
+    area = ["tile", "patch_seq", "channel"]
+    alike = masks.groupBy(*area, at("y0").alias("_top"), at("y1").alias("_low"), at("x0").alias("_a"), at("x1").alias("_b")).agg(F.max("logit").alias("logit"))
+    cells = spread(alike).select(*area, "logit", "_a", "_b", F.explode(F.sequence("_top", "_low")).alias("row")).select(*area, "logit", "row", F.explode(F.sequence("_a", "_b")).alias("col"))
+    logit = F.max("logit")
+    if not config.smooth_overlap:  # the last patch's; plain values, so that sums are hashed, not sorted
+        cells, logit = cells.groupBy(*area, "row", "col").agg(F.max("logit").alias("logit")), F.max_by("logit", "patch_seq")
     folded = cells.groupBy("tile", "channel", "row", "col").agg(logit.alias("logit")).where("logit >= 0 and not isnan(logit)").drop("logit")
     size = tiles.agg(F.max((F.col("x1") - F.col("x0")) / cell).cast("int").alias("w"), F.max((F.col("y1") - F.col("y0")) / cell).cast("int").alias("h")).first()
     burnt = burn_lines(roads, "geometry", config.road_width_m / cell, size.h or 0, size.w or 0, ["tile"]).withColumn("channel", F.lit("road"))

@@ -83,3 +83,9 @@ def test_ranks_of_one_value(spark):
     rows = spark.range(1000).selectExpr("id", "cast(if(id % 3 = 0, id, 7) as double) v").unionByName(spark.sql("select -1L id, cast(null as double) v"))
     out = catalog.ecdf(rows, "v", ["id"]).collect()
     assert [(r.id, r["rank"]) for r in sorted(out, key=lambda r: r["rank"])] == [(r.id, k) for k, r in enumerate(sorted(rows.collect(), key=lambda r: (r.v is not None, r.v or 0, r.id)), 1)]
+
+
+def test_tile_masks_are_folded_by_hash(spark):
+    """Cells were sorted by each task before, all of those of its masks."""
+    plan = queries.q_tile_masks(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
