@@ -1,9 +1,9 @@
 """Connected regions of masks, and masks without small objects and holes.
 
-A mask is its set pixels. Blocks of pixels are labelled in one task each, as runs of columns;
+A mask is its set pixels. Blocks of pixels are labelled as runs of columns, small ones together;
 what continues across a block's border is an edge between two blocks' labels, and labels are
-merged until none are left that belong together. So no task holds more than a
-block, whatever a region's size, and what is joined is a row for each pixel of the borders.
+merged until none are left that belong together. So no task holds more than some
+blocks, whatever a region's size, and what is joined is a row for each pixel of the borders.
 
 Pixels touch along their sides. A hole is a region of pixels that aren't set, within the
 image's frame; as a region that meets the frame's border is one too, a small corner cut off by
@@ -25,6 +25,8 @@ from tessera.operators import raster
 from tessera.sources.writers import stored
 
 BLOCK = 256
+#: Pixels of blocks that are labelled at once.
+CELLS = 1 << 21
 #: Nodes that a task joins at once.
 CONTRACTED = 200_000
 
@@ -56,27 +58,67 @@ def labels_of(row: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -
     return label
 
 
-def block_runs(keys: int, block: int, unset: bool) -> Callable[[pa.Table], pa.Table]:
-    """The labelled runs of one block's pixels: ``keys`` columns of an image's name, block, row,
-    col, height and width. Rows with a height say how large the frame is."""
-
-    def of(rows: pa.Table) -> pa.Table:
-        key = [rows.column(i)[0] for i in range(keys)]
-        top, left = (rows.column(keys + i)[0].as_py() * block for i in range(2))
+def block_runs(keys: int, block: int, unset: bool, at_once: int = CELLS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The labelled runs of blocks' pixels, many small blocks at a time: ``keys`` columns of an
+    image's name, block, row, col, height and width, in order of image and block. Rows with a
+    height say how large the frame is."""
+    tall = block + 1  # a row between blocks, so that they don't touch
+
+    def firsts(rows: pa.Table) -> np.ndarray:
+        """The first row of each block."""
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for c in rows.columns[: keys + 2]:
+            code = pc.fill_null(c.combine_chunks().dictionary_encode().indices, -1).to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def of(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        n, block_of = len(first), np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
+        top, left = (rows.column(keys + i).to_numpy()[first] * block for i in range(2))
         own = rows.column("height").is_null().to_numpy()
-        mask = np.zeros((block, block), bool)
-        mask[rows.column("row").to_numpy()[own] - top, rows.column("col").to_numpy()[own] - left] = True
+        mask = np.zeros((n, tall, block), bool)
+        at = block_of[own]
+        mask[at, rows.column("row").to_numpy()[own] - top[at], rows.column("col").to_numpy()[own] - left[at]] = True
         if unset:
-            h, w = (min(block, int(pc.max(rows.column(c)).as_py()) - at) for c, at in (("height", top), ("width", left)))
-            mask = ~mask[:h, :w]
-        row, start, end = runs_of(mask)
+            size = np.zeros((2, n), np.int64)
+            for k, (c, start) in enumerate((("height", top), ("width", left))):
+                np.maximum.at(size[k], block_of[~own], rows.column(c).filter(pa.array(~own)).to_numpy())
+                size[k] = np.minimum(block, size[k] - start)
+            mask = ~mask & (np.arange(tall) < size[0][:, None])[:, :, None] & (np.arange(block) < size[1][:, None])[:, None, :]
+        row, start, end = runs_of(mask.reshape(-1, block))
         label = labels_of(row, start, end, block)
-        region = (row[label] + top << 32) + start[label] + left
-        made = [pa.array(v, pa.int64()) for v in (row + top, start + left, end + left, region)]
-        names = [*rows.column_names[:keys], "row", "start", "end", "region"]
-        return pa.Table.from_arrays([*(pa.repeat(k, len(row)) for k in key), *made], names=names)
-
-    return of
+        at, row = row // tall, row % tall
+        region = (row[label] + top[at] << 32) + start[label] + left[at]
+        made = [pa.array(v, pa.int64()) for v in (row + top[at], start + left[at], end + left[at], region)]
+        named = rows.select(rows.column_names[:keys]).take(pa.array(first[at])).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in named.columns), *made], names=[*named.column_names, "row", "start", "end", "region"])
+
+    def made(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, at_once // (tall * block))
+        ends = np.append(first, rows.num_rows)
+        for k in range(0, len(first), step):
+            last = min(k + step, len(first))
+            yield of(rows.slice(ends[k], ends[last] - ends[k]), first[k:last] - first[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < at_once // 16:
+                continue
+            rows = pa.Table.from_batches(held)
+            first = firsts(rows)
+            yield from made(rows.slice(0, first[-1]), first[:-1])  # the last block may go on
+            held = rows.slice(first[-1]).combine_chunks().to_batches()
+            n = 0
+        if held:
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows:
+                yield from made(rows, firsts(rows))
+
+    return run
 
 
 def stars(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
@@ -156,7 +198,9 @@ def regions(pixels: DataFrame, by: list[str], frame: DataFrame | None = None, bl
         sized = sized.unionByName(whole.withColumn("row", starts("height")).withColumn("col", starts("width")))
     dealt = sized.withColumns({"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block)})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*by).schema)
-    runs = stored(dealt.select(*by, "_br", "_bc", "row", "col", "height", "width").distinct().groupBy(*by, "_br", "_bc").applyInArrow(block_runs(len(by), block, frame is not None), f"{kinds}, row long, start long, end long, region long"), "runs")
+    at = [*by, "_br", "_bc"]
+    blocks = dealt.select(*at, "row", "col", "height", "width").repartition(*at).distinct().sortWithinPartitions(*at)
+    runs = stored(blocks.mapInArrow(block_runs(len(by), block, frame is not None), f"{kinds}, row long, start long, end long, region long"), "runs")
     named = {c: f"_by{i}" for i, c in enumerate(by)}  # nulls in them are values here
     keyed = runs.select(*(F.to_json(F.struct(F.col(c).alias("v"))).alias(n) for c, n in named.items()), "row", "start", "end", "region")
     keys = list(named.values())

@@ -124,3 +124,29 @@ def test_components(spark, at_once):
     expected = {(g, x): find(x) for g in "ab" for x in parent if find(x) != x} | {("c", 9): 4}
     rows = regions.components(edges.repartition(3), ["g"], at_once).collect()
     assert len(rows) == len(expected) and {(x.g, x.node): x.root for x in rows} == expected
+
+
+@pytest.mark.parametrize("unset", [False, True])
+def test_small_blocks_are_labelled_together(monkeypatch, unset):
+    """Each block was a call of its own before. Batches end within blocks, and blocks may go on for several."""
+    import numpy as np
+    import pyarrow as pa
+
+    r, rows = np.random.default_rng(5), []
+    for image in [None, *range(40)]:
+        for br, bc in ((0, 0), (0, 1), (3, 2)):
+            rows += [(image, br, bc, br * 4, bc * 4, br * 4 + 3, bc * 4 + 4)] * unset
+            high = 3 if unset else 4
+            rows += [(image, br, bc, br * 4 + i, bc * 4 + j, None, None) for i, j in np.argwhere(r.random((high, 4)) < 0.5)]
+    table = pa.Table.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(7)], names=["image", "_br", "_bc", "row", "col", "height", "width"])
+    calls, real = [], regions.labels_of
+    monkeypatch.setattr(regions, "labels_of", lambda *a: (calls.append(1), real(*a))[1])
+
+    def found(at_once, size):
+        calls.clear()
+        made = [x for b in regions.block_runs(1, 4, unset, at_once)(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        return made, len(calls)
+
+    together, few = found(regions.CELLS, 10_000)
+    alone, many = found(1, 7)
+    assert few == 1 and many == len({x[:3] for x in rows}) and together == alone and len(together) > 300
