@@ -9,7 +9,9 @@ substrings that alignment allows. What meets must have nearly the same parities
 and of character pairs, and is then verified by a banded bit-parallel edit distance.
 
 A line's links count, not what they lead to: of A, B and C, where only A and B, and B and C,
-are nearly equal, C goes if B stands earlier, whether or not B goes too.
+are nearly equal, C goes if B stands earlier, whether or not B goes too. So it is enough to find
+one such B: under a key with few lines all pairs are looked at, and under a crowded one a line
+is done with the first earlier line that it is nearly equal to (a semi-join).
 
 Keys are made in numpy, many lines at a time; joining them is Spark's.
 """
@@ -17,6 +19,7 @@ Keys are made in numpy, many lines at a time; joining them is Spark's.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,10 @@ CHARS_AN_EDIT = 10
 PORTION = 1 << 20
 #: Lines that a task remembers as done; beyond it the memory starts afresh.
 REMEMBERED = 500_000
+#: Lines that one key may be of, for all their pairs to be made.
+CROWDED = 64
 UNIGRAMS = (1 << 32) - 1
+PARITIES = ("_p0", "_p1", "_p2", "_p3")
 
 
 def allowed(length: int) -> int:
@@ -146,13 +152,18 @@ def near(a: Column, b: Column) -> Column:
     return (F.bit_count(off.bitwiseAND(F.lit(UNIGRAMS))) <= 2 * EDITS) & (F.bit_count(F.shiftrightunsigned(off, 32)) <= 4 * EDITS)
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line ids that a segment and the signatures bring together.
-    Spark splits a key with very many lines over tasks."""
-    one = keys(texts, False).select("key", F.col("id").alias("a"), F.col("signature").alias("_x"))
+def crowded(index: DataFrame) -> DataFrame:
+    """Keys that more than CROWDED lines are found by."""
+    return index.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED).select("key")
+
+
+def meetings(index: DataFrame, crowds: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, a, b, _y): pairs of line ids that a segment and the signatures bring together, and,
+    without a, one row for each line b that looks for a crowded key."""
+    some = index.join(crowds, "key", "left_anti").select("key", F.col("id").alias("a"), F.col("signature").alias("_x"))
+    one = some.unionByName(crowds, allowMissingColumns=True)
     two = keys(texts, True).select("key", F.col("id").alias("b"), F.col("signature").alias("_y"))
-    met = one.join(two, (one.key == two.key) & (F.col("a") != F.col("b")) & near(F.col("_x"), F.col("_y")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return one.join(two, (one.key == two.key) & (F.col("a").isNull() | (F.col("a") != F.col("b")) & near(F.col("_x"), F.col("_y")))).select(one.key, "a", "b", "_y")
 
 
 # Verifying
@@ -196,10 +207,9 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return score <= k
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of candidates (a, b) the lines that are nearly equal: (id, more, other, other_more), the
-    halves of both hashes, in both directions. Lines that share the first half are told apart."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def lines_with(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, more, line) of the lines whose id is among ``nodes``; those that share the first half
+    of their hash are told apart by the other."""
     bits = texts.sparkSession.sparkContext.broadcast(candidate_filter(nodes))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,23 +223,26 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         slot = x & (FILTER_BITS - 1)
                         if bits.value[slot >> 3] >> (slot & 7) & 1 and (x, more) not in met:
                             met.add((x, more))
-                            out.append((x, more, line))
+                            out.append((x, more, decoded(line)))
             if len(met) >= REMEMBERED:
                 met.clear()
             if out:
                 x, more, lines = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(more, pa.int64()), pa.array(lines, pa.binary())], names=["node", "more", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(more, pa.int64()), pa.array(lines, pa.string())], names=["node", "more", "line"])
+
+    found = texts.select("_text").mapInArrow(lean(wanted), "node long, more long, line string").join(nodes, "node", "left_semi")
+    return found.dropDuplicates(["node", "more"])
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of candidates (a, b) the lines that are nearly equal: (id, more, other, other_more), the
+    halves of both hashes, in both directions."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                a, b = decoded(x), decoded(y)
-                keep.append(within(a, b, allowed(max(len(a), len(b)))))
+            keep = [within(a, b, allowed(max(len(a), len(b)))) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    found = texts.select("_text").mapInArrow(lean(wanted), "node long, more long, line binary").join(nodes, "node", "left_semi")
-    lines = stored(found.dropDuplicates(["node", "more"]), "lines")
     one, two = (lines.select(F.col("node").alias(x), F.col("more").alias(f"_more_{x}"), F.col("line").alias(f"_line_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").select("a", "_more_a", "b", "_more_b", "_line_a", "_line_b")
     links = stored(both.mapInArrow(lean(check), "id long, more long, other long, other_more long"), "line-links")
@@ -237,6 +250,49 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return links.unionByName(back)
 
 
+def trigram_parities(line: str) -> list[int]:
+    """Parities of a line's trigrams by a hash of 8 bits: 256 bits as four signed numbers. An edit
+    changes six trigrams at most."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    three = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+    odd = np.bincount((mixed(three) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def with_parities(lines: DataFrame) -> DataFrame:
+    """``lines`` (node, more, line) with _p0 to _p3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                odd = zip(*map(trigram_parities, batch.column(2).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in odd)], names=["node", "more", "line", *PARITIES])
+
+    return lines.select("node", "more", "line").mapInArrow(lean(run), f"node long, more long, line string, {', '.join(f'{c} long' for c in PARITIES)}")
+
+
+def preceded(found: DataFrame, look: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, more) of the lines under crowded keys to which an earlier line under the same key is
+    nearly equal: each of those that look (key, id, signature) against those that are found, and the
+    other way round. A line leaves one row a key at most, however many lines are like it."""
+    placed = stored(with_parities(lines).join(first.select(F.col("id").alias("node"), "more", "_first"), ["node", "more"]), "crowded-lines")
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        own = rows.join(placed, rows.id == placed.node).select("key", "id", "more", "signature", "_first", "line", *PARITIES)
+        return stored(own.distinct(), f"crowded-{mark}")
+
+    def before(rows: DataFrame, others: DataFrame) -> DataFrame:
+        x, y = rows.alias("x"), others.alias("y")
+        most = F.least(F.lit(EDITS), F.floor(F.greatest(F.length("x.line"), F.length("y.line")) / CHARS_AN_EDIT))
+        odd = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES), F.lit(0))
+        like = near(F.col("x.signature"), F.col("y.signature")) & (odd <= 6 * EDITS) & F.levenshtein("x.line", "y.line", EDITS).between(F.lit(0), most)
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y._first") < F.col("x._first")) & like, "left_semi").select("id", "more").distinct()
+
+    found, look = side(found, "found"), side(look, "looking")
+    done = stored(before(look, found), "preceded")
+    return done.unionByName(before(found.join(done, ["id", "more"], "left_anti"), look))
+
+
 # Dedup
 
 
@@ -273,16 +329,30 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     spark = docs.sparkSession
     target = shared_dir(spark, "places-of-lines")
-    lines = occurrences(texts)
+    lines = stored(occurrences(texts), "lines")
     place = F.struct("_key", "_hash", "_line")
     with scratch(spark):
-        pairs = stored(candidates(texts), "line-candidates")
-        links = verified(pairs, texts)
         first = stored(lines.groupBy("id", "more").agg(F.min(place).alias("_first")), "first-lines")
+        index = stored(keys(texts, False), "line-keys")
+        crowds = stored(crowded(index), "crowded-keys")
+        met = stored(meetings(index, crowds, texts), "line-meetings")
+        pairs = stored(met.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-candidates")
+        found = index.join(crowds, "key", "left_semi")
+        look = met.where("a is null").select("key", F.col("b").alias("id"), F.col("_y").alias("signature"))
+        nodes = reduce(DataFrame.union, (pairs.select(F.col("a").alias("node")), pairs.select("b"), found.select("id"), look.select("id"))).distinct()
+        said = stored(lines_with(texts, nodes), "candidate-lines")
+        links = verified(pairs, said)
         others = first.select(F.col("id").alias("other"), F.col("more").alias("other_more"), F.col("_first").alias("_near"))
         near_first = links.join(others, ["other", "other_more"]).groupBy("id", "more").agg(F.min("_near").alias("_near"))
-        known = stored(first.join(near_first, ["id", "more"], "left"), "places-of-lines", target)
-    judged = lines.join(known, ["id", "more"]).withColumns({"_equal": place != F.col("_first"), "_like": F.coalesce(F.col("_near") < place, F.lit(False))})
+        known = first.join(near_first, ["id", "more"], "left")
+        if not crowds.isEmpty():
+            after = preceded(found, look, said, first).distinct().withColumn("_after", F.lit(True))
+            known = known.join(after, ["id", "more"], "left")
+        else:
+            known = known.withColumn("_after", F.lit(False))
+        known = known.select("id", "more", "_first", (F.coalesce("_after", F.lit(False)) | F.coalesce(F.col("_near") < F.col("_first"), F.lit(False))).alias("_like"))
+        known = stored(known, "places-of-lines", target)
+    judged = lines.join(known, ["id", "more"]).withColumn("_equal", place != F.col("_first"))
     repeat = F.col("_equal") | F.col("_like")
     return judged.groupBy("_key", "_hash").agg(
         F.count_distinct("_line").alias("n_lines"),

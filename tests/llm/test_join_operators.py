@@ -213,6 +213,41 @@ def test_repeats_are_brute_force(spark, monkeypatch, remembered):
     assert found == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_repeats_under_crowded_keys_are_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowd)
+    r, alike = random.Random(5), "A line that many others are nearly equal to, é日 and all, or not at all equal."
+    rows = [*line_rows(7, 100), *((200 + k, f"{edited(r, alike, k % 5)}\nown {k}") for k in range(40)), (None, alike), (1003, "é" * 600 + "\n" + "é" * 599)]
+    rows.sort(key=lambda row: row[0] or 0)
+    found = {r._key: (r.n_lines, r.n_equal, r.n_near, r._dropped) for r in line_dedup.repeats(docs(spark, rows).repartition(5)).collect()}
+    assert found == brute_repeats(rows)
+
+
+def test_near_copies_make_rows_in_proportion(spark, monkeypatch):
+    """No table on the way grows with the square of a group of nearly equal lines."""
+    most, real = [0], line_dedup.stored
+
+    def counted(*args):
+        out = real(*args)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    alike = "So long a line that two characters of it may be others and it is nearly the same"
+    rows = [(k, alike[:8] + chr(97 + k % 26) + chr(97 + k // 26) + alike[10:]) for k in range(400)]
+    found = line_dedup.repeats(docs(spark, rows)).agg(F.sum("n_near"), F.sum("n_equal")).first()
+    assert tuple(found) == (399, 0) and most[0] <= 12 * len(rows)
+
+
+def test_parities_of_trigrams_never_part_near_lines():
+    r = random.Random(11)
+    for _ in range(2000):
+        a = "".join(r.choice("abc é日") for _ in range(r.randrange(9, 60)))
+        b = edited(r, a, 2)
+        off = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(line_dedup.trigram_parities(a), line_dedup.trigram_parities(b), strict=True))
+        assert off <= 6 * line_dedup.EDITS
+
+
 def test_links_of_a_chain_are_not_passed_on(spark):
     a, b, c = (f"{x} quick brown fox jumps over" for x in ("aaaa the", "bbaa the", "bbbb the"))
     found = {r._key: r._dropped for r in line_dedup.repeats(docs(spark, [(1, a), (2, c), (3, b)])).collect()}
