@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -232,11 +233,14 @@ class Blocks:
 
 def windows(wanted: DataFrame, outside: str = "error", tasks: int | None = None) -> DataFrame:
     """``wanted`` (path, row, col, height, width and others) with bands, dtype and pixels: each
-    window's bytes, of the blocks below it alone. Windows of one file go to a task in bands of
-    rows, and blocks that they share are read once. Parts beyond the file are no data, or zero;
+    window's bytes, of the blocks below it alone. Windows are dealt out in order of file, band of rows
+    and place, as many to each task however few the files are, and blocks that a task's windows share
+    are read once. Parts beyond the file are no data, or zero;
     a window wholly outside is an error, or with ``outside`` "skip" no row."""
     n = tasks or int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = wanted.withColumn("_band", F.floor(F.col("row") / 2048)).repartition(n, "path", "_band").sortWithinPartitions("path", "_band", "row", "col").drop("_band")
+    tie = F.xxhash64(*(f.name for f in wanted.schema if "map<" not in f.dataType.simpleString()))  # parts even equal windows
+    banded = wanted.withColumns({"_band": F.floor(F.col("row") / 2048), "_tie": tie})
+    dealt = banded.repartitionByRange(n, "path", "_band", "row", "col", "_tie").sortWithinPartitions("path", "_band", "row", "col").drop("_band", "_tie")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = Blocks()
@@ -278,7 +282,8 @@ def pixel_rows(images: DataFrame, keep: list[str], without: float | None = None)
 def queried(files: DataFrame, queries: DataFrame, key: str, cell: float) -> DataFrame:
     """``key``, band, row, col and v for boxes (x0, y0, x1, y1) of space: from all files of one
     resolution (a catalogue's rows) that a box meets, with the first file by path that has data
-    at a pixel. row and col count from the box's upper left pixel. A box that meets no file has
+    at a pixel. row and col count from the box's upper left pixel. Only pixels of boxes that meet
+    several files are shuffled and folded. A box that meets no file has
     no rows; ``unmet`` finds those."""
     box = Corners.named()
     met = overlap_join(queries.select(key, "x0", "y0", "x1", "y1"), files.select("path", "transform", "nodata", F.col("height").alias("_h"), F.col("width").alias("_w"), *bounds("transform").columns("_x0", "_y0", "_x1", "_y1")), box, Corners.named("_x0", "_y0", "_x1", "_y1"), cell)
@@ -286,10 +291,16 @@ def queried(files: DataFrame, queries: DataFrame, key: str, cell: float) -> Data
     size = lambda low, high, step: F.greatest(F.lit(1), F.round((F.col(high) - F.col(low)) / F.abs(F.get("transform", step))).cast("int"))
     placed = met.withColumns({"row": top, "col": left, "height": size("y0", "y1", 4), "width": size("x0", "x1", 0)})
     placed = placed.where("row < _h and col < _w and row + height > 0 and col + width > 0")
-    images = windows(placed.select(key, "path", "nodata", "_h", "_w", F.col("row").alias("_top"), F.col("col").alias("_left"), "row", "col", "height", "width"))
-    rows = pixel_rows(images, [key, "path", "nodata", "_h", "_w", "_top", "_left"])
-    inside = (F.col("_top") + F.col("row")).between(0, F.col("_h") - 1) & (F.col("_left") + F.col("col")).between(0, F.col("_w") - 1)
-    return rows.where(inside & ~F.col("v").eqNullSafe(F.col("nodata"))).groupBy(key, "band", "row", "col").agg(F.min_by("v", "path").alias("v"))
+    counted = placed.withColumn("_files", F.count("*").over(W.partitionBy(key)))
+
+    def seen(some: DataFrame) -> DataFrame:
+        images = windows(some.select(key, "path", "nodata", "_h", "_w", F.col("row").alias("_top"), F.col("col").alias("_left"), "row", "col", "height", "width"))
+        rows = pixel_rows(images, [key, "path", "nodata", "_h", "_w", "_top", "_left"])
+        inside = (F.col("_top") + F.col("row")).between(0, F.col("_h") - 1) & (F.col("_left") + F.col("col")).between(0, F.col("_w") - 1)
+        return rows.where(inside & ~F.col("v").eqNullSafe(F.col("nodata")))
+
+    folded = seen(counted.where("_files > 1")).groupBy(key, "band", "row", "col").agg(F.min_by("v", "path").alias("v"))
+    return seen(counted.where("_files = 1")).select(*folded.columns).unionByName(folded)
 
 
 def unmet(files: DataFrame, queries: DataFrame, key: str, cell: float) -> DataFrame:

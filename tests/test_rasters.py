@@ -201,6 +201,30 @@ def test_boxes_of_space_over_several_files(spark, folder):
     assert [x.q for x in rasters.unmet(files, queries, "q", 50.0).collect()] == ["none"]
 
 
+def test_windows_of_few_files_are_dealt_out(spark, folder):
+    """Those of one file go to all tasks, and equal ones too."""
+    root, _ = folder
+    wanted = spark.range(400).selectExpr("id", f"'{root}/e0/a.tif' path", "cast(id % 2 * 7 as int) row", "3 col", "5 height", "4 width")
+    held = [x["count"] for x in rasters.windows(wanted, tasks=8).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == 8 and sum(held) == 400 and max(held) <= 100
+
+
+def test_pixels_of_boxes_on_one_file_are_not_folded(spark, folder):
+    """Boxes within a file, across two and under one key: all pixels, of the first file by path, and
+    those of the first are not grouped by pixel."""
+    root, images = folder
+    files = rasters.catalogue(spark, root)
+    rows = [(1, 2.0, 85.0, 8.0, 90.0), (2, 30.0, 80.0, 50.0, 90.0), (3, 2.0, 85.0, 8.0, 90.0), (3, 2.0, 80.0, 8.0, 85.0)]
+    found = rasters.queried(files, spark.createDataFrame(rows, "q int, x0 double, y0 double, x1 double, y1 double"), "q", 50.0)
+    got = {(x.q, x.band, x.row, x.col): x.v for x in found.collect()}
+    side = np.concatenate([images[k] for k in range(3)], axis=2)
+    one = side[:, 20:30, 4:16]
+    assert {k[1:]: v for k, v in got.items() if k[0] == 1} == {(b, i, j): one[b, i, j] for b in range(2) for i in range(10) for j in range(12)}
+    assert len([k for k in got if k[0] == 2]) == 2 * 20 * 40 and len([k for k in got if k[0] == 3]) == 2 * 10 * 12
+    assert found.count() == len(got)
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_positions_and_pixels(spark):
     rows = spark.createDataFrame([([0.5, 0.0, 10.0, 0.0, -0.5, 20.0], 3, 7), ([0.3, 0.4, 1.0, 0.4, -0.3, 2.0], 5, 2)], "transform array<double>, r int, c int")
     x, y = rasters.xy_of("transform", F.col("r"), F.col("c"))
