@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tessera.llm import jaccard_join
 
+import corpus_pipeline
+
 
 def text(seed, n):
     r = random.Random(seed)
@@ -49,3 +52,25 @@ def test_texts_travel_to_blocks(spark):
     sets = {jaccard_join.class_of(s): 8 * len(s) for _, t in rows for s in [jaccard_join.shingles(t.encode())]}
     assert sizes.keys() == sets.keys() and all(2 * sizes[c] < sets[c] for c in sets)
     assert sorted(r.component_id for r in jaccard_join.join(docs).collect()) == [0, 0, 2, 2, 4, 4]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_surplus_is_what_representatives_leave(spark, parts):
+    near = [(k, f"{text(k // 3, 60)} {k % 3}") for k in range(12)]
+    rows = [*near, *near[:4], (None, near[5][1]), (None, None), (None, None), (7, None), (50, "one two"), (51, "one two"), (51, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    kept = {(r._key, r._hash): r._rows for r in jaccard_join.representatives(docs).collect()}
+    found = {(r._key, r._hash): r._rows for r in jaccard_join.surplus(docs).collect()}
+    every = {tuple(r) for r in docs.select("doc_id", F.xxhash64("text")).collect()}
+    assert {k for k, n in found.items() if n == 0} == every - kept.keys()
+    assert {k: n for k, n in found.items() if n} == {k: n for k, n in kept.items() if n > 1}
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(map(tuple, left.select("doc_id", F.xxhash64("text")).collect()), key=str) == sorted(kept, key=str)
+
+
+def test_texts_stay_where_few_documents_go(spark):
+    """Neither of the pipeline's copies of the texts is dealt out by key."""
+    docs = spark.createDataFrame([(k, f"{text(k // 2, 60)} {k % 2}") for k in range(12)], "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 6 and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
