@@ -207,3 +207,14 @@ def test_nearest_looks_once_for_points_at_one_position(spark, monkeypatch):
     points = [(i, float(i % 3), 1.0) for i in range(300)]
     places = [(f"p{k:03}", k % 40 / 4.0, k // 40 / 4.0) for k in range(400)]
     assert found_nearest(spark, points, places) == slow_nearest(points, places) and asked == [3]
+
+
+def test_keys_are_grouped_once_and_without_their_shapes(spark):
+    """Many keys with few shapes: what is dealt out by key is a number, and only once."""
+    rows = spark.range(300).selectExpr("id % 100 k", "array(named_struct('x', double(id % 3), 'y', 0D), named_struct('x', 1D, 'y', double(id % 2))) shape")
+    rows = rows.unionByName(spark.createDataFrame([(5, None), (7000, None)], "k long, shape array<struct<x: double, y: double>>"))
+    keys, kinds = sj.numbered(rows, ["k"], F.col("shape"), "n")
+    assert "collect_set" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    found = keys.join(kinds, "n").selectExpr("k", "_shape")
+    assert found.exceptAll(rows.where("shape is not null").selectExpr("k", "shape").distinct()).count() == 0
+    assert found.count() == rows.where("shape is not null").distinct().count() and kinds.select("n").distinct().count() < 10
