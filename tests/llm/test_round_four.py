@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tessera.llm import jaccard_join
+from tessera.llm import decontaminate, jaccard_join
 
 import corpus_pipeline
 
@@ -74,3 +74,14 @@ def test_texts_stay_where_few_documents_go(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert left.count() == 6 and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_slots_are_not_broadcast(spark):
+    """Their files are hundreds of times smaller than their rows, which grow with the documents."""
+    item = "In the year 1999 Anna Smith bought 25 kg of green apples and sold 7 kg of them to Robert Brown near the old mill"
+    docs = spark.createDataFrame([(k, f"Before it. {item} after {k}.") for k in range(30)], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [line for line in plan if "SortMergeJoin" in line and "r_key" in line]
+    assert not [line for line in plan if "BroadcastHashJoin" in line and "r_key" in line]
+    assert {r.doc_id for r in found.collect()} == {*range(30)}
